@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import byte_bpe, near_dup, token_count
+from loomwork.llm import byte_bpe, near_dup, token_count, wavelet
+from loomwork.plans import storage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +36,15 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from wavelet shards."""
+    path = storage.new_path(spark, "wavelet")
+    wavelet.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 0, path)
+    return wavelet.documents(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op5_token_counts, op7_minhash_near_dedup, op9_byte_bpe)
+    own = (op5_token_counts, op7_minhash_near_dedup, op9_byte_bpe, op10_wavelet_shards)
     return {f.__name__: f for f in own}
 
 
