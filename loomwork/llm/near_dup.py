@@ -3,11 +3,13 @@
 Each document's set holds 64-bit hashes of its distinct k-word shingles.  One
 permutation splits the hash range into bins; empty bins borrow from a bin that
 a fixed random probe sequence finds (optimal densification).  Bins in bands
-make buckets.  In a bucket, a few hubs are paired with the other members
-(stars), never all members with each other; pairs are confirmed on full sets.
-A bucket whose members are not yet of one component gets twice as many hubs
-in the next round, until every pair of two components was tried, so stars lose
-no link that a bucket holds.  Documents of equal sets are one node throughout.
+make buckets.  In a bucket one hub is paired with the other members (a star),
+never all members with each other; pairs are confirmed on full sets.  Buckets
+whose members are then not of one component get a second star.  Documents of
+buckets that are still open are compared across components where they share a
+rare shingle at a place that allows the similarity (prefix and positional
+filters), which is complete; so stars lose no link that a bucket holds.
+Documents of equal sets are one node throughout.
 
 Chance to miss a pair at similarity 0.8 with the default 32 bands of 4 bins:
 5e-8, less above.
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm import words as W
@@ -117,6 +119,38 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, band_keys array<long>")
 
 
+def _rare_pairs(texts: DataFrame, rest: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of nodes of two components that can be similar by their rare shingles.
+
+    Shingles are put in one order, rare ones first.  Two similar sets share one
+    of the first (1 - t) n + 1 of each, and behind it enough must be left.  So
+    copies that differ from all others by many rare shingles meet few others,
+    whatever their group's size.  All pairs of these nodes that are similar are
+    among the result.
+    """
+    lines = texts.join(rest.select(F.col("rep").alias("doc_id"), "key_a", "key_b"), "doc_id").select("doc_id", "key_a", "key_b", "text")
+
+    def run(batches):
+        for batch in batches:
+            ids, ka, kb = (batch.column(c).to_pylist() for c in range(3))
+            data, offsets = W.string_buffers(batch.column(3))
+            for r, s in enumerate(shingle_sets(data, offsets, k)):
+                if len(s) and set_key(s) == (ka[r], kb[r]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[r])), pa.array(s.view(np.int64))], names=["rep", "gram"])
+
+    grams = storage.written(lines.mapInArrow(run, "rep long, gram long").distinct(), "grams")
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("often", "gram"))
+    placed = grams.join(often, "gram").withColumn("place", place).where("often > 1").join(rest, "rep").where(F.expr(f"place <= n - ceil(n * {percent} / 100.0) + 1"))
+    placed = storage.written(placed.select("gram", "place", *NODE, "comp"), "placed")
+    split = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
+    placed = placed.join(split, "gram")
+    other = placed.select("gram", *(F.col(c).alias(f"h_{c}") for c in (*NODE, "comp", "place")))
+    need = F.col("n") + F.col("h_n")
+    left = F.least(F.expr("n - place"), F.expr("h_n - h_place")) + 1
+    return placed.join(other, "gram").where("comp <> h_comp and h_rep < rep").where((100 + percent) * left >= percent * need)
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b, with set keys) whose full sets overlap enough.
 
@@ -176,6 +210,36 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct())
 
 
+NODE = ("rep", "n", "key_a", "key_b")
+
+
+def _pairs(joined: DataFrame, percent: int, *before: DataFrame) -> DataFrame:
+    """Each unordered pair once (a is the hub), if the sizes allow it and no earlier table has it."""
+    fit = joined.where(F.least("n", "h_n") * 100 >= F.greatest("n", "h_n") * percent)
+    pairs = fit.select(F.col("h_rep").alias("a"), F.col("h_key_a").alias("a_a"), F.col("h_key_b").alias("a_b"), F.col("rep").alias("b"), F.col("key_a").alias("b_a"), F.col("key_b").alias("b_b"))
+    pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"])
+    for old in before:
+        pairs = pairs.join(old.select("lo", "hi"), ["lo", "hi"], "left_anti")
+    return storage.written(pairs, "pairs")
+
+
+def _open(inside: DataFrame, label: DataFrame) -> DataFrame:
+    """The members, with their components, of buckets that hold more than one component."""
+    held = inside.drop("least", "size").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    split = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    return storage.written(held.join(split, "band"), "open")
+
+
+def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label after its components are joined by links (a, b)."""
+    of = lambda c: label.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    step = components(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
+    step = step.select(F.col("node").alias("comp"), F.col("comp").alias("after"))
+    moved = label.join(step, "comp", "left").select("node", F.coalesce("after", "comp").alias("comp"))
+    fresh = step.select(F.col("comp").alias("node"), F.col("after").alias("comp")).join(label, "node", "left_anti")
+    return storage.written(moved.unionByName(fresh), "label")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -188,51 +252,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     crowd = member.select("band", "rep").groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
     inside = storage.written(member.join(crowd, "band"), "inside")
 
-    label: DataFrame | None = None
-    tried: DataFrame | None = None
-    hubs = 1
-    while True:
-        held = inside if label is None else inside.join(label, inside["rep"] == label["node"], "left").select(inside["*"], F.coalesce("comp", "rep").alias("comp"))
-        if label is None:
-            held, chosen = held.withColumn("comp", F.col("rep")), F.col("rep") == F.col("least")
-        else:
-            # a share of the bucket that doubles each round; ends with all of it
-            draw = F.pmod(F.xxhash64("rep", "band"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            chosen = draw * F.col("size") < hubs
-            split = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-            held = storage.written(held.join(split, "band"), "held")
-        hub = held.where(chosen).select("band", *(F.col(c).alias(f"h_{c}") for c in ("rep", "n", "key_a", "key_b", "comp")))
-        pairs = (
-            held.join(hub, "band")
-            .where("comp <> h_comp")
-            .where((F.least("n", "h_n") * 100 >= F.greatest("n", "h_n") * percent))
-            .select(F.col("h_rep").alias("a"), F.col("h_key_a").alias("a_a"), F.col("h_key_b").alias("a_b"), F.col("rep").alias("b"), F.col("key_a").alias("b_a"), F.col("key_b").alias("b_b"))
-        )
-        # which end is the hub does not matter for a pair that was tried
-        pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"])
-        if tried is not None:
-            pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
-        pairs = storage.written(pairs, "pairs")
-        links = storage.written(_confirm(pairs, _only(texts, pairs), k, percent), "links")
-        size = int(inside.agg(F.max("size")).first()[0] or 0) if label is None else size
-        if label is None:
-            label = storage.written(components(links), "label")
-        else:
-            name = lambda c: F.coalesce(F.col(c), F.col(c[0]))
-            merged = components(
-                links.join(label.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("comp").alias("b_comp")), "b", "left").select(name("a_comp").alias("a"), name("b_comp").alias("b"))
-            )
-            step = merged.select(F.col("node").alias("comp"), F.col("comp").alias("after"))
-            renamed = label.join(step, "comp", "left").select("node", F.coalesce("after", "comp").alias("comp"))
-            fresh = step.select(F.col("comp").alias("node"), F.col("after").alias("comp")).join(label, "node", "left_anti")
-            label = storage.written(renamed.unionByName(fresh), "label")
-        tried = pairs.select("lo", "hi") if tried is None else storage.written(tried.unionByName(pairs.select("lo", "hi")), "tried")
-        if hubs >= size:
-            break
-        unsettled = inside.join(label, inside["rep"] == label["node"], "left").select("band", F.coalesce("comp", "rep").alias("comp")).groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        hubs *= 4
-        if unsettled.isEmpty():
-            break
+    # stars around the smallest member of each bucket
+    hub = inside.where("rep = least").select("band", *(F.col(c).alias(f"h_{c}") for c in NODE))
+    first = _pairs(inside.where("rep <> least").join(hub, "band"), percent)
+    label = storage.written(components(storage.written(_confirm(first, _only(texts, first), k, percent), "links")), "label")
+
+    # stars around another member, where a bucket still holds several components
+    open_ = _open(inside, label)
+    draw = open_.groupBy("band").agg(F.min_by("rep", F.xxhash64("rep")).alias("least"))
+    star = open_.join(draw, "band")
+    hub = star.where("rep = least").select("band", *(F.col(c).alias(f"h_{c}") for c in NODE), F.col("comp").alias("h_comp"))
+    second = _pairs(star.join(hub, "band").where("comp <> h_comp"), percent, first)
+    label = _relabel(label, storage.written(_confirm(second, _only(texts, second), k, percent), "links"))
+
+    # whatever is still open: pairs of two components that share a rare shingle, complete for these documents
+    open_ = _open(inside, label)
+    rest = open_.select(*NODE, "comp").distinct()
+    if not rest.isEmpty():
+        rest = storage.written(rest, "rest")
+        third = _pairs(_rare_pairs(_only(texts, rest.select(F.col("rep").alias("a"), F.col("rep").alias("b"))), rest, k, percent), percent, first, second)
+        label = _relabel(label, storage.written(_confirm(third, _only(texts, third), k, percent), "links"))
 
     names = reps.join(label, reps["rep"] == label["node"], "left").select("key_a", "key_b", F.coalesce("comp", "rep").alias("component_id"), "copies")
     shared = names.join(reps.select("key_a", "key_b", "rep"), ["key_a", "key_b"]).where("copies > 1 or component_id <> rep").select("key_a", "key_b", "component_id")
