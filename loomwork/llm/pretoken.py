@@ -53,6 +53,7 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
 
 
 TO, STARTS = _automaton()
+TO_ROW = TO.astype(np.intp) * SYMBOLS  # the next state's row of the table
 
 
 def symbols(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -108,11 +109,11 @@ def boundaries(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         at[r] = state
         state = moves[r][state]
     marks = np.empty((CHUNK, rows), bool)
-    where = at.astype(np.intp)
+    where = at.astype(np.intp) * SYMBOLS
     for j, col in enumerate(np.ascontiguousarray(grid.T)):
-        i = where * SYMBOLS + col
-        marks[j] = STARTS[i]
-        where = TO[i].astype(np.intp)
+        where += col
+        np.take(STARTS, where, out=marks[j])
+        where = TO_ROW[where]
     return np.flatnonzero(marks.T.ravel()[:n])
 
 

@@ -20,6 +20,7 @@ in no set order; a null doc_id sorts first.
 from __future__ import annotations
 
 import zlib
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,7 @@ from loomwork.plans import storage
 MAGIC = b"WVM1"
 BLOCK = 512
 SHARD_IDS = 1 << 21
-CACHE_ENTRIES = 400_000
-BYTES_A_PARTITION = 24 << 20
+CACHE_ENTRIES = 700_000
 
 
 class WaveletMatrix:
@@ -48,7 +48,7 @@ class WaveletMatrix:
         x = ids.astype(np.uint16 if planes <= 16 else np.uint32)
         zeros, counts, bits = np.zeros(planes, np.int64), [], []
         for level in range(planes):
-            one = (x >> x.dtype.type(planes - 1 - level)) & x.dtype.type(1) != 0
+            one = (x & x.dtype.type(1 << (planes - 1 - level))).astype(bool)
             packed = np.packbits(one, bitorder="little")
             bits.append(packed)
             counts.append(cls._blocks(packed))
@@ -184,10 +184,16 @@ class LibraryEncoder:
             cache = self.cache
             if len(cache) > CACHE_ENTRIES:
                 cache.clear()
-            if new := list({p for p in pieces if p not in cache}):
-                for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                    cache[p] = np.array(e.ids, self.kind).tobytes()
-            codes = list(map(cache.__getitem__, pieces))
+            codes = list(map(cache.get, pieces))
+            gaps = [k for k, c in enumerate(codes) if c is None]
+            if gaps:
+                new = list({pieces[k] for k in gaps})
+                found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+                raw = np.fromiter(chain.from_iterable(found), self.kind).tobytes()
+                at = [0, *accumulate(len(x) * self.kind().itemsize for x in found)]
+                cache.update((p, raw[a:b]) for p, a, b in zip(new, at, at[1:]))
+                for k in gaps:
+                    codes[k] = cache[pieces[k]]
             for r in range(j - i):
                 yield np.frombuffer(whole[r] if r in whole else b"".join(codes[first[r] : first[r + 1]]), self.kind)
 
@@ -208,8 +214,6 @@ SHARD_SCHEMA = "part int, seq int, doc_ids array<long>, sizes array<long>, n_ids
 def write(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
     """Encode docs (doc_id, text) in ascending doc_id order, end_id behind each, as wavelet shards at path."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-
     def run(batches):
         from pyspark import TaskContext
 
@@ -236,7 +240,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
         if doc_ids:
             yield shard()
 
-    dealt = rows.repartitionByRange(max(1, -(-size // BYTES_A_PARTITION)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     dealt.mapInArrow(run, SHARD_SCHEMA).write.option("parquet.block.size", str(8 << 20)).option("compression", "zstd").parquet(path)
 
 
