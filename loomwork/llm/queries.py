@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import byte_bpe, near_dup, quality, token_count, wavelet
+from loomwork.llm import byte_bpe, language, near_dup, quality, token_count, wavelet
 from loomwork.plans import storage
 
 
@@ -21,6 +21,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled documents that are not held out."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the byte-level BPE of 50k entries."""
     return token_count.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -49,7 +54,7 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op5_token_counts, op7_minhash_near_dedup, op8_quality_rules, op9_byte_bpe, op10_wavelet_shards)
+    own = (op4_language_id, op5_token_counts, op7_minhash_near_dedup, op8_quality_rules, op9_byte_bpe, op10_wavelet_shards)
     return {f.__name__: f for f in own}
 
 
