@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import byte_bpe, language, near_dup, quality, token_count, wavelet
+from loomwork.llm import byte_bpe, language, near_dup, pii, quality, token_count, url_filter, wavelet
 from loomwork.plans import storage
 
 
@@ -21,6 +21,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts by kind, digest of the base spans, all spans."""
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the labelled documents that are not held out."""
     return language.identify(table(spark, sf_dir, "documents"))
@@ -41,6 +46,29 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+#: Fixed rules: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP6_SQL = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^([^/?#]*)', 1)) + 1), '^([^?#]*)', 1) AS path FROM u
+), r(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/'))
+SELECT page_id, host, path,
+       (SELECT rh || rp FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rh || rp) DESC, verdict DESC LIMIT 1) AS rule,
+       coalesce((SELECT verdict FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rh || rp) DESC, verdict DESC LIMIT 1), 'allow') AS verdict
+FROM h
+"""
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and survivor of every document; 4-word shingles, similarity 0.8 or more."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
@@ -54,9 +82,9 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op4_language_id, op5_token_counts, op7_minhash_near_dedup, op8_quality_rules, op9_byte_bpe, op10_wavelet_shards)
+    own = (op2_pii, op4_language_id, op5_token_counts, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_byte_bpe, op10_wavelet_shards)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": OP6_SQL}
