@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import byte_bpe, language, near_dup, pii, quality, token_count, url_filter, wavelet
+from loomwork.llm import byte_bpe, language, near_dup, pii, quality, token_count, url_filter, wavelet, wrapper
 from loomwork.plans import storage
 
 
@@ -26,6 +26,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op3_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's wrapper."""
+    return wrapper.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the labelled documents that are not held out."""
     return language.identify(table(spark, sf_dir, "documents"))
@@ -82,7 +87,7 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_pii, op4_language_id, op5_token_counts, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_byte_bpe, op10_wavelet_shards)
+    own = (op2_pii, op3_html_wrapper, op4_language_id, op5_token_counts, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_byte_bpe, op10_wavelet_shards)
     return {f.__name__: f for f in own}
 
 
