@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import byte_bpe, language, near_dup, pii, quality, token_count, url_filter, wavelet, wrapper
+from loomwork.llm import byte_bpe, decontaminate, language, near_dup, pii, quality, token_count, url_filter, wavelet, wrapper
 from loomwork.plans import storage
 
 
@@ -21,6 +21,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that overlap."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts by kind, digest of the base spans, all spans."""
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
@@ -87,7 +92,7 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_pii, op3_html_wrapper, op4_language_id, op5_token_counts, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_byte_bpe, op10_wavelet_shards)
+    own = (op1_decontaminate, op2_pii, op3_html_wrapper, op4_language_id, op5_token_counts, op6_url_filter, op7_minhash_near_dedup, op8_quality_rules, op9_byte_bpe, op10_wavelet_shards)
     return {f.__name__: f for f in own}
 
 

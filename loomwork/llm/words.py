@@ -16,6 +16,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Everything of ASCII but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _MIX = tuple(np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 
 _powers: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "inv": np.ones(1, np.uint64)}
@@ -69,17 +71,17 @@ def chunks(offsets: np.ndarray, limit: int = 1 << 20):
 class Words:
     """The words of some texts that lie one behind the other in a byte array.
 
-    starts, ends: byte ranges.  first: index of each text's first word, with
+    apart: which bytes stand between words.  starts, ends: byte ranges.  first: index of each text's first word, with
     the word count at its end.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, apart: np.ndarray = _IS_SPACE):
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
         n = len(data)
         solid = np.ones(n + 2, bool)
         solid[0] = solid[-1] = False
-        solid[1:-1] = ~_IS_SPACE[data]
+        solid[1:-1] = ~apart[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         self.starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
