@@ -162,21 +162,28 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes every text and decodes its ids again."""
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: encodes every text and decodes its ids again."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches):
         own = Vocabulary.of(path)
         for batch in batches:
             for part in _parts(batch):
-                n, of_ids, of_text = [], [], []
+                n, of_ids, of_text, all_ids = [], [], [], []
                 for raw in own.encode(_texts(part.column(1))):
+                    if with_ids:
+                        all_ids.append(np.frombuffer(raw, "<i4"))
                     n.append(len(raw) // 4)
                     of_ids.append(hashlib.sha256(raw).hexdigest())
                     of_text.append(hashlib.sha256(own.decode(np.frombuffer(raw, "<u4"))).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                out = [part.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*all_ids, np.zeros(0, np.int32)]))))
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def _parts(batch, rows: int = 500):

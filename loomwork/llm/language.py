@@ -31,6 +31,8 @@ ORDER = 5
 SAMPLE_ROWS, CALIBRATION_ROWS, MAX_LANGUAGES = 300, 300, 400
 #: A text is rejected when its bits per character exceed the language's calibrated mean by so many standard deviations and by so many bits.
 REJECT_SD, REJECT_BITS = 8.0, 1.5
+#: Few characters say little: a text's bits may exceed the limit by so many bits in all.
+SHORT_BITS = 16.0
 #: Probability of a character that no model has seen.
 FLOOR = 2.0**-20
 #: Divides the difference in bits per character in the score.
@@ -195,6 +197,10 @@ class Languages:
     def __init__(self, models: dict[str, bytes], calibration: dict[str, tuple[float, float]], key: str):
         self.models, self.calibration, self.key = models, calibration, key
 
+    def limits(self) -> dict[str, float]:
+        """Bits per character above which a text of each language is rejected."""
+        return {k: m + REJECT_SD * s + REJECT_BITS for k, (m, s) in self.calibration.items()}
+
 
 def _pack(m: Model) -> bytes:
     import io
@@ -250,41 +256,69 @@ def fit(docs: DataFrame) -> Languages:
     return out
 
 
+def _reader(sent, names: list[str], key: str) -> Identifier:
+    """This worker's identifier of the sent models."""
+    if key not in _identifiers:
+        _identifiers.clear()
+        _identifiers[key] = Identifier(names, [_unpack(x) for x in sent.value.values()])
+    return _identifiers[key]
+
+
+def _best(own: Identifier, column) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Prediction, score, bits per character and characters of each text of an Arrow column."""
+    texts = ["" if t is None else t for t in column.to_pylist()]
+    total = np.concatenate([own.bits(texts[i:j]) for i, j in _batches(texts)] or [np.zeros((0, len(own.names) + 1))])
+    chars = total[:, -1]
+    h = total[:, :-1] / np.maximum(chars, 1)[:, None]
+    best = h.argmin(1)
+    low = h[np.arange(len(h)), best]
+    score = np.where(chars > 0, 1 / np.exp2((low[:, None] - h) / TEMPERATURE).sum(1), 0.0)
+    return [own.names[b] if c else "und" for b, c in zip(best.tolist(), chars.tolist())], score, low, chars.astype(np.int64)
+
+
 def _bits(docs: DataFrame, languages: Languages) -> DataFrame:
     """doc_id, keep, lang_pred, score, bits (per character), chars, of docs (doc_id, text, keep)."""
     names, key = list(languages.models), languages.key
     sent = docs.sparkSession.sparkContext.broadcast(languages.models)
 
     def run(batches):
-        if key not in _identifiers:
-            _identifiers.clear()
-            _identifiers[key] = Identifier(names, [_unpack(x) for x in sent.value.values()])
-        own = _identifiers[key]
+        own = _reader(sent, names, key)
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                texts = ["" if t is None else t for t in part.column(1).to_pylist()]
-                total = np.concatenate([own.bits(texts[i:j]) for i, j in _batches(texts)])
-                chars = total[:, -1]
-                h = total[:, :-1] / np.maximum(chars, 1)[:, None]
-                best = h.argmin(1)
-                low = h[np.arange(len(h)), best]
-                score = 1 / np.exp2((low[:, None] - h) / TEMPERATURE).sum(1)
-                pred = [names[b] if c else "und" for b, c in zip(best.tolist(), chars.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(pred, pa.string()), pa.array(np.where(chars > 0, score, 0.0)), pa.array(low), pa.array(chars.astype(np.int64))], names=["doc_id", "keep", "lang_pred", "score", "bits", "chars"])
+                pred, score, low, chars = _best(own, part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(pred, pa.string()), pa.array(score), pa.array(low), pa.array(chars)], names=["doc_id", "keep", "lang_pred", "score", "bits", "chars"])
 
     return docs.mapInArrow(run, "doc_id long, keep string, lang_pred string, score double, bits double, chars long")
 
 
+def accepted(docs: DataFrame, languages: Languages) -> DataFrame:
+    """The rows of docs (any columns, text among them) that are not rejected, by the rule of predict()."""
+    if not languages.models:
+        return docs.limit(0)
+    names, key, limit, at = list(languages.models), languages.key, languages.limits(), docs.columns.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(languages.models)
+
+    def run(batches):
+        own = _reader(sent, names, key)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                pred, _, low, chars = _best(own, part.column(at))
+                most = np.array([limit.get(p, np.inf) for p in pred])
+                yield part.filter(pa.array((chars > 0) & ~(low > most + SHORT_BITS / np.maximum(chars, 1))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, languages: Languages) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits, rejected of every row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("string").alias("keep"))
     if not languages.models:
         return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"), F.lit(True).alias("rejected"))
-    limit = {k: m + REJECT_SD * s + REJECT_BITS for k, (m, s) in languages.calibration.items()}
+    limit = languages.limits()
     most = F.create_map(*(F.lit(x) for kv in limit.items() for x in kv))[F.col("lang_pred")] if limit else F.lit(None).cast("double")
-    # few characters say little: their bits may stray further
-    rejected = (F.col("chars") == 0) | F.coalesce(F.col("bits") > most + 16.0 / F.col("chars"), F.lit(False))
+    rejected = (F.col("chars") == 0) | F.coalesce(F.col("bits") > most + SHORT_BITS / F.greatest(F.col("chars"), F.lit(1)), F.lit(False))
     return _bits(rows, languages).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits", rejected.alias("rejected"))
 
 

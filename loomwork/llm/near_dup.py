@@ -286,3 +286,18 @@ IDS_TO_SEND = 100_000
 def _only(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     return texts.join(F.broadcast(ids), "doc_id", "left_semi") if storage.small_enough(ids, IDS_TO_SEND) else texts
+
+
+def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each class of near duplicates of docs (any columns, doc_id and text among them); rows without doc_id stay."""
+    found = storage.written(near_duplicates(docs, k, percent), "classes")
+    gone = found.where("not kept").select("doc_id").distinct()
+    gone = F.broadcast(gone) if storage.small_enough(gone, IDS_TO_SEND) else gone
+    out = docs.join(gone, "doc_id", "left_anti")
+    again = storage.written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return out.select(docs.columns)
+    # rows that came more than once: one of each doc_id
+    again = F.broadcast(again) if storage.small_enough(again, IDS_TO_SEND) else again
+    once = out.join(again, "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
