@@ -6,7 +6,7 @@ import importlib
 
 from loomwork import registry
 
-MODULES = ("operators.telemetry",)
+MODULES = ("operators.telemetry", "operators.ngram", "operators.routing", "operators.retrieval", "operators.attention", "operators.sequence")
 
 
 def _load() -> None:
