@@ -18,10 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomwork.llm import pretoken
+from loomwork.llm import pretoken, worker
 
 CACHE_ENTRIES = 400_000
-_vocabularies: dict[str, "Vocabulary"] = {}
 
 
 class Vocabulary:
@@ -46,9 +45,10 @@ class Vocabulary:
     @classmethod
     def of(cls, path: str) -> "Vocabulary":
         """This worker's vocabulary of that file."""
-        if path not in _vocabularies:
-            _vocabularies[path] = cls(path)
-        return _vocabularies[path]
+        kept = worker.cache("byte_bpe")
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the adjacent pair of lowest rank is merged, leftmost first, until none is left."""

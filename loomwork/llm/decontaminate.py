@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm import words as W
+from loomwork.llm import worker
 
 UNIT, STRIDE = 64, 64  # a passage is two strides long
 BLOCK = 8
@@ -206,9 +207,6 @@ def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(inverse, value, minlength=len(keys)), keys
 
 
-_indexes: dict[str, Index] = {}
-
-
 def _blocks(benchmark: DataFrame):
     """Broadcast items (item_id, text), in blocks of about ITEMS_TO_SEND."""
     spark, items = benchmark.sparkSession, benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -220,11 +218,11 @@ def _blocks(benchmark: DataFrame):
 
 def _index(sent, key: str) -> Index:
     """This worker's index of some items."""
-    if key not in _indexes:
-        if len(_indexes) > 1:
-            _indexes.clear()
-        _indexes[key] = Index([(i, t) for i, t in sent.value if i is not None])
-    return _indexes[key]
+    kept = worker.cache("decontaminate")
+    if key not in kept:
+        kept.clear()
+        kept[key] = Index([(i, t) for i, t in sent.value if i is not None])
+    return kept[key]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm import words as W
+from loomwork.llm import worker
 from loomwork.plans import storage
 
 ORDER = 5
@@ -177,9 +178,6 @@ class Identifier:
         return np.stack([np.bincount(text, self.rows[at, i], minlength=len(texts)) for i in range(self.rows.shape[1])], 1)
 
 
-_identifiers: dict[str, Identifier] = {}
-
-
 def _batches(texts: list[str], limit: int = 1 << 21):
     i = 0
     while i < len(texts):
@@ -258,10 +256,11 @@ def fit(docs: DataFrame) -> Languages:
 
 def _reader(sent, names: list[str], key: str) -> Identifier:
     """This worker's identifier of the sent models."""
-    if key not in _identifiers:
-        _identifiers.clear()
-        _identifiers[key] = Identifier(names, [_unpack(x) for x in sent.value.values()])
-    return _identifiers[key]
+    kept = worker.cache("language")
+    if key not in kept:
+        kept.clear()
+        kept[key] = Identifier(names, [_unpack(x) for x in sent.value.values()])
+    return kept[key]
 
 
 def _best(own: Identifier, column) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:

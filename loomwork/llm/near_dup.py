@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm import words as W
+from loomwork.llm import worker
 from loomwork.plans import storage
 
 PROBES = 64
@@ -98,6 +99,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, key_a, key_b, band_keys (empty for the empty set) of every row."""
 
     def run(batches):
+        worker.cache("near_dup")
         signer = Signer(bands, rows)
         for batch in batches:
             data, offsets = W.string_buffers(batch.column(1))
@@ -131,6 +133,7 @@ def _rare_pairs(texts: DataFrame, rest: DataFrame, k: int, percent: int) -> Data
     lines = texts.join(rest.select(F.col("rep").alias("doc_id"), "key_a", "key_b"), "doc_id").select("doc_id", "key_a", "key_b", "text")
 
     def run(batches):
+        worker.cache("near_dup")
         for batch in batches:
             ids, ka, kb = (batch.column(c).to_pylist() for c in range(3))
             data, offsets = W.string_buffers(batch.column(3))
@@ -166,6 +169,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     schema = "a long, b long"
 
     def run(batches):
+        worker.cache("near_dup")
         at, own = None, None
         for batch in batches:
             hubs, parts, roles, ids, ka, kb = (batch.column(c).to_pylist() for c in range(6))

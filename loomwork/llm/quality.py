@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm import words as W
+from loomwork.llm import worker
 from loomwork.plans import storage
 
 WINDOW = 8
@@ -121,6 +122,7 @@ def counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every row of docs."""
 
     def run(batches):
+        worker.cache("quality")
         for batch in batches:
             data, offsets = W.string_buffers(batch.column(3))
             c = text_counts(data, offsets)

@@ -17,10 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomwork.llm import pretoken
+from loomwork.llm import pretoken, worker
 
 CACHE_ENTRIES = 600_000
-_counters: dict[str, "Counter"] = {}
 
 
 def byte_symbols() -> dict[int, str]:
@@ -48,9 +47,10 @@ class Counter:
 
     @classmethod
     def of(cls, path: str) -> "Counter":
-        if path not in _counters:
-            _counters[path] = cls(path)
-        return _counters[path]
+        kept = worker.cache("token_count")
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def count(self, piece: bytes) -> int:
         """Symbols minus merges of one pre-token."""

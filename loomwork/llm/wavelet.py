@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm import pretoken
+from loomwork.llm import pretoken, worker
 from loomwork.plans import storage
 
 MAGIC = b"WVM1"
@@ -198,14 +198,12 @@ class LibraryEncoder:
                 yield np.frombuffer(whole[r] if r in whole else b"".join(codes[first[r] : first[r + 1]]), self.kind)
 
 
-_encoders: dict[str, LibraryEncoder] = {}
-
-
 def encoder(path: str) -> LibraryEncoder:
     """This worker's encoder of that file."""
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+    kept = worker.cache("wavelet")
+    if path not in kept:
+        kept[path] = LibraryEncoder(path)
+    return kept[path]
 
 
 SHARD_SCHEMA = "part int, seq int, doc_ids array<long>, sizes array<long>, n_ids long, matrix binary"

@@ -58,7 +58,7 @@ def string_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = 1 << 20):
+def chunks(offsets: np.ndarray, limit: int = 1 << 18):
     """Row ranges whose bytes stay under limit, but for a single longer row."""
     n, i = len(offsets) - 1, 0
     while i < n:
