@@ -25,15 +25,16 @@ STATES, SYMBOLS = 8, 16
 CHUNK, TAIL = 256, 32
 #: The code points with Unicode's White_Space property.
 WHITE_SPACE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-_LETTER, _NUMBER, _OTHER, _SPACE = range(4)
+_LETTER, _NUMBER, _OTHER, _SPACE, _BLANK = range(5)  # _BLANK: U+0020
 _classes: list[np.ndarray] = []
 
 
 def classes() -> np.ndarray:
-    """Letter, number, other or white space, by code point."""
+    """Letter, number, other, white space or blank, by code point."""
     if not _classes:
         kind = np.array([{"L": _LETTER, "N": _NUMBER}.get(c[0], _OTHER) for c in map(unicodedata.category, map(chr, range(0x110000)))], np.uint8)
         kind[list(WHITE_SPACE)] = _SPACE
+        kind[32] = _BLANK
         _classes.append(kind)
     return _classes[0]
 
@@ -56,21 +57,22 @@ TO, STARTS = _automaton()
 TO_ROW = TO.astype(np.intp) * SYMBOLS  # the next state's row of the table
 
 
+#: Symbol by class, then by class of white space that stands before something else.
+_SYMBOL = np.array([L, N, O, S_MID, S_MID, L, N, O, S_LAST, S_LAST_SPACE], np.uint8)
+
+
 def symbols(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The automaton's input. first: positions at which a text starts."""
     n = len(codes)
     kind = classes()[codes]
-    sym = kind.copy()
-    solid = kind != _SPACE
     begins = np.zeros(n + 1, bool)
     begins[first] = True
     begins[n] = True
-    last = np.zeros(n, bool)  # white space before something else of the same text
-    last[:-1] = solid[1:]
-    last &= ~begins[1:] & ~solid
-    sym[~solid] = S_MID
-    sym[last] = S_LAST
-    sym[last & (codes == 32)] = S_LAST_SPACE
+    solid = kind < _SPACE
+    last = np.zeros(n, bool)
+    np.greater(solid[1:], solid[:-1], out=last[:-1])
+    last &= ~begins[1:]
+    sym = _SYMBOL[kind + last.view(np.uint8) * np.uint8(5)]
     quotes = np.flatnonzero(codes == 39)
     if len(quotes):
         padded = np.concatenate([codes, np.zeros(2, codes.dtype)])

@@ -20,7 +20,7 @@ in no set order; a null doc_id sorts first.
 from __future__ import annotations
 
 import zlib
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm import pretoken, worker
+from loomwork.llm import words as W
 from loomwork.plans import storage
 
 MAGIC = b"WVM1"
 BLOCK = 512
 SHARD_IDS = 1 << 21
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 2_000_000  # about 20 bytes each, and 2 or 4 an id
 
 
 class WaveletMatrix:
@@ -52,9 +53,13 @@ class WaveletMatrix:
             packed = np.packbits(one, bitorder="little")
             bits.append(packed)
             counts.append(cls._blocks(packed))
-            low = x[~one]
-            zeros[level] = len(low)
-            x = np.concatenate([low, x[one]])
+            # taking by index is several times faster than by mask
+            low = np.flatnonzero(~one)
+            zeros[level] = z = len(low)
+            y = np.empty_like(x)
+            np.take(x, low, out=y[:z], mode="clip")
+            np.take(x, np.flatnonzero(one), out=y[z:], mode="clip")
+            x = y
         return cls(len(ids), zeros, counts, bits)
 
     @staticmethod
@@ -149,8 +154,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.bits[level], count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
             z = int(self.zeros[level])
-            y[~one] = x[:z]
-            y[one] = x[z:] | x.dtype.type(1 << (self.planes - 1 - level))
+            y[np.flatnonzero(~one)] = x[:z]
+            y[np.flatnonzero(one)] = x[z:] | x.dtype.type(1 << (self.planes - 1 - level))
             x = y
         return x
 
@@ -158,7 +163,10 @@ class WaveletMatrix:
 class LibraryEncoder:
     """The tokenizers library's ids, asked once per distinct pre-token while it is cached.
 
-    A text with one of the vocabulary's special strings goes to the library whole.
+    Pre-tokens are told apart by 64-bit hashes of their code points, found for
+    all of a batch at once; the cache is a sorted array of hashes with places
+    in one array of ids.  A text with one of the vocabulary's special strings
+    goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -171,31 +179,83 @@ class LibraryEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.planes = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.kind = np.uint16 if self.planes <= 16 else np.uint32
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        self.table = W.mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        #: entry k has the ids from bounds[k] to bounds[k + 1] of the pool
+        self.bounds, self.entries = np.zeros(1 << 16, np.int64), 0
+        self.pool = np.zeros(1 << 20, self.kind)
+
+    def _learn(self, at: np.ndarray, keys: np.ndarray, pieces: list[str]) -> None:
+        """Put the library's ids of some pieces in the cache; their hashes are ascending and belong at places at."""
+        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        k, n, used = self.entries, len(found), int(self.bounds[self.entries])
+        total = int(size.sum())
+        if used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool[:used], np.zeros(max(len(self.pool), total), self.kind)])
+        if k + n + 1 > len(self.bounds):
+            self.bounds = np.concatenate([self.bounds[: k + 1], np.zeros(max(len(self.bounds), n), np.int64)])
+        self.pool[used : used + total] = np.fromiter(chain.from_iterable(found), self.kind, total)
+        self.bounds[k + 1 : k + n + 1] = used + np.cumsum(size)
+        self.entries = k + n
+        place = at + np.arange(n)
+        old = np.ones(len(self.keys) + n, bool)
+        old[place] = False
+        old = np.flatnonzero(old)
+        for name, fresh in (("keys", keys), ("entry", np.arange(k, k + n, dtype=np.int32))):
+            held = getattr(self, name)
+            both = np.empty(len(held) + n, held.dtype)
+            both[old], both[place] = held, fresh
+            setattr(self, name, both)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts one behind the other, and each text's first place in them with the count at the end."""
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(t) for t in texts], out=edges[1:])
+        at = pretoken.boundaries(codes, edges[:-1])
+        n = len(codes)
+        if not n:
+            return np.zeros(0, self.kind), edges
+        ends = np.append(at[1:], n)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.table[codes] * W._power("p", W._P, n), out=total[1:])
+        key = W.mix((total[ends] - total[at]) * W._power("inv", W._P_INV, n)[at] + (ends - at).astype(np.uint64) * W._MIX[0])
+        order = np.argsort(key)
+        sorted_ = key[order]
+        head = np.append(True, sorted_[1:] != sorted_[:-1])
+        own, first = sorted_[head], order[head]
+        inverse = np.empty(len(key), np.int64)
+        inverse[order] = np.cumsum(head) - 1
+        if len(self.keys) > CACHE_ENTRIES:
+            self._forget()
+        place = np.searchsorted(self.keys, own)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == own[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            s, e = at[first[new]].tolist(), ends[first[new]].tolist()
+            self._learn(place[new], own[new], [joined[a:b] for a, b in zip(s, e)])
+            place = np.searchsorted(self.keys, own)
+        entry = self.entry[place]
+        start = self.bounds[entry]
+        size = (self.bounds[entry + 1] - start)[inverse]
+        after = np.cumsum(size)
+        flat = np.repeat(start[inverse] - after + size, size)
+        flat += np.arange(len(flat))
+        return self.pool[flat], np.append(0, after)[np.searchsorted(at, edges)]
 
     def encode(self, texts: list[str]):
         """The ids of each text."""
-        for i, j in pretoken.batches_of(texts):
-            whole = {r: self._whole(t) for r, t in enumerate(texts[i:j]) if any(s in t for s in self.special)}
-            pieces, first = pretoken.pretokens(["" if r in whole else t for r, t in enumerate(texts[i:j])])
-            cache = self.cache
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-            codes = list(map(cache.get, pieces))
-            gaps = [k for k, c in enumerate(codes) if c is None]
-            if gaps:
-                new = list({pieces[k] for k in gaps})
-                found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-                raw = np.fromiter(chain.from_iterable(found), self.kind).tobytes()
-                at = [0, *accumulate(len(x) * self.kind().itemsize for x in found)]
-                cache.update((p, raw[a:b]) for p, a, b in zip(new, at, at[1:]))
-                for k in gaps:
-                    codes[k] = cache[pieces[k]]
+        for i, j in pretoken.batches_of(texts, 1 << 21):
+            whole = {r: np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind) for r, t in enumerate(texts[i:j]) if any(s in t for s in self.special)}
+            ids, first = self._ids(["" if r in whole else t for r, t in enumerate(texts[i:j])])
             for r in range(j - i):
-                yield np.frombuffer(whole[r] if r in whole else b"".join(codes[first[r] : first[r + 1]]), self.kind)
+                yield whole[r] if r in whole else ids[first[r] : first[r + 1]]
 
 
 def encoder(path: str) -> LibraryEncoder:
@@ -225,8 +285,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) + 1 for x in ids]], pa.list_(pa.int64())), pa.array([len(flat)], pa.int64()), pa.array([matrix], pa.binary())], names=["part", "seq", "doc_ids", "sizes", "n_ids", "matrix"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                piece = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 1000):
+                piece = batch.slice(i, 1000)
                 texts = ["" if t is None else t for t in piece.column(1).to_pylist()]
                 for d, x in zip(piece.column(0).to_pylist(), own.encode(texts)):
                     doc_ids.append(d)
