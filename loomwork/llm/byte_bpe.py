@@ -136,6 +136,8 @@ def _texts(column) -> list[str]:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int), ends (byte offset behind each id) of every row of docs (doc_id, text)."""
 
+    worker.small_batches(docs.sparkSession)
+
     def run(batches):
         own = Vocabulary.of(path)
         for batch in batches:
@@ -166,6 +168,8 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: encodes every text and decodes its ids again."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
+    worker.small_batches(docs.sparkSession)
+
     def run(batches):
         own = Vocabulary.of(path)
         for batch in batches:

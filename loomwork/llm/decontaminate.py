@@ -229,6 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every text and item that overlap; docs: doc_id, text."""
     import uuid
 
+    worker.small_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
     for sent in _blocks(benchmark):
@@ -250,6 +251,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs (any columns, text among them) that overlap with no item."""
     import uuid
 
+    worker.small_batches(docs.sparkSession)
     out = docs
     for sent in _blocks(benchmark):
         key = uuid.uuid4().hex

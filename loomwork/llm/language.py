@@ -279,6 +279,7 @@ def _bits(docs: DataFrame, languages: Languages) -> DataFrame:
     """doc_id, keep, lang_pred, score, bits (per character), chars, of docs (doc_id, text, keep)."""
     names, key = list(languages.models), languages.key
     sent = docs.sparkSession.sparkContext.broadcast(languages.models)
+    worker.small_batches(docs.sparkSession)
 
     def run(batches):
         own = _reader(sent, names, key)
@@ -297,6 +298,7 @@ def accepted(docs: DataFrame, languages: Languages) -> DataFrame:
         return docs.limit(0)
     names, key, limit, at = list(languages.models), languages.key, languages.limits(), docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(languages.models)
+    worker.small_batches(docs.sparkSession)
 
     def run(batches):
         own = _reader(sent, names, key)

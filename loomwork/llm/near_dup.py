@@ -98,6 +98,8 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, key_a, key_b, band_keys (empty for the empty set) of every row."""
 
+    worker.small_batches(docs.sparkSession)
+
     def run(batches):
         worker.cache("near_dup")
         signer = Signer(bands, rows)

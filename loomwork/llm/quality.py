@@ -121,6 +121,8 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every row of docs."""
 
+    worker.small_batches(docs.sparkSession)
+
     def run(batches):
         worker.cache("quality")
         for batch in batches:

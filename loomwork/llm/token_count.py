@@ -128,6 +128,8 @@ class _Counts(dict):
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs (doc_id, text)."""
 
+    worker.small_batches(docs.sparkSession)
+
     def run(batches):
         own = Counter.of(path)
         for batch in batches:

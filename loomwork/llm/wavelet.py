@@ -272,6 +272,8 @@ SHARD_SCHEMA = "part int, seq int, doc_ids array<long>, sizes array<long>, n_ids
 def write(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
     """Encode docs (doc_id, text) in ascending doc_id order, end_id behind each, as wavelet shards at path."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    worker.small_batches(docs.sparkSession)
+
     def run(batches):
         from pyspark import TaskContext
 

@@ -10,6 +10,11 @@ import ctypes
 import gc
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Bytes of texts that go to a Python worker at a time; a longer text goes alone.
+BATCH_BYTES = 4 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _kept: dict[str, dict] = {}
 
@@ -25,6 +30,13 @@ def cache(operator: str) -> dict:
     return _kept.setdefault(operator, {})
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, where they aren't bounded more tightly: texts may be long, and rows say little about size."""
+    now = spark.conf.get(_SETTING, str(1 << 30))
+    if not now.isdigit() or int(now) <= 0 or int(now) > BATCH_BYTES:
+        spark.conf.set(_SETTING, str(BATCH_BYTES))
+
+
 def release() -> None:
     """Give freed memory back to the system, where it can be."""
     pa.default_memory_pool().release_unused()

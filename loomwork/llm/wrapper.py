@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm import worker
 from loomwork.plans import storage
 
 SAMPLE_PAGES = 24
@@ -345,6 +346,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    worker.small_batches(pages.sparkSession)
     known = wrappers(rows)
     known = F.broadcast(known) if storage.small_enough(known, WRAPPERS_TO_SEND) else known
     lines = rows.withColumn("host", _host()).join(known, "host", "left").select("page_id", "url", "html", "wrapper")
