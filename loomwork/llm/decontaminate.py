@@ -44,13 +44,22 @@ ITEMS_TO_SEND = 100_000
 _ANSWER = re.compile(r"\n\s*(?:answer|a|réponse|antwort|respuesta)\s*[:.)]", re.IGNORECASE)
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals U+00C0 to U+00DE as small letters; ASCII is left to the word scan."""
+    out = data.copy()
+    second = data[1:]
+    capital = (data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
+    out[1:] += capital.view(np.uint8) * np.uint8(0x20)
+    return out
+
+
 def hashed_words(texts: list[str]) -> list[np.ndarray]:
     """Hashes of the words (letters and digits, lower case) of each text."""
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     offsets = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) for r in raw], out=offsets[1:])
-    w = W.Words(data, offsets, lower=True, apart=W.NOT_ALNUM)
+    w = W.Words(folded(data), offsets, lower=True, apart=W.NOT_ALNUM)
     h = w.hashes()
     return [h[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
 
@@ -122,7 +131,7 @@ class Index:
             return
         for i, j in W.chunks(offsets):
             base = offsets[i]
-            w = W.Words(data[base : offsets[j]], offsets[i : j + 1] - base, lower=True, apart=W.NOT_ALNUM)
+            w = W.Words(folded(data[base : offsets[j]]), offsets[i : j + 1] - base, lower=True, apart=W.NOT_ALNUM)
             for hit in self._search(w.hashes(), w.first):
                 yield (i + hit[0], *hit[1:])
 

@@ -71,3 +71,10 @@ def test_odd_rows(spark):
     assert {x for x in got if x[1] != 1} == {(7, 5)}
     assert D.contaminated(docs.limit(0), bench).collect() == [] and D.contaminated(docs, bench.limit(0)).collect() == []
     assert sorted(r.doc_id for r in D.clean(docs, bench).collect()) == [1, 2, 4, 5] and D.clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_case_and_marks(spark):
+    item = "Ñandú élève übung señor garçon über straße dónde está la época añil corazón"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item.upper().replace("STRASSE", "straße")), (2, "«" + item.replace(" ", ", ") + "»!"), (3, "otra cosa muy distinta que nada tiene que ver")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in D.contaminated(docs, bench).collect()) == [1, 2]
