@@ -23,8 +23,8 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+"
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN}
@@ -32,12 +32,14 @@ PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 CONTEXT = {
     "email": r"(?i)e-?mail|contact|write",
-    "ip": r"(?i)\bip\b|address|server|host",
+    "ip": r"(?i)(?:^|[^a-z])ip(?:[^a-z]|$)|address|server|host",
     "card": r"(?i)card|visa|credit|payment|account",
     "phone": r"(?i)phone|tel|call|mobile|fax",
     "iban": r"(?i)iban|bank|account",
-    "ssn": r"(?i)\bssn\b|social|security",
+    "ssn": r"(?i)(?:^|[^a-z])ssn(?:[^a-z]|$)|social|security",
 }
+#: What may not stand directly before or behind a span.
+NOT_BESIDE = {"iban": "[A-Za-z0-9]", "ssn": "[0-9-]"}
 CONTEXT_CHARS, BOOST, KEEP = 40, 0.3, 0.5
 BLOCK = 256
 
@@ -49,8 +51,9 @@ def _matches(kind: str, text: Column) -> Column:
     text with very many matches takes no quadratic time worth speaking of.
     """
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    pieces = F.transform(F.split(text, PATTERNS[kind], -1), lambda p: F.struct(F.char_length(p).alias("n"), F.right(p, F.lit(CONTEXT_CHARS)).alias("near")))
-    pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("match"), p["n"].alias("n"), (p["n"] + F.char_length(m)).alias("step"), p["near"].alias("before")))
+    pieces = F.transform(F.split(text, PATTERNS[kind], -1), lambda p: F.struct(F.char_length(p).alias("n"), F.right(p, F.lit(CONTEXT_CHARS)).alias("near"), F.left(p, F.lit(1)).alias("first")))
+    between = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), F.slice(pieces, F.lit(2), F.size(found)), lambda p, q: F.struct(p["n"].alias("n"), p["near"].alias("near"), q["first"].alias("after")))
+    pairs = F.zip_with(found, between, lambda m, p: F.struct(m.alias("match"), p["n"].alias("n"), (p["n"] + F.char_length(m)).alias("step"), p["near"].alias("before"), p["after"].alias("after")))
     blocks = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(BLOCK)), lambda b: F.slice(pairs, b, F.lit(BLOCK)))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     offsets = F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + F.aggregate(b, F.lit(0), lambda t, x: t + x["step"])).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
@@ -58,7 +61,7 @@ def _matches(kind: str, text: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         a, b = acc["at"] + x["n"], acc["at"] + x["step"]
         span = F.struct(a.alias("start"), b.alias("end"), x["match"].alias("match"), x["before"].alias("before"))
-        return F.struct(b.alias("at"), F.when(_plausible(kind, x["match"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(b.alias("at"), F.when(_plausible(kind, x), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     def spans(block: Column, offset: Column) -> Column:
         begin = F.struct(offset.alias("at"), F.array().cast("array<struct<start:int,end:int,match:string,before:string>>").alias("out"))
@@ -67,8 +70,10 @@ def _matches(kind: str, text: Column) -> Column:
     return F.when(F.size(found) > 0, F.flatten(F.zip_with(blocks, offsets, spans))).otherwise(F.array().cast("array<struct<start:int,end:int,match:string,before:string>>"))
 
 
-def _plausible(kind: str, match: Column) -> Column:
-    return F.length(match) >= 12 if kind == "card" else F.lit(True)
+def _plausible(kind: str, x: Column) -> Column:
+    if kind in NOT_BESIDE:
+        return ~F.right(x["before"], F.lit(1)).rlike(NOT_BESIDE[kind]) & ~x["after"].rlike(NOT_BESIDE[kind])
+    return F.length(x["match"]) >= 12 if kind == "card" else F.lit(True)
 
 
 def _digits(match: Column) -> Column:
