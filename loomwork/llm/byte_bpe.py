@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from loomwork.llm import pretoken, worker
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 
 class Vocabulary:

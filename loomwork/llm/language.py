@@ -170,8 +170,8 @@ class Identifier:
             a, b = len(self.place), len(self.place) + len(new)
             if b > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros((b, self.rows.shape[1]))])
-            for i in range(0, len(new), 20_000):
-                self.rows[a + i : min(a + i + 20_000, b)] = self.entropies(new[i : i + 20_000])
+            for i in range(0, len(new), 5_000):
+                self.rows[a + i : min(a + i + 5_000, b)] = self.entropies(new[i : i + 5_000])
             self.place.update(zip(new, range(a, b)))
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         text = np.repeat(np.arange(len(texts)), np.diff(first))
