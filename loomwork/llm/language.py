@@ -229,7 +229,7 @@ def _sample(docs: DataFrame) -> DataFrame:
     # where a language has few rows, the calibration rows are fitted on too
     few = share * (SAMPLE_ROWS + CALIBRATION_ROWS) > 1
     part = F.when(few | (draw < share * SAMPLE_ROWS), "fit").when(draw < share * (SAMPLE_ROWS + CALIBRATION_ROWS), "calibrate")
-    return labelled.select("lang", "text", part.alias("part")).where("part is not null")
+    return labelled.select("lang", "text", part.alias("part")).where("part is not null").distinct()  # repeated rows fall together
 
 
 def fit(docs: DataFrame) -> Languages:

@@ -334,7 +334,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     counts = pages.groupBy(_host().alias("host")).count()
     counts = F.broadcast(counts) if storage.small_enough(counts, WRAPPERS_TO_SEND) else counts
     draw = F.pmod(F.xxhash64("url", F.octet_length("html")), F.lit(1 << 40)) / float(1 << 40)
-    sample = pages.where("html is not null").withColumn("host", _host()).join(counts, "host").where(draw * F.col("count") < SAMPLE_PAGES).select("host", "html")
+    sample = pages.where("html is not null").withColumn("host", _host()).join(counts, "host").where(draw * F.col("count") < SAMPLE_PAGES).select("host", "html").distinct()  # repeated rows fall together
 
     def learn(table):
         path, drop = infer(sorted(table.column("html").to_pylist()))
