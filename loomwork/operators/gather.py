@@ -63,7 +63,7 @@ def expert_shard_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok, experts = routing._split(spark, sf_dir, F.lit(0.0))
     pairs = routing.gate(tok, experts, routing.TOP, scale=routing.SCALE)
     own = experts.select(F.col("id").alias("expert"), vectors.total(vectors.doubles(F.col("vector"))).alias("s"))
-    p = pairs.join(F.broadcast(own), "expert").groupBy("tok", F.least(F.expr(f"expert * 4 div {routing.EXPERTS}"), F.lit(3)).alias("shard")).agg(F.sum(F.col("weight") * F.col("s")).alias("part"))
+    p = pairs.join(own, "expert").groupBy("tok", F.least(F.expr(f"expert * 4 div {routing.EXPERTS}"), F.lit(3)).alias("shard")).agg(F.sum(F.col("weight") * F.col("s")).alias("part"))
     return p.groupBy("tok").agg(F.count(F.lit(1)).alias("shards"), F.round(F.sum("part"), 6).alias("total"), F.round(F.max("part"), 6).alias("largest"))
 
 

@@ -83,7 +83,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int, keep: DataFrame |
         some = queries.where(F.pmod(F.xxhash64("q"), F.lit(n)) == k).select("q", double("vector").alias("x"))
         met = rows.crossJoin(F.broadcast(some))
         if keep is not None:
-            met = met.join(F.broadcast(keep.join(some, "q", "left_semi")), ["q", "blk"], "left_semi")
+            met = met.join(keep.join(some, "q", "left_semi"), ["q", "blk"], "left_semi")
         score = F.round(F.aggregate(F.zip_with("v", "x", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6)
         best = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
         part = met.select("q", "id", score.alias("score")).withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= top)
@@ -122,7 +122,7 @@ def retrieval_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
         # a block's best rows are all that two levels can return
         inner = met.withColumn("r", F.row_number().over(Window.partitionBy("q", "blk").orderBy(F.col("score").desc(), "id"))).where("r <= 8")
         top = inner.where("r = 1").withColumn("b", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "blk"))).where("b <= 4").select("q", "blk")
-        part = inner.join(F.broadcast(top), ["q", "blk"], "left_semi").withColumn("rk", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id")).cast("long")).where("rk <= 8").select("q", "id", "blk", "score", "rk")
+        part = inner.join(top, ["q", "blk"], "left_semi").withColumn("rk", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id")).cast("long")).where("rk <= 8").select("q", "id", "blk", "score", "rk")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "q long, id long, blk long, score double, rk long")
 

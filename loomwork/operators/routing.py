@@ -28,8 +28,8 @@ def transform(score: Column, kind: str) -> Column:
 
 def expert_matrix(experts: DataFrame) -> DataFrame:
     """One row: experts, an array of (id, vector, bias) in id order; experts: id, vector, bias."""
-    few = experts.limit(MAX_EXPERTS + 1)
-    return few.agg(F.array_sort(F.collect_list(F.struct("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), "bias"))).alias("experts"))
+    few = experts.limit(MAX_EXPERTS + 1).agg(F.array_sort(F.collect_list(F.struct("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), "bias"))).alias("experts"))
+    return few.select(F.when(F.size("experts") > MAX_EXPERTS, F.raise_error(F.lit(f"more than {MAX_EXPERTS} experts"))).otherwise(F.col("experts")).alias("experts"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -91,7 +91,7 @@ def dispatch(pairs: DataFrame, experts: DataFrame, gmax: int) -> DataFrame:
     counts = ranks.zero_filled(pairs.groupBy("expert").agg(F.count(F.lit(1)).alias("n")), experts, ["expert"], "n")
     starts = counts.select("expert", "n", (F.sum("n").over(Window.orderBy("expert")) - F.col("n")).alias("start"))
     placed = ranks.global_index(pairs, ["expert", "pair"], "place")
-    return placed.join(F.broadcast(starts) if MAX_EXPERTS >= EXPERTS else starts, "expert").select("pair", "expert", "place", "start", "n", F.expr(f"(place - start) div {gmax}").alias("grp"))
+    return placed.join(starts, "expert").select("pair", "expert", "place", "start", "n", F.expr(f"(place - start) div {gmax}").alias("grp"))
 
 
 _PAIRS = f"(SELECT tok * {TOP} + slot AS pair, expert FROM {_gate_sql('0.0')})"
@@ -116,7 +116,7 @@ def dispatch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def combine(pairs: DataFrame, experts: DataFrame) -> DataFrame:
     """Per token, the weighted sum of its experts' vectors in slot order; pairs: tok, slot, expert, weight."""
     vectors = experts.select(F.col("id").alias("expert"), F.transform("vector", lambda x: x.cast("double")).alias("v"))
-    rows = pairs.join(F.broadcast(vectors), "expert").groupBy("tok").agg(F.array_sort(F.collect_list(F.struct("slot", "weight", "v"))).alias("rows"))  # top-k rows a token
+    rows = pairs.join(vectors, "expert").groupBy("tok").agg(F.array_sort(F.collect_list(F.struct("slot", "weight", "v"))).alias("rows"))  # top-k rows a token
     zero = F.transform(F.col("rows")[0]["v"], lambda x: F.lit(0.0))
     return rows.select("tok", F.aggregate("rows", zero, lambda a, r: F.zip_with(a, r["v"], lambda x, y: x + r["weight"] * y)).alias("y"))
 
@@ -152,5 +152,5 @@ def hot_expert_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("layer"), F.col("l_partkey").alias("expert"))
     c = rows.groupBy("layer", "expert").agg(F.count(F.lit(1)).alias("hits"))
     hot = c.withColumn("slot", F.row_number().over(Window.partitionBy("layer").orderBy(F.col("hits").desc(), "expert")) - 1).where(F.col("slot") < HOT).select("layer", "expert", "slot")
-    placed = c.join(F.broadcast(hot), ["layer", "expert"], "left")
+    placed = c.join(hot, ["layer", "expert"], "left")
     return placed.groupBy("layer").agg(F.count(F.lit(1)).alias("experts"), F.sum("hits").alias("hits"), F.sum(F.when(F.col("slot").isNotNull(), F.col("hits")).otherwise(0)).alias("hot_hits"), F.count(F.when(F.col("slot").isNull(), 1)).alias("cold_experts"), F.sum(F.coalesce("slot", F.lit(HOT))).cast("long").alias("slots"))

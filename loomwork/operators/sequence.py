@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwork.plans import storage
 from loomwork.registry import query
 from loomwork.session import TOKENS_SQL, numbers, table, tokens
 
@@ -45,8 +46,8 @@ def accepted(rows: DataFrame, guess: DataFrame, block: int) -> DataFrame:
     actual = rows.select("seq", "pos", "tok", *(F.lead("tok", i).over(w).alias(f"a{i}") for i in range(1, block + 1))).where(f"a{block} is not null")
     chain = guess.select(F.col("tok").alias("_t0"), F.col("nxt").alias("d1"))
     for i in range(2, block + 1):
-        chain = chain.join(F.broadcast(guess.select(F.col("tok").alias(f"d{i - 1}"), F.col("nxt").alias(f"d{i}"))), f"d{i - 1}")
-    both = actual.join(F.broadcast(chain.withColumnRenamed("_t0", "tok")), "tok")
+        chain = chain.join(guess.select(F.col("tok").alias(f"d{i - 1}"), F.col("nxt").alias(f"d{i}")), f"d{i - 1}")
+    both = actual.join(chain.withColumnRenamed("_t0", "tok"), "tok")
     acc = F.lit(0)
     for i in range(block, 0, -1):
         acc = F.when(F.col(f"a{i}") == F.col(f"d{i}"), acc + 1).otherwise(F.lit(0))
@@ -60,7 +61,7 @@ SELECT r.acc, (SELECT count(*) FROM h WHERE h.acc = r.acc) AS n, (SELECT round(a
 def spec_accept_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J18 A26 A29 W14 ST5: histogram of accepted prefixes, zero-filled, with the share that got at least so far and the mean."""
     rows = tokens(spark, sf_dir)
-    counts = accepted(rows, bigram_best(rows), BLOCK).groupBy("acc").agg(F.count(F.lit(1)).alias("n"))
+    counts = accepted(rows, storage.written(bigram_best(rows), "bigrams"), BLOCK).groupBy("acc").agg(F.count(F.lit(1)).alias("n"))
     full = numbers(spark, list(range(BLOCK + 1)), "acc").join(F.broadcast(counts), "acc", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     every = Window.orderBy(F.col("acc").desc())  # six rows
     whole = Window.partitionBy()
@@ -70,11 +71,11 @@ def spec_accept_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_BEST}, r(start, step, tok) AS (SELECT tok, 0::BIGINT, tok FROM b UNION ALL SELECT r.start, r.step + 1, b.nxt FROM r JOIN b ON b.tok = r.tok WHERE r.step < 5) SELECT start, step, tok FROM r")
 def spec_markov_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five draft steps from every token, each depending on the one before."""
-    best = bigram_best(tokens(spark, sf_dir)).persist()
+    best = storage.written(bigram_best(tokens(spark, sf_dir)), "bigrams")
     now = best.select(F.col("tok").alias("start"), F.lit(0).cast("long").alias("step"), "tok")
     out = now
     for k in range(1, 6):
-        now = now.join(F.broadcast(best), "tok").select("start", F.lit(k).cast("long").alias("step"), F.col("nxt").alias("tok"))
+        now = now.join(best, "tok").select("start", F.lit(k).cast("long").alias("step"), F.col("nxt").alias("tok"))
         out = out.unionByName(now)
     return out
 

@@ -50,7 +50,7 @@ def cross_coverage(m: DataFrame, n: int) -> DataFrame:
     top = ranked(m).where(F.col("rk") <= n).select(F.col("task").alias("t"), "expert")
     total = m.groupBy(F.col("task").alias("u")).agg(F.sum("mass").alias("total"))
     shared = top.join(m.select(F.col("task").alias("u"), "expert", "mass"), "expert").groupBy("t", "u").agg(F.sum("mass").alias("held"))
-    return shared.join(F.broadcast(total), "u").select("t", "u", F.round(F.col("held") / F.col("total"), 6).alias("coverage"))
+    return shared.join(total, "u").select("t", "u", F.round(F.col("held") / F.col("total"), 6).alias("coverage"))
 
 
 @query(f"WITH m AS ({_MASS}), r AS ({_RANKED}), w AS (SELECT task AS u, sum(mass) AS total FROM m GROUP BY 1) SELECT r.task AS t, m.task AS u, round(sum(m.mass) / max(w.total), 6) AS coverage FROM r JOIN m ON r.expert = m.expert JOIN w ON w.u = m.task WHERE r.rk <= 80 GROUP BY 1, 2")
@@ -146,7 +146,7 @@ def trace_op_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = e.where("event_type = 'signup' and user_id % 3 = 0").select("k", "ts", "event_id", F.col("user_id").cast("string").alias("op"))
     c = outermost(e.where("event_type = 'click'").select("event_id", "k", "ts"), ops, "k")
     start = c.groupBy("op").agg(F.min("ts").alias("start"))
-    return c.join(F.broadcast(start), "op").select("event_id", "k", "op", F.expr("timestampdiff(MICROSECOND, start, ts)").alias("since"))
+    return c.join(start, "op").select("event_id", "k", "op", F.expr("timestampdiff(MICROSECOND, start, ts)").alias("since"))
 
 
 @query("SELECT l_linenumber::BIGINT AS step, count(DISTINCT l_returnflag) = 1 AS same, count(DISTINCT l_returnflag) AS ord FROM lineitem GROUP BY 1")
