@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from loomwork.functions.hashing import NgramHash
 from loomwork.plans import ranks, storage
 from loomwork.registry import query
-from loomwork.session import TOKENS_SQL, table, tokens
+from loomwork.session import TOKENS_SQL, coded, table
 
 HASH = NgramHash.make(n=3, heads=2, size=1000, vocabulary=1 << 17)
 PAD = 0
@@ -17,12 +17,10 @@ PAD = 0
 BREAK = 2
 
 
-def history(tok: str, n: int, key: str = "seq", order: str = "pos", stop: int | None = BREAK) -> list[Column]:
-    """The token and the n - 1 before it; the pad once the sequence's start or a stop token was passed, and from then on."""
-    w = Window.partitionBy(key).orderBy(order)
-    out, blocked = [F.col(tok)], F.lit(False)
-    for k in range(1, n):
-        back = F.lag(tok, k).over(w)
+def masked(history: list[Column], stop: int | None = BREAK) -> list[Column]:
+    """A token and those before it; the pad once the sequence's start (null) or a stop token was passed, and from then on."""
+    out, blocked = [history[0]], F.lit(False)
+    for back in history[1:]:
         blocked = blocked | back.isNull() | ((back == stop) if stop is not None else F.lit(False))
         out.append(F.when(blocked, F.lit(PAD)).otherwise(back).cast("long"))
     return out
@@ -34,16 +32,27 @@ _IDS = HASH.sql(["t0", "t1", "t2"])
 
 
 def ngram_ids(df: DataFrame, scheme: NgramHash = HASH) -> DataFrame:
-    """seq, pos and one id per n-gram length and head (h0, h1, ...)."""
-    past = history("tok", scheme.n)
-    rows = df.select("seq", "pos", *(c.alias(f"t{i}") for i, c in enumerate(past)))
-    return rows.select("seq", "pos", *(c.alias(f"h{i}") for i, c in enumerate(scheme.columns([F.col(f"t{i}") for i in range(scheme.n)]))))
+    """Seq, pos and one id per n-gram length and head (h0, h1, ...); df: seq, tok, ts, event_id.
+
+    Histories come from a window over each sequence, or, where one sequence
+    is too long for a task, from windows over equal buckets of rows.
+    """
+    n = scheme.n - 1
+    if ranks.hottest(df, "seq") > ranks.HOT_KEY_ROWS:
+        rows = ranks.lags(df, "seq", ["ts", "event_id"], "tok", n).withColumn("pos", F.col("_pos"))
+        past = [F.col(f"_lag{k}") for k in range(1, n + 1)]
+    else:
+        w = Window.partitionBy("seq").orderBy("ts", "event_id")
+        rows = df.withColumns({"pos": F.row_number().over(w).cast("long") - 1, **{f"_lag{k}": F.lag("tok", k).over(w) for k in range(1, n + 1)}})
+        past = [F.col(f"_lag{k}") for k in range(1, n + 1)]
+    held = rows.select("seq", "pos", *(c.alias(f"t{i}") for i, c in enumerate(masked([F.col("tok"), *past]))))
+    return held.select("seq", "pos", *(c.alias(f"h{i}") for i, c in enumerate(scheme.columns([F.col(f"t{i}") for i in range(scheme.n)]))))
 
 
 @query(f"SELECT seq, pos, {', '.join(f'{e} AS h{i}' for i, e in enumerate(_IDS))} FROM {_HISTORY}")
 def ngram_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1 H1 H2 H3 H4 P15."""
-    return ngram_ids(tokens(spark, sf_dir))
+    return ngram_ids(coded(spark, sf_dir))
 
 
 @query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS pos FROM documents),
@@ -66,7 +75,7 @@ def ngram_hash_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT h.seq, count(*) AS hits, round(sum(p.p_retailprice), 6) AS total FROM h, n JOIN part p ON p.p_partkey = h.id % n.n GROUP BY h.seq""")
 def ngram_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids looked up in a large table; ids are counted before the join, so a common n-gram is looked up once a sequence."""
-    ids = ngram_ids(tokens(spark, sf_dir)).select("seq", "h0")
+    ids = ngram_ids(coded(spark, sf_dir)).select("seq", "h0")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     size = part.agg(F.count(F.lit(1)).alias("n"))
     wanted = ids.crossJoin(F.broadcast(size)).groupBy("seq", (F.col("h0") % F.col("n")).alias("p_partkey")).agg(F.count(F.lit(1)).alias("times"))

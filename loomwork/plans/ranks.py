@@ -23,6 +23,36 @@ def global_index(df: DataFrame, order: list[str | Column], name: str = "index")
     return spread.withColumn("_own", own).join(before, "_range").withColumn(name, (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_range", "_own", "_before")
 
 
+#: A key with more rows than this is spread over tasks by lags().
+HOT_KEY_ROWS = 2_000_000
+BUCKET_ROWS = 1 << 20
+
+
+def hottest(df: DataFrame, key: str) -> int:
+    """Rows of the most common key."""
+    return df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+
+
+def lags(df: DataFrame, key: str, order: list[str], column: str, n: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """df with _pos (each row's place in its key, from 0) and _lag1 to _lagn (column so many rows before, within the key), whatever the skew.
+
+    Rows are numbered over the whole table and cut into buckets of equal size;
+    each bucket also gets the last n rows of the one before it.  So no window
+    holds more than a bucket, and a hot key spans buckets.
+    """
+    placed = storage.written(global_index(df, [key, *order], "_i"), "placed")
+    starts = placed.groupBy(F.col(key).alias("_key")).agg(F.min("_i").alias("_start"))
+    b = F.expr(f"_i div {bucket_rows}")
+    own = F.when(F.col("_i") % bucket_rows >= bucket_rows - n, F.array(b, b + 1)).otherwise(F.array(b))
+    w = Window.partitionBy("_b").orderBy("_i")
+    out = placed.withColumn("_b", F.explode(own))
+    for k in range(1, n + 1):
+        back = F.lag(F.struct(F.col(key).alias("k"), F.col(column).alias("v")), k).over(w)
+        out = out.withColumn(f"_lag{k}", back).withColumn(f"_lag{k}", F.when(F.col(f"_lag{k}.k").eqNullSafe(F.col(key)) & F.col(f"_lag{k}").isNotNull(), F.col(f"_lag{k}.v")))
+    out = out.where(F.col("_b") == b)
+    return out.join(starts, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_pos", F.col("_i") - F.col("_start")).drop("_i", "_b", "_key", "_start")
+
+
 def nearest_rank(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
     """group, n and the values at index min(int(n * share), n - 1) of each group's sorted values (from 0).
 

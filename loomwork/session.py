@@ -39,12 +39,16 @@ def numbers(spark: SparkSession, values: list[int], name: str) -> DataFrame:
 TOKEN_IDS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as token sequences: seq, pos (from 0, by ts and event_id), tok, value, event_id, ts."""
-    events = table(spark, sf_dir, "events")
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as tokens of sequences: seq, tok, value, event_id, ts."""
     tok = F.create_map(*(F.lit(x) for kv in TOKEN_IDS.items() for x in kv))[F.col("event_type")].cast("long")
-    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
-    return events.select(F.col("user_id").alias("seq"), pos.alias("pos"), tok.alias("tok"), "value", "event_id", "ts")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("seq"), tok.alias("tok"), "value", "event_id", "ts")
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """coded() with pos, from 0 by ts and event_id; a sequence is one window's partition."""
+    pos = F.row_number().over(Window.partitionBy("seq").orderBy("ts", "event_id")).cast("long") - 1
+    return coded(spark, sf_dir).withColumn("pos", pos)
 
 
 #: tokens() for DuckDB.

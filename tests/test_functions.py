@@ -80,6 +80,19 @@ def test_global_index_and_nearest_rank(spark):
         assert x.n == len(v) and [x[k] for k in shares] == [v[min(int(len(v) * s), len(v) - 1)] for s in shares.values()]
 
 
+def test_lags_over_buckets(spark):
+    r = random.Random(7)
+    rows = [(r.choice([1, 1, 1, 1, 2, None]), i, r.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, t int, v int")
+    by = {}
+    for k, t, v in rows:
+        by.setdefault(k, []).append((t, v))
+    want = {t: (i, *(s[i - j][1] if i >= j else None for j in (1, 2, 3))) for s in by.values() for i, (t, _) in enumerate(s)}
+    for size in (7, 100, 10_000):
+        got = ranks.lags(df, "k", ["t"], "v", 3, size).collect()
+        assert {x.t: (x["_pos"], x["_lag1"], x["_lag2"], x["_lag3"]) for x in got} == want and ranks.hottest(df, "k") == max(map(len, by.values()))
+
+
 def test_asof(spark):
     r = random.Random(6)
     left = [(r.randint(0, 3), r.randint(0, 400), i) for i in range(500)]
@@ -101,3 +114,13 @@ def test_storage(spark):
     storage.drop(t)
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(t._loomwork_path)
+
+
+def test_ngrams_of_hot_sequences(spark, monkeypatch):
+    from loomwork.operators import ngram
+    from loomwork.session import coded
+
+    df = coded(spark, "/root/testdata/sf0.001")
+    plain = sorted(map(tuple, ngram.ngram_ids(df).collect()))
+    monkeypatch.setattr(ranks, "HOT_KEY_ROWS", 1)
+    assert sorted(map(tuple, ngram.ngram_ids(df).collect())) == plain
