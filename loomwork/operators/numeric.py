@@ -147,3 +147,16 @@ def gemm_split_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda m, a: vectors.total(F.zip_with(F.slice("x", a, 32), F.slice(m["w"], a, 32), lambda p, q: p * q))
     y = F.explode(F.transform("m", lambda m: F.struct(m["n"].alias("n"), F.round(part(m, 1) + part(m, 33), 6).alias("y"))))
     return held.select("vec_id", y.alias("o")).select("vec_id", "o.n", "o.y")
+
+
+@query(f"""WITH x AS {_E}, n AS (SELECT vec_id, x, [v / sqrt(list_sum([u * u for u in x]) / len(x) + 1e-6) for v in x] AS y FROM x), w AS (SELECT n.vec_id, b.vec_id AS j, list_inner_product(n.y, b.x) AS w FROM n, x b WHERE b.vec_id < 4),
+s AS (SELECT vec_id, sum(w * (1 + j * 0.25)) AS s FROM w GROUP BY 1) SELECT n.vec_id, round(s.s * list_sum(n.x), 6) AS total, round(s.s * n.x[63], 6) AS y62 FROM n JOIN s ON s.vec_id = n.vec_id""")
+def hyper_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four scaled copies of a row, mixed by products of its norm with four fixed rows."""
+    rows = _x(spark, sf_dir).select("vec_id", "x")
+    base = rows.where("vec_id < 4").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("b"))  # four rows
+    held = rows.crossJoin(F.broadcast(base)).withColumn("y", vectors.rms_norm(F.col("x")))
+    weights = F.transform("b", lambda b: vectors.total(F.zip_with("y", b["x"], lambda p, q: p * q)))
+    copies = F.transform("b", lambda b: F.transform("x", lambda v: v * (1 + b["vec_id"] * 0.25)))
+    mixed = held.withColumns({"c": copies, "w": weights}).select("vec_id", vectors.mix(F.col("c"), F.col("w")).alias("m"))
+    return mixed.select("vec_id", F.round(vectors.total(F.col("m")), 6).alias("total"), F.round(F.col("m")[62], 6).alias("y62"))

@@ -113,6 +113,29 @@ class HotCache:
         return [{"step": self.steps - 1, "hits": hits, "swaps": swaps, "rate": self.hits / max(self.seen, 1)}]
 
 
+class History:
+    """ST4: the last n - 1 tokens of a sequence; a stop token hides what came before it."""
+
+    def __init__(self, n: int = 3, stop: int = 2, pad: int = 0):
+        self.n, self.stop, self.pad, self.pos, self.last = n, stop, pad, -1, []
+
+    def step(self, row: dict[str, Any]) -> list[dict[str, Any]]:
+        self.pos += 1
+        seen = []
+        for t in reversed(self.last):
+            if t == self.stop:
+                break
+            seen.append(t)
+        seen += [self.pad] * (self.n - 1 - len(seen))
+        self.last = [*self.last, row["tok"]][1 - self.n :]
+        return [{"pos": self.pos, **{f"t{i + 1}": t for i, t in enumerate(seen)}}]
+
+
+def copied(machine: Any) -> Any:
+    """ST7: a machine in the same state for another key, which shares nothing with the first."""
+    return load(type(machine), dump(machine))
+
+
 def dump(machine: Any) -> str:
     return json.dumps(machine.__dict__)
 
@@ -181,11 +204,19 @@ def stream_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
 h AS (SELECT *, coalesce(tok = lag(tok) OVER (PARTITION BY key ORDER BY pos) % 5 + 1, false) AS hit FROM t), g AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY pos) AS g FROM h)
 SELECT key, pos, hit, count(*) OVER (PARTITION BY key, g ORDER BY pos) - 1 AS run, least(pos + 1, 5) AS visible FROM g""")
 def stream_decode_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1 ST2 ST5 ST7: drafts verified token by token; of a ring of 8 slots three hold drafts that are not visible."""
+    """ST1 ST2 ST5: drafts verified token by token; of a ring of 8 slots three hold drafts that are not visible."""
     rows = event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), "ts", "event_id", _tok().alias("tok"))
     return drained(process(rows, "key", Speculation, "key bigint, pos bigint, hit boolean, run bigint, visible bigint", ["ts", "event_id"]), "decoded")
 
 
+@query("""WITH t AS (SELECT user_id AS key, row_number() OVER w - 1 AS pos, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END::BIGINT AS tok FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+l AS (SELECT *, coalesce(lag(tok, 1) OVER w, 0) AS b1, coalesce(lag(tok, 2) OVER w, 0) AS b2 FROM t WINDOW w AS (PARTITION BY key ORDER BY pos)) SELECT key, pos, CASE WHEN b1 = 2 THEN 0 ELSE b1 END AS t1, CASE WHEN b1 = 2 OR b2 = 2 THEN 0 ELSE b2 END AS t2 FROM l""")
+def stream_ngram_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST4 W1: histories over a stream; equal to the batch windows."""
+    rows = event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), "ts", "event_id", _tok().alias("tok"))
+    return drained(process(rows, "key", History, "key bigint, pos bigint, t1 bigint, t2 bigint", ["ts", "event_id"]), "histories")
+
+
 @query()
 def stream_hot_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST6: hit rate of each layer's slots, step by step; sequential, so tested against the same rules in Python."""

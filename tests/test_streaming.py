@@ -42,3 +42,13 @@ def test_streams(spark, tmp_path):
         want = [c.step({"ids": [int(u) * m % 40 for m in (1, 7, 11)]})[0] for u in part.user_id]
         mine = got[got.key == kind].sort_values("step")
         assert mine.hits.tolist() == [w["hits"] for w in want] and mine.swaps.tolist() == [w["swaps"] for w in want]
+
+
+def test_copies_share_nothing():
+    a = state.HotCache()
+    for i in range(20):
+        a.step({"ids": [i % 5, 30]})
+    b = state.copied(a)
+    assert state.dump(a) == state.dump(b)
+    b.step({"ids": [1]})
+    assert state.dump(a) != state.dump(b)
