@@ -60,15 +60,18 @@ t AS (SELECT doc_id, pos, ascii(word) * 32 + least(length(word), 31) AS t0, lag(
 h AS (SELECT doc_id, {', '.join(f'{e} AS h{i}' for i, e in enumerate(_IDS))} FROM t)
 SELECT doc_id, count(*) AS grams, {', '.join(f'sum(h{i})::BIGINT AS s{i}' for i in range(4))} FROM h GROUP BY doc_id""")
 def ngram_hash_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of the ids of each text's words; the history is an array of its own row, so nothing is shuffled or sorted."""
+    """Sums of the ids of each text's words; a fold over the row's own array carries the history, so nothing is shuffled or sorted."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     ids = F.transform(words, lambda w: (F.ascii(w) * 32 + F.least(F.length(w), F.lit(31))).cast("long"))
     docs = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).where("size(ids) > 0")
-    back = lambda i, k: F.when(i >= k, F.col("ids")[F.greatest(i - k, F.lit(0))]).otherwise(F.lit(PAD).cast("long"))
-    zero = F.array(*(F.lit(0).cast("long") for _ in range((HASH.n - 1) * HASH.heads)))
-    hashed = F.transform("ids", lambda t, i: F.array(*HASH.columns([t, back(i, 1), back(i, 2)])))
-    sums = F.aggregate(hashed, zero, lambda a, h: F.zip_with(a, h, lambda x, y: x + y))
-    return docs.select("doc_id", F.size("ids").cast("long").alias("grams"), sums.alias("s")).select("doc_id", "grams", *(F.col("s")[i].alias(f"s{i}") for i in range(4)))
+    zero, back, sums = F.lit(PAD).cast("long"), [f"b{k}" for k in range(1, HASH.n)], [f"s{i}" for i in range((HASH.n - 1) * HASH.heads)]
+
+    def step(a: Column, t: Column) -> Column:
+        past = [t, *(a[b] for b in back)]
+        return F.struct(*(p.alias(b) for p, b in zip(past, back)), *((a[s] + h).alias(s) for s, h in zip(sums, HASH.columns(past))))
+
+    folded = F.aggregate("ids", F.struct(*(zero.alias(x) for x in (*back, *sums))), step)
+    return docs.select("doc_id", F.size("ids").cast("long").alias("grams"), folded.alias("f")).select("doc_id", "grams", *(F.col(f"f.{x}") for x in sums))
 
 
 @query(f"""WITH h AS (SELECT seq, pos, {_IDS[0]} AS id FROM {_HISTORY}), n AS (SELECT count(*) AS n FROM part)
