@@ -23,16 +23,21 @@ def mass(routed: DataFrame) -> DataFrame:
     return routed.groupBy("task", "expert").agg(F.sum("weight").alias("mass"), F.count(F.lit(1)).alias("hits"))
 
 
-def ranked(m: DataFrame) -> DataFrame:
-    """Each task's experts by mass, ties by id, with the task's total."""
-    task = Window.partitionBy("task")
-    return m.withColumn("rk", F.row_number().over(task.orderBy(F.round("mass", 6).desc(), "expert"))).withColumn("total", F.sum("mass").over(task))
+def top(m: DataFrame, n: int) -> DataFrame:
+    """Each task's n largest experts with their rank rk, ties by id; every task of the cluster keeps its own n first, so nothing is ranked whole."""
+    return m.withColumn("rk", F.row_number().over(Window.partitionBy("task").orderBy(F.round("mass", 6).desc(), "expert"))).where(F.col("rk") <= n)
+
+
+def totals(m: DataFrame) -> DataFrame:
+    """task, total, experts."""
+    return m.groupBy("task").agg(F.sum("mass").alias("total"), F.count(F.lit(1)).alias("experts"))
 
 
 def coverage(m: DataFrame, ns: list[int]) -> DataFrame:
     """A5: share of a task's mass in its n largest experts."""
-    r = ranked(m).withColumn("n", F.explode(F.array(*(F.lit(n).cast("long") for n in ns))))
-    return r.groupBy("task", "n").agg(F.round(F.sum(F.when(F.col("rk") <= F.col("n"), F.col("mass")).otherwise(0.0)) / F.max("total"), 6).alias("coverage"), F.count(F.lit(1)).alias("experts"))
+    r = top(m, max(ns)).withColumn("n", F.explode(F.array(*(F.lit(n).cast("long") for n in ns))))
+    held = r.groupBy("task", "n").agg(F.sum(F.when(F.col("rk") <= F.col("n"), F.col("mass")).otherwise(0.0)).alias("held"))
+    return held.join(totals(m), "task").select("task", "n", F.round(F.col("held") / F.col("total"), 6).alias("coverage"), "experts")
 
 
 _MASS = "SELECT event_type AS task, user_id AS expert, sum(abs(value)) AS mass, count(*) AS hits FROM events GROUP BY 1, 2"
@@ -47,10 +52,9 @@ def telemetry_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cross_coverage(m: DataFrame, n: int) -> DataFrame:
     """Share of task u's mass on the n largest experts of task t; a left join on the expert, never task by task loops."""
-    top = ranked(m).where(F.col("rk") <= n).select(F.col("task").alias("t"), "expert")
-    total = m.groupBy(F.col("task").alias("u")).agg(F.sum("mass").alias("total"))
-    shared = top.join(m.select(F.col("task").alias("u"), "expert", "mass"), "expert").groupBy("t", "u").agg(F.sum("mass").alias("held"))
-    return shared.join(total, "u").select("t", "u", F.round(F.col("held") / F.col("total"), 6).alias("coverage"))
+    best = top(m, n).select(F.col("task").alias("t"), "expert")
+    shared = best.join(m.select(F.col("task").alias("u"), "expert", "mass"), "expert").groupBy("t", "u").agg(F.sum("mass").alias("held"))
+    return shared.join(totals(m).withColumnRenamed("task", "u"), "u").select("t", "u", F.round(F.col("held") / F.col("total"), 6).alias("coverage"))
 
 
 @query(f"WITH m AS ({_MASS}), r AS ({_RANKED}), w AS (SELECT task AS u, sum(mass) AS total FROM m GROUP BY 1) SELECT r.task AS t, m.task AS u, round(sum(m.mass) / max(w.total), 6) AS coverage FROM r JOIN m ON r.expert = m.expert JOIN w ON w.u = m.task WHERE r.rk <= 80 GROUP BY 1, 2")
@@ -65,7 +69,7 @@ def js_divergence(m: DataFrame) -> DataFrame:
     Per expert the tasks' shares lie in one map, so pairs of tasks (a small
     square) are formed within a row and experts are never joined to each other.
     """
-    p = m.withColumn("p", F.col("mass") / F.sum("mass").over(Window.partitionBy("task")))
+    p = m.join(totals(m), "task").withColumn("p", F.col("mass") / F.col("total"))
     tasks = p.select(F.lit(0).alias("one"), "task").groupBy("one").agg(F.array_sort(F.collect_set("task")).alias("tasks")).drop("one")
     rows = p.groupBy("expert").agg(F.map_from_entries(F.collect_list(F.struct("task", "p"))).alias("shares")).crossJoin(F.broadcast(tasks))
     share = lambda t: F.greatest(F.coalesce(F.col("shares")[t], F.lit(0.0)), F.lit(1e-12))
@@ -107,8 +111,8 @@ SELECT device, kernel, total, calls, rk, round(total / calls, 6) AS per_call, ro
 def kernel_rollup_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 22 kernels that take most of each device's time, with percent of its total."""
     k = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("device"), F.col("user_id").alias("kernel")).agg(F.round(F.sum("value"), 6).alias("total"), F.count(F.lit(1)).alias("calls"))
-    device = Window.partitionBy("device")
-    r = k.withColumn("rk", F.row_number().over(device.orderBy(F.col("total").desc(), "kernel")).cast("long")).withColumn("whole", F.sum("total").over(device)).where("rk <= 22")
+    best = k.withColumn("rk", F.row_number().over(Window.partitionBy("device").orderBy(F.col("total").desc(), "kernel"))).where("rk <= 22").withColumn("rk", F.col("rk").cast("long"))
+    r = best.join(k.groupBy("device").agg(F.sum("total").alias("whole")), "device")
     return r.select("device", "kernel", "total", "calls", "rk", F.round(F.col("total") / F.col("calls"), 6).alias("per_call"), F.round(100 * F.col("total") / F.col("whole"), 6).alias("percent"))
 
 

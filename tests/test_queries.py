@@ -47,6 +47,12 @@ def test_plans(spark):
         assert "CartesianProduct" not in plan and "Python" not in plan and "Arrow" not in plan, name
 
 
+def test_top_n_is_limited_before_the_shuffle(spark):
+    for name in ("telemetry_coverage", "kernel_rollup_topn", "hot_expert_choice"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan and "Partial" in plan, name
+
+
 def test_pushdown(spark):
     plan = catalog.queries()["stop_string_cut"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
