@@ -151,6 +151,6 @@ def hot_expert_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hottest experts of each layer get slots; pairs of the others get the dummy slot with weight 0."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("layer"), F.col("l_partkey").alias("expert"))
     c = rows.groupBy("layer", "expert").agg(F.count(F.lit(1)).alias("hits"))
-    hot = c.withColumn("slot", F.row_number().over(Window.partitionBy("layer").orderBy(F.col("hits").desc(), "expert")) - 1).where(F.col("slot") < HOT).select("layer", "expert", "slot")
+    hot = c.withColumn("rk", F.row_number().over(Window.partitionBy("layer").orderBy(F.col("hits").desc(), "expert"))).where(F.col("rk") <= HOT).select("layer", "expert", (F.col("rk") - 1).alias("slot"))
     placed = c.join(hot, ["layer", "expert"], "left")
     return placed.groupBy("layer").agg(F.count(F.lit(1)).alias("experts"), F.sum("hits").alias("hits"), F.sum(F.when(F.col("slot").isNotNull(), F.col("hits")).otherwise(0)).alias("hot_hits"), F.count(F.when(F.col("slot").isNull(), 1)).alias("cold_experts"), F.sum(F.coalesce("slot", F.lit(HOT))).cast("long").alias("slots"))
