@@ -33,13 +33,20 @@ SAMPLE_ROWS, CALIBRATION_ROWS, MAX_LANGUAGES = 300, 300, 400
 #: A text is rejected when its bits per character exceed the language's calibrated mean by so many standard deviations and by so many bits.
 REJECT_SD, REJECT_BITS = 8.0, 1.5
 #: Few characters say little: a text's bits may exceed the limit by so many bits in all.
-SHORT_BITS = 16.0
+SHORT_BITS = 32.0
 #: Probability of a character that no model has seen.
 FLOOR = 2.0**-20
 #: Divides the difference in bits per character in the score.
 TEMPERATURE = 0.25
 CACHE_ENTRIES = 300_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Words of letters alone; only where a text has none, the letters of mixed ones (codes, keys) count.
+WORD, LETTERS = re.compile(r"\b[^\W\d_]+\b"), re.compile(r"[^\W\d_]+")
+
+
+def _words(text: str) -> list[str]:
+    low = text.lower()
+    words = WORD.findall(low)
+    return words if any(map(str.isalpha, words)) else LETTERS.findall(low)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -93,7 +100,7 @@ class Model:
 
     @classmethod
     def fit(cls, texts: list[str]) -> "Model":
-        words = [w for t in texts for w in WORD.findall(t.lower())]
+        words = [w for t in texts for w in _words(t)]
         if not words:
             words = [""]
         g, c = gram_keys(words, ORDER), context_keys(words, ORDER)
@@ -161,7 +168,7 @@ class Identifier:
         """Each text's bits under each language and its characters."""
         words, first = [], [0]
         for t in texts:
-            words += WORD.findall(t.lower())
+            words += _words(t)
             first.append(len(words))
         if len(self.place) > CACHE_ENTRIES:
             self.place.clear()

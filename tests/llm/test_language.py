@@ -35,7 +35,7 @@ def test_odd_rows(spark):
     r = random.Random(2)
     word = lambda a: "".join(r.choice(a) for _ in range(r.randint(2, 8)))
     rows = [(i, " ".join(word("abcde" if i % 2 else "xyzvw") for _ in range(50)), "ab" if i % 2 else "xy", 0.5) for i in range(200)]
-    rows += [(900, None, "ab", 0.0), (901, "", None, 0.0), (902, "123 ½ _ ### ²", "ab", 0.0), (903, "abcd", None, 0.0), (903, "abcd", None, 0.0), (904, "日本語のテキスト" * 50, None, 0.0), (905, "abc " * 60_000, None, 0.0)]
+    rows += [(900, None, "ab", 0.0), (901, "", None, 0.0), (902, "123 ½ _ ### ²", "ab", 0.0), (903, "abcd", None, 0.0), (903, "abcd", None, 0.0), (904, "日本語のテキスト" * 50, None, 0.0), (905, "abc " * 60_000, None, 0.0), (906, "ab1cd2 ½", None, 0.0), (907, "abcd edcba 6cfd1f1f244d4c4c327ecfd8fd9898497c475388 bead", None, 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     got = language.identify(docs).collect()
     assert len(got) == len(rows)
@@ -43,6 +43,7 @@ def test_odd_rows(spark):
     for d in (900, 901, 902):
         assert (by[d].lang_pred, by[d].score, by[d].rejected) == ("und", 0.0, True)
     assert by[903].lang_pred == "ab" and not by[903].rejected and by[905].lang_pred == "ab"
+    assert by[906].lang_pred in ("ab", "xy") and by[907].lang_pred == "ab" and not by[907].rejected
     assert by[904].rejected and by[904].lang_pred in ("ab", "xy")
     assert all(by[i].lang_pred == ("ab" if i % 2 else "xy") for i in range(200))
     assert language.identify(docs.limit(0)).collect() == []
