@@ -169,22 +169,58 @@ def join(a: Expr, b: Expr) -> Expr:
     return a
 
 
+def _suffixes(a: list[str], b: list[str]):
+    """A function of (i, j): length of the longest common subsequence of a[i:] and b[j:].
+
+    Rows are bits: bit j of row i says that the length falls from j to j + 1.
+    Every k-th row is kept, the rows between are made again when i gets there,
+    so 2 * sqrt(len(a)) rows are held at a time.
+    """
+    n, m = len(a), len(b)
+    full, k = (1 << m) - 1, max(1, int(n**0.5))
+    where: dict[str, int] = {}
+    for j, sign in enumerate(reversed(b)):
+        where[sign] = where.get(sign, 0) | (1 << j)
+
+    def before(row: int, i: int) -> int:
+        # Hyyrö's step; zero bits mark where the length grows, from b's end
+        both = row & where.get(a[i], 0)
+        return ((row + both) | (row - both)) & full
+
+    kept, row = {n: full}, full
+    for i in range(n - 1, -1, -1):
+        row = before(row, i)
+        if i % k == 0:
+            kept[i] = row
+    held: dict[int, int] = {}
+
+    def length(i: int, j: int) -> int:
+        if i not in held:
+            held.clear()
+            low = i // k * k
+            top = min(low + k, n)
+            held[top] = kept[top]
+            for x in range(top - 1, low - 1, -1):
+                held[x] = before(held[x + 1], x)
+        size = m - j
+        return size - (held[i] & ((1 << size) - 1)).bit_count()
+
+    return length
+
+
 def _aligned(a: list[Expr], b: list[Expr]) -> list[Expr]:
     """Both sequences' children in one, by their longest common subsequence of signs."""
-    if len(a) * len(b) > 250_000:
-        a, b = a[:500], b[:500]  # a template has fewer parts than this
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i].sign == b[j].sign else max(below[j], row[j + 1])
-    out, i, j = [], 0, 0
+    out, i, j, length = [], 0, 0, None
     while i < n or j < m:
         if i < n and j < m and a[i].sign == b[j].sign:
             out.append(join(a[i], b[j]))
             i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
+            continue
+        if length is None and i < n and j < m:  # what both begin with needs none
+            at_a, at_b = i, j
+            length = _suffixes([x.sign for x in a[i:]], [x.sign for x in b[j:]])
+        if j >= m or (i < n and length(i + 1 - at_a, j - at_b) >= length(i - at_a, j + 1 - at_b)):
             a[i].optional = True
             out.append(a[i])
             i += 1

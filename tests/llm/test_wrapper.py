@@ -47,3 +47,27 @@ def test_alignment():
     (div,) = wrapper.join(a, b).kids
     assert [(k.sign, k.optional, k.repeated) for k in div.kids] == [("i", True, False), ("p", False, True), ("b", False, False)] or [(k.sign, k.optional, k.repeated) for k in div.kids] == [("p", False, True), ("i", True, False), ("b", False, False)]
     assert div.kids[-1].kids[0].text == "same" and next(k for k in div.kids if k.sign == "p").kids[0].text is None
+
+
+def test_long_lists_are_aligned_whole():
+    r = random.Random(5)
+    tags = ["p", "h2", "ul", "table", "pre", "dl", "section"]
+
+    def long_page():
+        return "<body><div class=top>" + "".join(f"<{t}>{words(r, 2)}</{t}>" for t in r.choices(tags, k=900)) + "</div><div class=text>" + "".join(f"{words(r, 3)}<b>{words(r, 1)}</b>" if i % 7 else f"<i>{words(r, 1)}</i>" for i in range(900)) + "<blockquote>Printed by our own site</blockquote></div>"
+
+    pages = [long_page() for _ in range(6)]
+    path, constants = wrapper.infer(pages)
+    assert constants == ["Printed by our own site"]
+
+
+def test_alignment_is_longest():
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = (r.choices("abcd", k=r.randint(0, 30)) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        got = wrapper._aligned([wrapper.Expr(x, []) for x in a], [wrapper.Expr(x, []) for x in b])
+        assert len(got) == len(a) + len(b) - best[0][0]
