@@ -46,7 +46,8 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 AWAY = re.compile(r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|banner|breadcrumb\w*|byline|comment\w*|consent|cookie\w*|disqus|disclaimer|footer|gdpr|header|login|masthead|menu\w*|modal|nav\w*|newsletter|notice\w*|alert|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|repl(?:y|ies)|respond|responses|search\w*|share\w*|sharing|sidebar\w*|side|signup|skip|social\w*|sponsor\w*|subscribe|subscription|teaser|toolbar|topbar|widget\w*)(?:$|[-_\s])", re.IGNORECASE)
 TOWARDS = re.compile(r"(?:^|[-_\s])(?:article\w*|body|content|entry\w*|main\w*|post\w*|story\w*|text)(?:$|[-_\s])", re.IGNORECASE)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+NAMED = re.compile(r"class|id|role", re.IGNORECASE)
 
 
 class Node:
@@ -101,8 +102,8 @@ def parse(source: str) -> Node:
                     break
                 if stack[i].tag in BLOCK:
                     break
-        names = " ".join((v or w or x) for _, v, w, x in NAMED.findall(m[3])) if m[3] else ""
-        node = Node(tag, re.sub(r"\d+", "", names).strip()[:80])
+        names = " ".join(v or w or x for name, v, w, x in ATTRIBUTE.findall(m[3]) if name.lower() in ("class", "id", "role")) if NAMED.search(m[3]) else ""
+        node = Node(tag, re.sub(r"\d+", "", names).strip())
         stack[-1].kids.append(node)
         if tag not in VOID and not m[3].endswith("/") and len(stack) < MAX_DEPTH:
             stack.append(node)

@@ -71,3 +71,14 @@ def test_alignment_is_longest():
                 best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
         got = wrapper._aligned([wrapper.Expr(x, []) for x in a], [wrapper.Expr(x, []) for x in b])
         assert len(got) == len(a) + len(b) - best[0][0]
+
+
+def test_names_count_whole():
+    long = " ".join(["mt-2 flex items-center justify-between rounded-lg border-gray shadow-sm"] * 3)
+    r = random.Random(7)
+    for mark in (f'class="{long}" id="comments"', f"class='{long} sidebar'", 'data-id="' + "x" * 100 + '" class=newsletter', 'title="a class=b" class="widget"'):
+        source = f"<body><div id=main><h1>Title</h1><p>{words(r, 30)}</p><div {mark}><p>Not the article</p></div></div>"
+        assert "Not the article" not in wrapper.extract(source, None, set()), mark
+    a, b = (wrapper.parse(f'<div class="{long} {x}">x</div>').kids[0].sign for x in ("left", "right"))
+    assert a != b
+    assert wrapper.parse('<div data-id="comments" aria-role=menu>x</div>').kids[0].names == ""
