@@ -78,6 +78,7 @@ class Index:
         split = [parts(t or "") for _, t in items]
         questions, answers = hashed_words([q for q, _ in split]), hashed_words([a for _, a in split])
         self.question: list[np.ndarray] = []
+        self.gram: list[int] = []  # words of each of the question's sequences
         self.answer: list[np.ndarray] = []
         units, owner = [], []
         for k, (q, a) in enumerate(zip(questions, answers)):
@@ -86,6 +87,7 @@ class Index:
                 cut = len(q) - len(q) // 3
                 a = q[cut:]
             g = min(GRAM, max(len(q), 1))
+            self.gram.append(g)
             self.question.append(np.unique(W.windows(q, g)))
             self.answer.append(np.unique(a))
             for i in range(0, len(whole), UNIT):
@@ -187,7 +189,7 @@ class Index:
             a, b = first[x] + max(0, min(c) - 1) * STRIDE, min(first[x + 1], first[x] + (max(c) + 3) * STRIDE)
             seen = h[a:b]
             grams = self.question[k]
-            q = float(np.isin(grams, W.windows(seen, GRAM if self.words[k] >= GRAM else max(int(self.words[k]), 1))).mean()) if len(grams) else 1.0
+            q = float(np.isin(grams, W.windows(seen, self.gram[k])).mean()) if len(grams) else 1.0
             r = float(np.isin(self.answer[k], seen).mean()) if len(self.answer[k]) else 1.0
             least = 1.0 if self.words[k] < SHORT_ITEM else QUESTION
             if q >= least and r >= (1.0 if self.words[k] < SHORT_ITEM else ANSWER):

@@ -78,3 +78,17 @@ def test_case_and_marks(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     docs = spark.createDataFrame([(1, item.upper().replace("STRASSE", "straße")), (2, "«" + item.replace(" ", ", ") + "»!"), (3, "otra cosa muy distinta que nada tiene que ver")], "doc_id long, text string")
     assert sorted(r.doc_id for r in D.contaminated(docs, bench).collect()) == [1, 2]
+
+
+def test_short_questions():
+    items = ["Define osmosis.\nAnswer: movement of water through a membrane towards the side with more dissolved matter", "2+2?\nAnswer: 4", "Which?\nA. the winding silver brook near the old mill", "Name three rivers\nAnswer: elbe oder weser"]
+    index = D.Index(list(enumerate(items)))
+    filler = "nothing of this kind stands here at all "
+    for k, item in enumerate(items):
+        for text in (item, filler * 20 + item.upper() + " " + filler * 20):
+            data = np.frombuffer(text.encode(), np.uint8)
+            hits = list(index.search(data, np.array([0, len(data)])))
+            assert [(h[1], h[3], h[4]) for h in hits] == [(k, 1.0, 1.0)], item
+    for text in (filler * 40, "movement of water through a membrane towards the side with more dissolved matter", "osmosis needs no word of ours, define it"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert list(index.search(data, np.array([0, len(data)]))) == []
