@@ -7,8 +7,12 @@ slots.  The wrapper says where a host's article stands (the element that holds
 most of the slots' text) and which texts there belong to the template.  A page
 is read along its wrapper; one that doesn't fit is its own wrapper.
 
-Wrappers are fitted on a bounded sample: SAMPLE_PAGES expected of each host,
-whole pages; all pages are extracted.
+Wrappers are fitted on all pages.  A page's outline (the containers near its
+root) says which template it comes from, in a fine and in a coarse form.  Each
+page is reduced to its own expression; these are joined in buckets, then over
+the buckets, for each fine outline, each coarse outline and each host.  A page
+is read along the wrapper of its fine outline if at least SUPPORT pages have
+it, else of its coarse one, else of its host.  Copies of a page count once.
 
 Defined results: a null or empty html has the text ""; pages without ``://`` in
 their URL, or with none, share one wrapper; repeated rows stay rows.
@@ -16,6 +20,7 @@ their URL, or with none, share one wrapper; repeated rows stay rows.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -27,9 +32,14 @@ from pyspark.sql import functions as F
 from loomwork.llm import worker
 from loomwork.plans import storage
 
-SAMPLE_PAGES = 24
-#: Pages that must share a text before it counts as the template's.
+#: Pages that must share a text before it counts as the template's, and an outline before it has its own wrapper.
 SUPPORT = 5
+#: Levels of elements in the fine and the coarse outline; body is the first.
+FINE, COARSE = 4, 2
+#: Tasks that the pages of one host may be dealt to, and outlines of a host that a task holds before it passes them on.
+BUCKETS, HELD = 256, 1000
+#: Texts longer than this are kept as digests in wrappers.
+PLAIN = 32
 #: Elements that are nested deeper become neighbours.
 MAX_DEPTH = 200
 #: At most so many wrappers (some kB each) are broadcast; more are joined.
@@ -40,6 +50,7 @@ RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CONTAINER = {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "tr", "td", "form"}
+OUTLINE = CONTAINER | {"nav", "footer", "aside", "header"}
 NEVER = {"nav", "footer", "aside", "form", "button", "select", "option", "input", "label", "menu", "dialog"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 #: Words of class and id values that mark what is not the article, and what is.
@@ -129,13 +140,38 @@ class Expr:
 TEXT = "#text"
 
 
+def mark(text: str) -> str:
+    """A text as wrappers hold it."""
+    return text if len(text) <= PLAIN else "\0" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _number(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def outlines(root: Node) -> tuple[int, int]:
+    """Hashes of a page's fine and coarse outline: the paths of its containers, each once; what an article holds is content."""
+    found: dict[str, int] = {}
+    todo = [(root, "", 0)]
+    while todo:
+        node, path, depth = todo.pop()
+        for k in node.kids:
+            if not isinstance(k, str) and k.tag in OUTLINE:
+                at = f"{path}>{k.sign}"
+                found[at] = depth + 1
+                if depth + 1 < FINE and k.tag != "article":
+                    todo.append((k, at, depth + 1))
+    fine, coarse = ("\n".join(sorted(at for at, d in found.items() if d <= most)).encode("utf-8", "surrogatepass") for most in (FINE, COARSE))
+    return _number(fine), _number(coarse)
+
+
 def express(node: Node) -> Expr:
     """The wrapper of one page."""
     kids = []
     for k in node.kids:
         if isinstance(k, str):
             if t := " ".join(entities.unescape(k).split()):
-                kids.append(Expr(TEXT, [], t, len(t)))
+                kids.append(Expr(TEXT, [], mark(t), len(t)))
         elif k.tag != "br":
             kids.append(express(k))
     return Expr(node.sign, fold(kids))
@@ -157,6 +193,31 @@ def fold(kids: list[Expr]) -> list[Expr]:
     return kids
 
 
+def pack(e: Expr) -> str:
+    """A wrapper as JSON, parents before children."""
+    out: list = []
+    todo = [e]
+    while todo:
+        x = todo.pop()
+        out += (x.sign, x.text, x.optional + 2 * x.repeated, x.pages, x.chars, len(x.kids))
+        todo.extend(reversed(x.kids))
+    return json.dumps(out)
+
+
+def unpack(packed: str) -> Expr:
+    """The wrapper of pack()."""
+    parts = iter(json.loads(packed))
+
+    def read() -> Expr:
+        sign, text, flags, pages, chars, n = (next(parts) for _ in range(6))
+        e = Expr(sign, [], text, chars)
+        e.optional, e.repeated, e.pages = bool(flags & 1), bool(flags & 2), pages
+        e.kids = [read() for _ in range(n)]
+        return e
+
+    return read()
+
+
 def join(a: Expr, b: Expr) -> Expr:
     """a becomes the union-free generalisation of both."""
     a.optional |= b.optional
@@ -291,16 +352,19 @@ def constants(wrapper: Expr, path: list[str]) -> list[str]:
     return out
 
 
+def read_off(wrapper: Expr) -> tuple[list[str], list[str]]:
+    """(path, constants) of a wrapper."""
+    path = region(wrapper)
+    return path, constants(wrapper, path)
+
+
 def infer(pages: list[str]) -> tuple[list[str], list[str]]:
     """(path, constants) of the wrapper of some pages."""
     wrapper = None
     for source in pages:
         e = express(parse(source))
         wrapper = e if wrapper is None else join(wrapper, e)
-    if wrapper is None:
-        return [], []
-    path = region(wrapper)
-    return path, constants(wrapper, path)
+    return read_off(wrapper) if wrapper is not None else ([], [])
 
 
 def _size(node: Node) -> int:
@@ -324,7 +388,7 @@ def blocks(node: Node, drop: set[str], inside: bool) -> list[str]:
 
     def flush() -> None:
         if t := " ".join(entities.unescape("".join(held)).split()):
-            if t not in drop:
+            if not drop or mark(t) not in drop:
                 out.append(t)
         held.clear()
 
@@ -366,18 +430,102 @@ def _host():
     return F.coalesce(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON of path and constants) of every host of pages (url, html)."""
-    counts = pages.groupBy(_host().alias("host")).count()
-    counts = F.broadcast(counts) if storage.small_enough(counts, WRAPPERS_TO_SEND) else counts
-    draw = F.pmod(F.xxhash64("url", F.octet_length("html")), F.lit(1 << 40)) / float(1 << 40)
-    sample = pages.where("html is not null").withColumn("host", _host()).join(counts, "host").where(draw * F.col("count") < SAMPLE_PAGES).select("host", "html").distinct()  # repeated rows fall together
+def _described(batches):
+    """Each page's (host, digest, fine and coarse outline, expression); batches: host, html."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            out = []
+            for source in part.column(1).to_pylist():
+                root = parse(source)
+                out.append((_number(source.encode("utf-8", "surrogatepass")), *outlines(root), pack(express(root))))
+            digest, fine, coarse, expr = zip(*out)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (digest, fine, coarse)), pa.array(expr, pa.string())], names=["host", "digest", "fine", "coarse", "expr"])
+
+
+#: Partial wrappers: level 2 is of a fine outline, whose coarse one is up; 1 of a coarse outline; 0 of a host.
+_PARTS = pa.schema([("host", pa.string()), ("level", pa.int64()), ("key", pa.int64()), ("up", pa.int64()), ("expr", pa.string())])
+
+
+def _joined(batches):
+    """Partial wrappers of pages that come by host and digest; copies count once."""
+    fine: dict[int, tuple[int, Expr]] = {}
+    host = digest = None
+
+    def parts():
+        out, coarse, whole = [], {}, None
+        for key, (up, e) in sorted(fine.items(), key=lambda x: x[0]):
+            out.append((host, 2, key, up, pack(e)))
+            coarse[up] = join(coarse[up], e) if up in coarse else e
+        for key, e in sorted(coarse.items(), key=lambda x: x[0]):
+            out.append((host, 1, key, 0, pack(e)))
+            whole = join(whole, e) if whole else e
+        if whole:
+            out.append((host, 0, 0, 0, pack(whole)))
+        fine.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _PARTS)], schema=_PARTS)
+
+    for batch in batches:
+        for h, d, key, up, expr in zip(*(c.to_pylist() for c in batch.columns)):
+            if fine and (h != host or len(fine) >= HELD):
+                yield parts()
+            if (h, d) == (host, digest):
+                continue
+            host, digest = h, d
+            e = unpack(expr)
+            fine[key] = (up, join(fine[key][1], e) if key in fine else e)
+    if fine:
+        yield parts()
+
 
-    def learn(table):
-        path, drop = infer(sorted(table.column("html").to_pylist()))
-        return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([json.dumps([path, drop])])})
+_LEARNED = pa.schema([("host", pa.string()), ("level", pa.int64()), ("key", pa.int64()), ("up", pa.int64()), ("pages", pa.int64()), ("wrapper", pa.string())])
 
-    return storage.written(sample.groupBy("host").applyInArrow(learn, "host string, wrapper string"), "wrappers")
+
+def _learned(batches):
+    """What whole wrappers say, from partial ones that come by host, level and key."""
+    now, whole, out = None, None, []
+
+    def line():
+        return (*now, whole.pages, json.dumps(read_off(whole)))
+
+    def ready():
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _LEARNED)], schema=_LEARNED)
+
+    for batch in batches:
+        for *key, expr in zip(*(c.to_pylist() for c in batch.columns)):
+            if whole and key != now:
+                out.append(line())
+                whole = None
+                if len(out) >= 500:
+                    yield ready()
+                    out.clear()
+            now = key
+            whole = join(whole, unpack(expr)) if whole else unpack(expr)
+    if whole:
+        out.append(line())
+    if out:
+        yield ready()
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, key (a fine outline), wrapper (JSON of path and constants) of every outline of pages (url, html)."""
+    described = pages.where("html <> ''").select(_host().alias("host"), "html").mapInArrow(_described, "host string, digest long, fine long, coarse long, expr string")
+    parts = described.repartition("host", F.pmod("digest", F.lit(BUCKETS))).sortWithinPartitions("host", "digest").mapInArrow(_joined, "host string, level long, key long, up long, expr string")
+    learned = storage.written(parts.repartition("host", "level", "key").sortWithinPartitions("host", "level", "key", "up", "expr").mapInArrow(_learned, "host string, level long, key long, up long, pages long, wrapper string"), "learned")
+    fine = learned.where("level = 2").select("host", "key", "up", F.when(F.col("pages") >= SUPPORT, F.col("wrapper")).alias("fine"))
+    coarse = learned.where(f"level = 1 and pages >= {SUPPORT}").select("host", F.col("key").alias("up"), F.col("wrapper").alias("coarse"))
+    whole = learned.where("level = 0").select("host", F.col("wrapper").alias("whole"))
+    known = fine.join(coarse, ["host", "up"], "left").join(whole, "host").select("host", "key", F.coalesce("fine", "coarse", "whole").alias("wrapper"))
+    known = storage.written(known, "wrappers")
+    storage.drop(learned)
+    return known
+
+
+def _keyed(batches):
+    """Rows with their fine outline; batches: page_id, url, html, host."""
+    for batch in batches:
+        keys = [outlines(parse(source))[0] if source else None for i in range(0, batch.num_rows, 500) for source in batch.column(2).slice(i, 500).to_pylist()]
+        yield batch.append_column("key", pa.array(keys, pa.int64()))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -386,7 +534,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     worker.small_batches(pages.sparkSession)
     known = wrappers(rows)
     known = F.broadcast(known) if storage.small_enough(known, WRAPPERS_TO_SEND) else known
-    lines = rows.withColumn("host", _host()).join(known, "host", "left").select("page_id", "url", "html", "wrapper")
+    keyed = rows.withColumn("host", _host()).mapInArrow(_keyed, "page_id long, url string, html string, host string, key long")
+    lines = keyed.join(known, ["host", "key"], "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches):
         read: dict[str, tuple[list[str], set[str]]] = {}

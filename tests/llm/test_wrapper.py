@@ -82,3 +82,29 @@ def test_names_count_whole():
     a, b = (wrapper.parse(f'<div class="{long} {x}">x</div>').kids[0].sign for x in ("left", "right"))
     assert a != b
     assert wrapper.parse('<div data-id="comments" aria-role=menu>x</div>').kids[0].names == ""
+
+
+def test_rare_template_of_a_large_host(spark):
+    r = random.Random(9)
+    rows, want = [], {}
+    for i in range(340):
+        source, text = page(2 if i % 34 == 5 else 0, r, i)
+        rows.append((i, f"http://large.x/{i}", source))
+        want[i] = text
+    rows += [(i, f"http://large.x/again{i}", rows[5][2]) for i in range(400, 420)]
+    want |= {i: want[5] for i in range(400, 420)}
+    for n in (1, 7):
+        got = wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)).collect()
+        assert len(got) == len(rows)
+        assert [row.page_id for row in got if row.text != want[row.page_id]] == []
+
+
+def test_packed_wrappers():
+    r = random.Random(10)
+    e = None
+    for i in range(30):
+        x = wrapper.express(wrapper.parse(page(1, r, i)[0]))
+        assert wrapper.pack(wrapper.unpack(wrapper.pack(x))) == wrapper.pack(x)
+        e = x if e is None else wrapper.join(e, x)
+    again = wrapper.unpack(wrapper.pack(e))
+    assert wrapper.pack(again) == wrapper.pack(e) and again.pages == 30 and wrapper.read_off(again) == wrapper.read_off(e)
