@@ -4,8 +4,19 @@ Pages of one host are generalised step by step into one union-free regular
 expression over their element trees: children are aligned, mismatches become
 optional, equal neighbours become repeated groups, and texts that differ become
 slots.  The wrapper says where a host's article stands (the element that holds
-most of the slots' text) and which texts there belong to the template.  A page
-is read along its wrapper; one that doesn't fit is its own wrapper.
+most of the slots' text outside links), which of its groups are lists of links,
+and which texts at which of its places are the template's.  A page is matched
+against its wrapper, children against children, and read by what the wrapper
+says at each place; one that doesn't fit is its own wrapper.
+
+A block is the template's where all its texts are, at the places where they
+stand: a value of a slot counts as such that four fifths of the pages have, or
+nearly all pages that have an optional element.  So that copies of one article
+are not taken for a template, nothing counts where such values would be the
+greater part of the article's text.  Element names (nav, form and the like) say
+what is never an article's; class, id and role words decide only for groups
+that these rules leave open, by their last word (a "cookie-notice" is a notice,
+a "notice-period" none), and never for nearly all of the text.
 
 Wrappers are fitted on all pages.  A page's outline (the containers near its
 root) says which template it comes from, in a fine and in a coarse form.  Each
@@ -15,11 +26,17 @@ is read along the wrapper of its fine outline if at least SUPPORT pages have
 it, else of its coarse one, else of its host.  Copies of a page count once.
 
 Defined results: a null or empty html has the text ""; pages without ``://`` in
-their URL, or with none, share one wrapper; repeated rows stay rows.
+their URL, or with none, share one wrapper; repeated rows stay rows.  A text is
+known as the template's only where SUPPORT pages show it, so a host of fewer
+pages has none.  Elements nested deeper than MAX_DEPTH count as neighbours of
+their parents; their texts and order stay.  An unclosed script or style reaches
+to the page's end, as in browsers; an unclosed svg, object and the like to its
+parent's.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as entities
 import json
@@ -42,19 +59,31 @@ BUCKETS, HELD = 256, 1000
 PLAIN = 32
 #: Elements that are nested deeper become neighbours.
 MAX_DEPTH = 200
-#: At most so many wrappers (some kB each) are broadcast; more are joined.
-WRAPPERS_TO_SEND = 10_000
+#: Wrappers are broadcast if all of them have at most so many characters, else joined.
+WRAPPERS_TO_SEND = 32 << 20
+#: Characters of wrappers that a task keeps ready to read by.
+READINGS = 8 << 20
+#: Frequent values that a text's place keeps with the number of pages.
+VALUES = 8
+#: Share of pages that make a value the template's; share of text in links that makes a group a list of links; no group of more than this share of the text is left out for its names or links.
+SHARE, LINKED, MOST = 0.8, 0.6, 0.9
 
 # fixed sets of element names
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "audio", "video", "head", "title"}
+RAW = {"script", "style", "textarea", "iframe", "head", "title"}
+FOREIGN = {"svg", "math"}
+HIDDEN = FOREIGN | {"noscript", "template", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CONTAINER = {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "tr", "td", "form"}
 OUTLINE = CONTAINER | {"nav", "footer", "aside", "header"}
 NEVER = {"nav", "footer", "aside", "form", "button", "select", "option", "input", "label", "menu", "dialog"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-#: Words of class and id values that mark what is not the article, and what is.
-AWAY = re.compile(r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|banner|breadcrumb\w*|byline|comment\w*|consent|cookie\w*|disqus|disclaimer|footer|gdpr|header|login|masthead|menu\w*|modal|nav\w*|newsletter|notice\w*|alert|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|repl(?:y|ies)|respond|responses|search\w*|share\w*|sharing|sidebar\w*|side|signup|skip|social\w*|sponsor\w*|subscribe|subscription|teaser|toolbar|topbar|widget\w*)(?:$|[-_\s])", re.IGNORECASE)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LISTS = {"ul", "ol", "dl", "menu", "div", "section", "table", "tbody", "tr", "td", "nav", "aside"}
+#: Last words of class, id and role values that mark what is not the article, words that may follow them, and words that mark the article.
+AWAY = frozenset("ad ads adv advert adverts advertisement advertising advertisements banner breadcrumb breadcrumbs byline comment comments commenting consent cookie cookies disqus disclaimer footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices alert alerts overlay pager pagination popup promo promos promotion recommended recommendations related reply replies respond response responses search share sharing sidebar sidebars side signup skip social sponsor sponsored sponsors subscribe subscription teaser teasers toolbar topbar widget widgets".split())
+AFTER = frozenset("area articles bar block body box button buttons center column container content fixed form group holder icons inner info item items left link links list main media new outer panel placeholder posts right row section slot small sticky stories text this thread top bottom title unit wrap wrapper zone".split())
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
 TOWARDS = re.compile(r"(?:^|[-_\s])(?:article\w*|body|content|entry\w*|main\w*|post\w*|story\w*|text)(?:$|[-_\s])", re.IGNORECASE)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -106,35 +135,74 @@ def parse(source: str) -> Node:
             continue
         if tag == "html":
             continue
-        if tag in BLOCK:  # a block ends an open paragraph
+        if tag in BLOCK:  # a block ends an open paragraph and foreign content
+            while stack[-1].tag in FOREIGN:
+                stack.pop()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in CLOSES.get(tag, {"p"}):
                     del stack[i:]
                     break
                 if stack[i].tag in BLOCK:
                     break
-        names = " ".join(v or w or x for name, v, w, x in ATTRIBUTE.findall(m[3]) if name.lower() in ("class", "id", "role")) if NAMED.search(m[3]) else ""
-        node = Node(tag, re.sub(r"\d+", "", names).strip())
-        stack[-1].kids.append(node)
-        if tag not in VOID and not m[3].endswith("/") and len(stack) < MAX_DEPTH:
+        names = " ".join(_name(name.lower(), v or w or x) for name, v, w, x in ATTRIBUTE.findall(m[3]) if name.lower() in ("class", "id", "role")) if NAMED.search(m[3]) else ""
+        node = Node(tag, names.strip())
+        if tag not in HIDDEN:
+            stack[-1].kids.append(node)
+        if tag not in VOID and not m[3].endswith("/") and (len(stack) < MAX_DEPTH or tag in HIDDEN):
             stack.append(node)
     return root
 
 
+def _name(attribute: str, value: str) -> str:
+    """A class, id or role value without the numbers that tell single elements apart: all of an id's, those of three digits or more elsewhere."""
+    return re.sub(r"\d+" if attribute == "id" else r"\d{3,}", "", value)
+
+
+def marked(names: str, inside: bool) -> bool:
+    """Whether a class, id or role word says that an element is not the article's. inside: it stands within an article, which may have a header."""
+    for name in names.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        while len(words) > 1 and words[-1] in AFTER:
+            words.pop()
+        if words and words[-1] in AWAY and not (inside and words[-1] == "header"):
+            return True
+    return False
+
+
 def away(tag: str, names: str, inside: bool) -> bool:
-    """Whether an element is never part of an article. inside: it stands within an article."""
-    return tag in NEVER or (tag == "header" and not inside) or bool(names and AWAY.search(names) and tag not in ("html", "body", "article", "main")) or bool(tag == "article" and names and re.search(r"comment|repl", names, re.IGNORECASE))
+    """Whether an element is not part of an article, by its names alone."""
+    return never(tag, names, inside) or bool(names and tag not in ("html", "body", "article", "main") and marked(names, inside))
+
+
+def never(tag: str, names: str, inside: bool) -> bool:
+    """Whether an element of this kind is never part of an article."""
+    return tag in NEVER or (tag == "header" and not inside) or bool(tag == "article" and names and re.search(r"comment|repl", names, re.IGNORECASE))
 
 
 class Expr:
-    """A node of a wrapper: sign, quantifiers, children; for a text, its constant or a slot (None)."""
+    """A node of a wrapper: sign, quantifiers, children; for a text's place, its frequent values and on how many pages it has these, and any."""
 
-    __slots__ = ("sign", "optional", "repeated", "kids", "text", "pages", "chars")
+    __slots__ = ("sign", "optional", "repeated", "kids", "values", "seen", "pages", "chars")
 
     def __init__(self, sign: str, kids: list["Expr"], text: str | None = None, chars: int = 0):
-        self.sign, self.kids, self.text, self.chars = sign, kids, text, chars
+        self.sign, self.kids, self.chars = sign, kids, chars
+        self.values: dict[str, int] = {} if text is None else {text: 1}
         self.optional = self.repeated = False
-        self.pages = 1
+        self.pages = self.seen = 1
+
+    @property
+    def text(self) -> str | None:
+        """The one value of a place that has no other; None for a slot."""
+        return next(iter(self.values)) if len(self.values) == 1 and self.seen in self.values.values() else None
+
+    def add(self, other: "Expr") -> None:
+        """Counts of both places' values; only frequent ones stay (Misra-Gries), each count at most 1 / (VALUES + 1) of all too low."""
+        for v, n in other.values.items():
+            self.values[v] = self.values.get(v, 0) + n
+        self.seen += other.seen
+        if len(self.values) > VALUES:
+            less = sorted(self.values.values(), reverse=True)[VALUES]
+            self.values = {v: n - less for v, n in self.values.items() if n > less}
 
 
 TEXT = "#text"
@@ -142,7 +210,12 @@ TEXT = "#text"
 
 def mark(text: str) -> str:
     """A text as wrappers hold it."""
-    return text if len(text) <= PLAIN else "\0" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return text if len(text) <= PLAIN else f"\0{len(text)}:" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def length(value: str) -> int:
+    """Characters of the text of a mark."""
+    return int(value[1:].partition(":")[0]) if value.startswith("\0") else len(value)
 
 
 def _number(data: bytes) -> int:
@@ -166,14 +239,25 @@ def outlines(root: Node) -> tuple[int, int]:
 
 
 def express(node: Node) -> Expr:
-    """The wrapper of one page."""
+    """The wrapper of one page; each place and value counts once."""
+    out = _expressed(node)
+    todo = [out]
+    while todo:
+        e = todo.pop()
+        e.pages = e.seen = 1
+        e.values = dict.fromkeys(e.values, 1)
+        todo += e.kids
+    return out
+
+
+def _expressed(node: Node) -> Expr:
     kids = []
     for k in node.kids:
         if isinstance(k, str):
             if t := " ".join(entities.unescape(k).split()):
                 kids.append(Expr(TEXT, [], mark(t), len(t)))
         elif k.tag != "br":
-            kids.append(express(k))
+            kids.append(_expressed(k))
     return Expr(node.sign, fold(kids))
 
 
@@ -199,7 +283,7 @@ def pack(e: Expr) -> str:
     todo = [e]
     while todo:
         x = todo.pop()
-        out += (x.sign, x.text, x.optional + 2 * x.repeated, x.pages, x.chars, len(x.kids))
+        out += (x.sign, sorted(x.values.items()), x.optional + 2 * x.repeated, x.pages, x.seen, x.chars, len(x.kids))
         todo.extend(reversed(x.kids))
     return json.dumps(out)
 
@@ -209,9 +293,9 @@ def unpack(packed: str) -> Expr:
     parts = iter(json.loads(packed))
 
     def read() -> Expr:
-        sign, text, flags, pages, chars, n = (next(parts) for _ in range(6))
-        e = Expr(sign, [], text, chars)
-        e.optional, e.repeated, e.pages = bool(flags & 1), bool(flags & 2), pages
+        sign, values, flags, pages, seen, chars, n = (next(parts) for _ in range(7))
+        e = Expr(sign, [], None, chars)
+        e.values, e.optional, e.repeated, e.pages, e.seen = dict(values), bool(flags & 1), bool(flags & 2), pages, seen
         e.kids = [read() for _ in range(n)]
         return e
 
@@ -225,7 +309,7 @@ def join(a: Expr, b: Expr) -> Expr:
     a.pages += b.pages
     a.chars += b.chars
     if a.sign == TEXT:
-        a.text = a.text if a.text == b.text else None
+        a.add(b)
     else:
         a.kids = fold(_aligned(a.kids, b.kids))
     return a
@@ -298,131 +382,240 @@ def _tag(sign: str) -> tuple[str, str]:
     return tag, names
 
 
-def _volume(e: Expr, inside: bool, pages: int) -> int:
-    """Characters in slots below e that may be an article's."""
+def _volume(e: Expr, inside: bool) -> int:
+    """Characters in slots below e that may be an article's: outside links and elements that never are."""
     if e.sign == TEXT:
-        return 0 if e.text is not None and e.pages >= SUPPORT else e.chars
+        return 0 if e.seen >= SUPPORT and e.text is not None else e.chars
     tag, names = _tag(e.sign)
-    if away(tag, names, inside):
+    if tag == "a" or never(tag, names, inside):
         return 0
     inside = inside or tag in ("article", "main")
-    return sum(_volume(k, inside, pages) for k in e.kids)
+    return sum(_volume(k, inside) for k in e.kids)
 
 
-def region(wrapper: Expr) -> list[str]:
-    """Signs from the root's child to the element that holds the article."""
+def _chars(e: Expr, linked: bool = False) -> tuple[int, int]:
+    """All characters below e, and those in links."""
+    if e.sign == TEXT:
+        return e.chars, e.chars if linked else 0
+    linked = linked or _tag(e.sign)[0] == "a"
+    return tuple(map(sum, zip((0, 0), *(_chars(k, linked) for k in e.kids))))
+
+
+def _left_out(e: Expr, inside: bool, volume: int, chars: int) -> bool:
+    """Whether a group of the wrapper is not the article's; volume and chars: those of what holds it."""
+    tag, names = _tag(e.sign)
+    if never(tag, names, inside):
+        return True
+    if tag in LISTS and not inside:
+        whole, linked = _chars(e)
+        if whole and linked >= LINKED * whole and whole <= MOST * chars:
+            return True
+    # names decide where structure doesn't, but not for nearly all of the text
+    return away(tag, names, inside) and _volume(e, inside) <= MOST * volume
+
+
+def region(wrapper: Expr) -> list[int]:
+    """Places, from the root's child on, that lead to the element that holds the article."""
     path, now, inside = [], wrapper, False
     while True:
         tag, _ = _tag(now.sign)
         inside = inside or tag in ("article", "main")
         if tag == "article":
             return path
-        total = _volume(now, inside, wrapper.pages)
-        kids = [(_volume(k, inside, wrapper.pages), k) for k in now.kids if k.sign != TEXT and _tag(k.sign)[0] in CONTAINER]
+        total, chars = _volume(now, inside), _chars(now)[0]
+        volumes = [0 if k.sign != TEXT and _left_out(k, inside, total, chars) else _volume(k, inside) for k in now.kids]
+        total = sum(volumes)
+        kids = [(volumes[i], -i) for i, k in enumerate(now.kids) if k.sign != TEXT and _tag(k.sign)[0] in CONTAINER]
         if not kids or not total:
             return path
-        volume, k = max(kids, key=lambda x: x[0])
+        volume, i = max(kids)
+        k = now.kids[-i]
         name = _tag(k.sign)
         sure = name[0] in ("article", "main") or bool(TOWARDS.search(name[1]))
-        titled = any(_tag(x.sign)[0] == "h1" and _volume(x, inside, wrapper.pages) for x in now.kids)
+        titled = any(_tag(x.sign)[0] == "h1" and _volume(x, inside) for x in now.kids)
         if k.repeated or volume < (0.5 if sure else 0.7) * total or (titled and not sure) or not any(x.sign != TEXT and _tag(x.sign)[0] in BLOCK for x in k.kids):
             return path
-        path.append(k.sign)
+        path.append(-i)
         now = k
 
 
-def constants(wrapper: Expr, path: list[str]) -> list[str]:
-    """Texts of the template within the region."""
-    now = wrapper
-    for sign in path:
-        now = next(k for k in now.kids if k.sign == sign)
-    out = []
+def read_off(wrapper: Expr) -> dict:
+    """How pages of a wrapper are read: the way to the article, by (signs, repeated, place) at each step, and the article's places.
 
-    def walk(e: Expr) -> None:
+    A place is [sign, repeated, whether it is left out, places within it], for
+    a text the values that are the template's.
+    """
+    way, now, inside = [], wrapper, False
+    for i in region(wrapper):
+        inside = inside or _tag(now.sign)[0] in ("article", "main")
+        way.append([[k.sign for k in now.kids], [k.repeated for k in now.kids], i])
+        now = now.kids[i]
+    inside = inside or _tag(now.sign)[0] in ("article", "main")
+    total, whole = _volume(now, inside), _chars(now)[0]
+    chars, known = 0, 0
+
+    def walk(e: Expr, inside: bool, optional: bool, repeated: bool, heading: bool) -> list:
+        nonlocal chars, known
         if e.sign == TEXT:
-            if e.text is not None and e.pages >= SUPPORT and e.pages >= 0.8 * wrapper.pages:
-                out.append(e.text)
-        elif not e.repeated:
-            for k in e.kids:
-                walk(k)
-
-    # if all pages are copies of one, nothing is known to be the template's
-    if _volume(now, True, wrapper.pages):
-        walk(now)
+            chars += e.chars
+            most = wrapper.pages
+            if (optional or e.optional) and not (repeated or e.repeated or heading):
+                most = min(most, e.seen)
+            own = [v for v, n in e.values.items() if n >= SUPPORT and n >= SHARE * most]
+            known += sum(e.values[v] * length(v) for v in own)
+            return [TEXT, e.repeated, False, own]
+        tag, _ = _tag(e.sign)
+        out = e is not now and _left_out(e, inside, total, whole)
+        kids = [] if out else [walk(k, inside or tag in ("article", "main"), optional or e.optional, repeated or (e.repeated and e is not now), heading or tag in HEADINGS) for k in e.kids]
+        return [e.sign, e.repeated, out, kids]
+
+    places = walk(now, inside, False, False, False)
+    # the greater part of the text would be the template's: rather, most pages are copies of one article
+    return {"way": way, "inside": inside, "places": places, "use": total > 0 and 2 * known <= chars}
+
+
+class Places:
+    """The places within one of a wrapper's, to be matched with a page's children."""
+
+    __slots__ = ("left_out", "repeated", "kids", "values", "where")
+
+    def __init__(self, place: list, use: bool = True):
+        sign, self.repeated, self.left_out, more = place
+        self.values = set(more) if sign == TEXT and use else set()
+        self.kids = [] if sign == TEXT else [Places(k, use) for k in more]
+        self.where: dict[str, list[int]] = {}
+        if sign != TEXT:
+            for i, k in enumerate(more):
+                self.where.setdefault(k[0], []).append(i)
+
+
+def match(signs: list[str], where: dict[str, list[int]], repeated: list[bool]) -> list[int | None]:
+    """Which of a wrapper's children each of a page's is: the next one of its sign, or in a repeated group the last one."""
+    out: list[int | None] = []
+    ahead = 0
+    for sign in signs:
+        at = where.get(sign)
+        if at is None:
+            out.append(None)
+            continue
+        i = bisect.bisect_left(at, ahead)
+        place = at[i] if i < len(at) else at[-1]
+        out.append(place)
+        ahead = place if repeated[place] else place + 1
     return out
 
 
-def read_off(wrapper: Expr) -> tuple[list[str], list[str]]:
-    """(path, constants) of a wrapper."""
-    path = region(wrapper)
-    return path, constants(wrapper, path)
+class Reading:
+    """read_off()'s result, ready to read pages by."""
+
+    def __init__(self, read: dict):
+        self.inside, self.top = read["inside"], Places(read["places"], read["use"])
+        self.way = []
+        for signs, repeated, place in read["way"]:
+            where: dict[str, list[int]] = {}
+            for i, sign in enumerate(signs):
+                where.setdefault(sign, []).append(i)
+            self.way.append((where, repeated, place))
+
+    def locate(self, root: Node) -> Node | None:
+        """The element of a page that stands where the wrapper has the article."""
+        now = root
+        for where, repeated, place in self.way:
+            kids = [k for k in now.kids if not blank(k)]
+            fit = [k for k, at in zip(kids, match([_sign(k) for k in kids], where, repeated)) if at == place]
+            if not fit:
+                return None
+            now = fit[0] if len(fit) == 1 else max(fit, key=_size)
+        return now
+
+
+def blank(k) -> bool:
+    """Whether a child has no part in wrappers."""
+    return not entities.unescape(k).strip() if isinstance(k, str) else k.tag == "br"
 
 
-def infer(pages: list[str]) -> tuple[list[str], list[str]]:
-    """(path, constants) of the wrapper of some pages."""
+def _sign(k) -> str:
+    return TEXT if isinstance(k, str) else k.sign
+
+
+def infer(pages: list[str]) -> dict:
+    """read_off() of the wrapper of some pages."""
     wrapper = None
     for source in pages:
         e = express(parse(source))
         wrapper = e if wrapper is None else join(wrapper, e)
-    return read_off(wrapper) if wrapper is not None else ([], [])
+    return read_off(wrapper if wrapper is not None else Expr("html", []))
 
 
-def _size(node: Node) -> int:
-    return sum(len(k) if isinstance(k, str) else _size(k) for k in node.kids)
+def constants(read: dict) -> list[str]:
+    """The template's texts within the article, of read_off()'s result."""
+    out, todo = [], [read["places"]]
+    while todo:
+        sign, _, _, more = todo.pop()
+        if sign == TEXT:
+            out += more
+        else:
+            todo += reversed(more)
+    return out if read["use"] else []
 
 
-def _locate(root: Node, path: list[str]) -> Node | None:
-    now = root
-    for sign in path:
-        fit = [k for k in now.kids if not isinstance(k, str) and k.sign == sign]
-        if not fit:
-            return None
-        now = fit[0] if len(fit) == 1 else max(fit, key=_size)
-    return now
+def _size(node: Node) -> int:
+    return sum(len(k) if isinstance(k, str) else _size(k) for k in node.kids)
 
 
-def blocks(node: Node, drop: set[str], inside: bool) -> list[str]:
-    """The texts of node's blocks in page order, without what is not the article's."""
+def blocks(node: Node, places: Places | None, inside: bool) -> list[str]:
+    """The texts of node's blocks in page order, without what is not the article's; places: what the wrapper has there."""
     out: list[str] = []
     held: list[str] = []
+    own = False  # whether a text of the block is the page's own
 
     def flush() -> None:
-        if t := " ".join(entities.unescape("".join(held)).split()):
-            if not drop or mark(t) not in drop:
-                out.append(t)
+        nonlocal own
+        if own and (t := " ".join(entities.unescape("".join(held)).split())):
+            out.append(t)
         held.clear()
+        own = False
 
-    todo: list = [(node, inside, True)]
+    todo: list = [(node, places, inside, True)]
     while todo:
-        x, within, first = todo.pop()
+        x, at, within, first = todo.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
             held.append(x)
+            if not own and not blank(x):
+                own = at is None or not at.values or mark(" ".join(entities.unescape(x).split())) not in at.values
         elif x.tag == "br":
             held.append(" ")
-        elif first or not away(x.tag, x.names, within):
+        elif first or not (at.left_out if at is not None else away(x.tag, x.names, within)):
             within = within or x.tag in ("article", "main")
             if x.tag in BLOCK:
                 flush()
-                todo.append((None, within, False))
-            todo.extend((k, within, False) for k in reversed(x.kids))
+                todo.append((None, None, within, False))
+            if at is None or not at.kids:
+                todo.extend((k, None, within, False) for k in reversed(x.kids))
+            else:
+                real = [i for i, k in enumerate(x.kids) if not blank(k)]
+                found = dict(zip(real, match([_sign(x.kids[i]) for i in real], at.where, [k.repeated for k in at.kids])))
+                for i in range(len(x.kids) - 1, -1, -1):
+                    place = found.get(i)
+                    todo.append((x.kids[i], at.kids[place] if place is not None else None, within, False))
     flush()
     return out
 
 
-def extract(source: str | None, path: list[str] | None, drop: set[str]) -> str:
+def extract(source: str | None, reading: Reading | None) -> str:
     """The main text of a page along its host's wrapper."""
     if not source:
         return ""
     root = parse(source)
-    node = _locate(root, path) if path is not None else None
-    found = blocks(node, drop, bool(path) and _tag(path[-1])[0] in ("article", "main")) if node is not None else []
+    node = reading.locate(root) if reading is not None else None
+    found = blocks(node, reading.top, reading.inside) if node is not None else []
     if not found:
         # the page doesn't fit, or has nothing there
-        own = region(express(root))
-        node = _locate(root, own) or root
-        found = blocks(node, set(), bool(own) and _tag(own[-1])[0] in ("article", "main"))
+        own = Reading(read_off(express(root)))
+        node = own.locate(root) or root
+        found = blocks(node, own.top, own.inside)
     return "\n".join(found)
 
 
@@ -533,24 +726,26 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     worker.small_batches(pages.sparkSession)
     known = wrappers(rows)
-    known = F.broadcast(known) if storage.small_enough(known, WRAPPERS_TO_SEND) else known
+    size = known.agg(F.coalesce(F.sum(F.char_length("wrapper") + F.char_length("host")), F.lit(0))).first()[0]
+    known = F.broadcast(known) if size <= WRAPPERS_TO_SEND else known
     keyed = rows.withColumn("host", _host()).mapInArrow(_keyed, "page_id long, url string, html string, host string, key long")
     lines = keyed.join(known, ["host", "key"], "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches):
-        read: dict[str, tuple[list[str], set[str]]] = {}
+        read: dict[str, Reading] = {}
+        held = 0
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 out = []
                 for source, w in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                     if w is not None and w not in read:
-                        if len(read) > 10_000:
+                        if held + len(w) > READINGS:
                             read.clear()
-                        path, drop = json.loads(w)
-                        read[w] = path, set(drop)
-                    path, drop = read[w] if w is not None else (None, set())
-                    out.append(extract(source, path, drop))
+                            held = 0
+                        read[w] = Reading(json.loads(w))
+                        held += len(w)
+                    out.append(extract(source, read[w] if w is not None else None))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return lines.mapInArrow(run, "page_id long, url string, text string, n_chars long")
