@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder.  Only where it is unset (tests, a
-laptop) a temporary folder of this machine takes its place.
+``spark.checkpoint.dir`` names that folder.  Only where it is unset and the
+master is local (tests, a laptop) a temporary folder of this machine takes its
+place; on a cluster without the setting nothing is written.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, with no slash at its end."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="loomwork-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -31,11 +34,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder: lineage ends there, whole files survive lost executors."""
+def written(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
+    """df as Parquet in the shared folder: lineage ends there, whole files survive lost executors. plain: values hardly repeat, so no dictionaries are tried."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.enable.dictionary", "false") if plain else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomwork_path = path
     return out
