@@ -3,19 +3,24 @@
 Each document's set holds 64-bit hashes of its distinct k-word shingles.  One
 permutation splits the hash range into bins; empty bins borrow from a bin that
 a fixed random probe sequence finds (optimal densification).  Bins in bands
-make buckets.  In a bucket one hub is paired with the other members (a star),
-never all members with each other; pairs are confirmed on full sets.  Buckets
-whose members are then not of one component get a second star.  Documents of
-buckets that are still open are compared across components where they share a
-rare shingle at a place that allows the similarity (prefix and positional
-filters), which is complete; so stars lose no link that a bucket holds.
-Documents of equal sets are one node throughout.
+make buckets.  In a bucket two hubs are paired with the other members (stars),
+never all members with each other; pairs are confirmed on full sets, which are
+written once.  Members of a bucket that are no hubs and then not of one
+component are compared across components where they share a rare shingle at a
+place that allows the similarity (prefix and positional filters), which is
+complete; so stars lose no link that a bucket holds.  Documents of equal sets
+are one node throughout.
 
 Chance to miss a pair at similarity 0.8 with the default 32 bands of 4 bins:
 5e-8, less above.
 
+Tables between the steps are written and deleted, so a plan made here has run.
+
 Defined results: a null or blank text has the empty set and is its own
-component; repeated rows of one doc_id stay rows; extra columns are ignored.
+component; repeated rows stay rows, and so do rows of one doc_id with other
+texts, each by its own set; a row without doc_id is linked like any other and
+not kept beside one that has an id; where no row of a component has one,
+component_id is null and all are kept.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,35 +101,55 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, key_a, key_b, band_keys (empty for the empty set) of every row."""
-
+    """doc_id, text_a, text_b (hash of the text), n_shingles, key_a, key_b, band_keys (empty for the empty set), grams (the set, in order) of every row."""
     worker.small_batches(docs.sparkSession)
 
     def run(batches):
         worker.cache("near_dup")
         signer = Signer(bands, rows)
         for batch in batches:
-            data, offsets = W.string_buffers(batch.column(1))
-            n, ka, kb, keys, sizes = [], [], [], [], [0]
+            data, offsets = W.string_buffers(batch.column(3))
+            n, ka, kb, keys, sizes, sets = [], [], [], [], [0], []
             for s in shingle_sets(data, offsets, k):
                 a, b = set_key(s) if len(s) else (0, 0)
                 n.append(len(s))
                 ka.append(a)
                 kb.append(b)
+                sets.append(s)
                 if len(s):
                     keys.append(signer.keys(s))
                 sizes.append(sizes[-1] + (bands if len(s) else 0))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            grams = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ka, pa.int64()), pa.array(kb, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["doc_id", "n_shingles", "key_a", "key_b", "band_keys"],
+                [*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(ka, pa.int64()), pa.array(kb, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams, pa.int64()))],
+                names=["doc_id", "text_a", "text_b", "n_shingles", "key_a", "key_b", "band_keys", "grams"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, band_keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_hash(F.col("text")), "text").mapInArrow(run, "doc_id long, text_a long, text_b long, n_shingles long, key_a long, key_b long, band_keys array<long>, grams array<long>")
+
+
+def _text_hash(text) -> list:
+    """128 bits that tell texts apart."""
+    return [F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit(1), text).alias("text_b")]
+
+
+#: Shingles of more nodes than this are looked up by broadcast, if there are at most so many of them; pairs of one shingle are dealt in parts of this many nodes.
+HOT, HOT_TO_SEND, PART = 500, 100_000, 200
+
 
+def _by_gram(rows: DataFrame, facts: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows joined with facts by gram; rows of hot ones aren't shuffled together."""
+    if hot is None:
+        return rows.join(facts, "gram")
+    hot = F.broadcast(hot.select("gram"))
+    few = F.broadcast(facts.join(hot, "gram", "left_semi"))  # a row for each hot gram
+    return rows.join(few, "gram").unionByName(rows.join(hot, "gram", "left_anti").join(facts, "gram"))
 
-def _rare_pairs(texts: DataFrame, rest: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of nodes of two components that can be similar by their rare shingles.
+
+def _rare_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of two components that can be similar by their rare shingles; rest: node, n, comp.
 
     Shingles are put in one order, rare ones first.  Two similar sets share one
     of the first (1 - t) n + 1 of each, and behind it enough must be left.  So
@@ -132,70 +157,73 @@ def _rare_pairs(texts: DataFrame, rest: DataFrame, k: int, percent: int) -> Data
     whatever their group's size.  All pairs of these nodes that are similar are
     among the result.
     """
-    lines = texts.join(rest.select(F.col("rep").alias("doc_id"), "key_a", "key_b"), "doc_id").select("doc_id", "key_a", "key_b", "text")
-
-    def run(batches):
-        worker.cache("near_dup")
-        for batch in batches:
-            ids, ka, kb = (batch.column(c).to_pylist() for c in range(3))
-            data, offsets = W.string_buffers(batch.column(3))
-            for r, s in enumerate(shingle_sets(data, offsets, k)):
-                if len(s) and set_key(s) == (ka[r], kb[r]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[r])), pa.array(s.view(np.int64))], names=["rep", "gram"])
-
-    grams = storage.written(lines.mapInArrow(run, "rep long, gram long").distinct(), "grams")
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("often", "gram"))
-    placed = grams.join(often, "gram").withColumn("place", place).where("often > 1").join(rest, "rep").where(F.expr(f"place <= n - ceil(n * {percent} / 100.0) + 1"))
-    placed = storage.written(placed.select("gram", "place", *NODE, "comp"), "placed")
-    split = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-    placed = placed.join(split, "gram")
-    other = placed.select("gram", *(F.col(c).alias(f"h_{c}") for c in (*NODE, "comp", "place")))
+    grams = storage.written(_only(sets, rest.select("node")).join(rest, "node").select("node", "n", "comp", F.explode("grams").alias("gram")), "grams", plain=True)
+    shared = storage.written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "shared")
+    hot = shared.where(F.col("often") > HOT)
+    hot = hot if storage.small_enough(hot, HOT_TO_SEND) else None
+    # shingles that no other node has come first
+    own = Window.partitionBy("node")
+    placed = _by_gram(grams, shared, hot).withColumn("place", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "gram")))
+    placed = storage.written(placed.where(F.expr(f"place <= n - ceil(n * {percent} / 100.0) + 1")), "placed", plain=True)
+    split = placed.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("nodes")).where("least < most").select("gram", "nodes")
+    known = _by_gram(placed.drop("often"), split, hot)
+    parts = F.ceil(F.col("nodes") / PART).cast("int")
+    one = known.select("gram", "node", "n", "comp", "place", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    other = known.select("gram", *(F.col(c).alias(f"h_{c}") for c in ("node", "n", "comp", "place")), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     need = F.col("n") + F.col("h_n")
     left = F.least(F.expr("n - place"), F.expr("h_n - h_place")) + 1
-    return placed.join(other, "gram").where("comp <> h_comp and h_rep < rep").where((100 + percent) * left >= percent * need)
+    met = one.join(other, ["gram", "part"]).where("comp <> h_comp and h_node < node").where((100 + percent) * left >= percent * need)
+    out = _pairs(met.select("node", "n", F.col("h_node").alias("hub"), F.col("h_n").alias("hub_n")), percent)
+    storage.drop(grams, shared, placed)
+    return out
+
+
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Each unordered pair (a is the hub, b) of met (node, n, hub, hub_n) once, if the sizes allow it; written."""
+    fit = met.where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
+    return storage.written(fit.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.least("hub", "node").alias("lo"), F.greatest("hub", "node").alias("hi")).dropDuplicates(["lo", "hi"]), "pairs")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, with set keys) whose full sets overlap enough.
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets overlap enough; written.
 
     The partners of a hub a are dealt over groups of about 64, each of which
-    gets the hub's text once; a task holds one hub's set at a time.
+    gets the hub's set once; a task holds one hub's set at a time.
     """
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    dealt = pairs.join(degree, "a").select("a", "b", "a_a", "a_b", "b_a", "b_b", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / MEMBERS_A_TASK_GROUP)).alias("part"))
-    wanted = dealt.select(F.col("b").alias("doc_id"), F.col("b_a").alias("key_a"), F.col("b_b").alias("key_b"), F.col("a").alias("hub"), "part", F.lit(1).alias("role")).unionByName(
-        dealt.select(F.col("a").alias("doc_id"), F.col("a_a").alias("key_a"), F.col("a_b").alias("key_b"), F.col("a").alias("hub"), "part", F.lit(0).alias("role")).distinct()
-    )
-    lines = wanted.join(texts, "doc_id").select("hub", "part", "role", "doc_id", "key_a", "key_b", "text")
-    schema = "a long, b long"
+    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / MEMBERS_A_TASK_GROUP)).alias("part"))
+    wanted = dealt.select(F.col("b").alias("node"), F.col("a").alias("hub"), "part", F.lit(1).alias("role")).unionByName(dealt.select(F.col("a").alias("node"), F.col("a").alias("hub"), "part", F.lit(0).alias("role")).distinct())
+    wanted = storage.written(wanted, "wanted")
+    lines = wanted.join(_only(sets, wanted.select("node")), "node").select("hub", "part", "role", "node", "grams")
+    worker.small_batches(pairs.sparkSession)
 
     def run(batches):
         worker.cache("near_dup")
         at, own = None, None
         for batch in batches:
-            hubs, parts, roles, ids, ka, kb = (batch.column(c).to_pylist() for c in range(6))
-            data, offsets = W.string_buffers(batch.column(6))
+            hubs, parts, roles, nodes = (batch.column(c).to_pylist() for c in range(4))
+            ends, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy().view(np.uint64)
             out_a, out_b = [], []
-            for r, s in enumerate(shingle_sets(data, offsets, k)):
-                if not len(s) or set_key(s) != (ka[r], kb[r]):
-                    continue  # another row of the same doc_id
+            for r in range(len(hubs)):
+                s = flat[ends[r] : ends[r + 1]]
                 if roles[r] == 0:
-                    at, own = (hubs[r], parts[r]), s
+                    at, own = (hubs[r], parts[r]), s.copy()
                 elif at == (hubs[r], parts[r]):
                     small, large = (s, own) if len(s) <= len(own) else (own, s)
                     place = np.minimum(np.searchsorted(large, small), len(large) - 1)
                     both = int((large[place] == small).sum())
                     if 100 * both >= percent * (len(s) + len(own) - both):
                         out_a.append(hubs[r])
-                        out_b.append(ids[r])
+                        out_b.append(nodes[r])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return lines.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(run, schema).distinct()
+    out = storage.written(lines.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(run, "a long, b long"), "links")
+    storage.drop(wanted)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for every node of edges (a, b); comp is the smallest node reachable.
+    """(node, comp) for every node of edges (a, b); comp is the smallest node reachable; written.
 
     Alternating large and small stars: each step moves edges to smaller nodes
     by grouped minima and joins, so no adjacency list is ever gathered.
@@ -213,97 +241,105 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
         if tuple(old) == tuple(new):
             break
-    return now.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct())
-
-
-NODE = ("rep", "n", "key_a", "key_b")
-
-
-def _pairs(joined: DataFrame, percent: int, *before: DataFrame) -> DataFrame:
-    """Each unordered pair once (a is the hub), if the sizes allow it and no earlier table has it."""
-    fit = joined.where(F.least("n", "h_n") * 100 >= F.greatest("n", "h_n") * percent)
-    pairs = fit.select(F.col("h_rep").alias("a"), F.col("h_key_a").alias("a_a"), F.col("h_key_b").alias("a_b"), F.col("rep").alias("b"), F.col("key_a").alias("b_a"), F.col("key_b").alias("b_b"))
-    pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"])
-    for old in before:
-        pairs = pairs.join(old.select("lo", "hi"), ["lo", "hi"], "left_anti")
-    return storage.written(pairs, "pairs")
+    out = storage.written(now.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct()), "components")
+    storage.drop(now)
+    return out
 
 
 def _open(inside: DataFrame, label: DataFrame) -> DataFrame:
-    """The members, with their components, of buckets that hold more than one component."""
-    held = inside.drop("least", "size").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    split = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    return storage.written(held.join(split, "band"), "open")
+    """node, n, comp of the members, hubs aside, of buckets that hold more than one component of such; written."""
+    held = inside.where("size > 3 and node <> lo.node and node <> hi.node").select("band", "node", "n").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = held.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("band")
+    return storage.written(held.join(split, "band").select("node", "n", "comp").distinct(), "open")
 
 
 def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
     """label after its components are joined by links (a, b)."""
     of = lambda c: label.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-    step = components(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
-    step = step.select(F.col("node").alias("comp"), F.col("comp").alias("after"))
+    found = components(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
+    step = found.select(F.col("node").alias("comp"), F.col("comp").alias("after"))
     moved = label.join(step, "comp", "left").select("node", F.coalesce("after", "comp").alias("comp"))
     fresh = step.select(F.col("comp").alias("node"), F.col("after").alias("comp")).join(label, "node", "left_anti")
-    return storage.written(moved.unionByName(fresh), "label")
+    out = storage.written(moved.unionByName(fresh), "label")
+    storage.drop(found)
+    return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    sign = storage.written(signatures(docs, k, bands, rows), "sign")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    # documents of one set are one node, named by the smallest doc_id
-    reps = storage.written(sign.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("band_keys").alias("band_keys")), "reps")
-    member = reps.select("rep", "n", "key_a", "key_b", F.explode("band_keys").alias("band"))
-    crowd = member.select("band", "rep").groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+    """doc_id, text_a, text_b, n_shingles, component_id and class (the same for linked rows; null where nothing is linked) of every row of docs (doc_id, text); written."""
+    sign = storage.written(signatures(docs, k, bands, rows).withColumn("node", F.monotonically_increasing_id()), "sign", plain=True)
+    sets = sign.select("node", "grams")
+
+    # rows of one set are one node, named by one of these rows
+    reps = storage.written(sign.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("band_keys").alias("band_keys")), "reps")
+    member = reps.select("node", "n", F.explode("band_keys").alias("band"))
+    crowd = member.groupBy("band").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi"), F.count(F.lit(1)).alias("size")).where("size > 1")
     inside = storage.written(member.join(crowd, "band"), "inside")
 
-    # stars around the smallest member of each bucket
-    hub = inside.where("rep = least").select("band", *(F.col(c).alias(f"h_{c}") for c in NODE))
-    first = _pairs(inside.where("rep <> least").join(hub, "band"), percent)
-    label = storage.written(components(storage.written(_confirm(first, _only(texts, first), k, percent), "links")), "label")
-
-    # stars around another member, where a bucket still holds several components
-    open_ = _open(inside, label)
-    draw = open_.groupBy("band").agg(F.min_by("rep", F.xxhash64("rep")).alias("least"))
-    star = open_.join(draw, "band")
-    hub = star.where("rep = least").select("band", *(F.col(c).alias(f"h_{c}") for c in NODE), F.col("comp").alias("h_comp"))
-    second = _pairs(star.join(hub, "band").where("comp <> h_comp"), percent, first)
-    label = _relabel(label, storage.written(_confirm(second, _only(texts, second), k, percent), "links"))
-
-    # whatever is still open: pairs of two components that share a rare shingle, complete for these documents
-    open_ = _open(inside, label)
-    rest = open_.select(*NODE, "comp").distinct()
+    # stars around the first and the last member of each bucket
+    met = inside.select("node", "n", F.explode(F.array("lo", "hi")).alias("hub")).select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")).where("hub <> node")
+    first = _pairs(met, percent)
+    links = _confirm(first, sets, percent)
+    label = components(links)
+    storage.drop(links)
+
+    # what is still open: pairs of two components that share a rare shingle, complete for these nodes
+    rest = _open(inside, label)
     if not rest.isEmpty():
-        rest = storage.written(rest, "rest")
-        third = _pairs(_rare_pairs(_only(texts, rest.select(F.col("rep").alias("a"), F.col("rep").alias("b"))), rest, k, percent), percent, first, second)
-        label = _relabel(label, storage.written(_confirm(third, _only(texts, third), k, percent), "links"))
+        third = _rare_pairs(rest, sets, percent)
+        links = _confirm(third.join(first.select("lo", "hi"), ["lo", "hi"], "left_anti"), sets, percent)
+        before, label = label, _relabel(label, links)
+        storage.drop(before, third, links)
+    storage.drop(inside, first, rest)
+
+    least = label.join(reps.select("node", "least_id"), "node").groupBy("comp").agg(F.min("least_id").alias("component_id"))
+    named = label.join(least, "comp").select("node", "comp", "component_id")
+    shared = reps.join(named, "node", "left").where("copies > 1 or comp is not null").select("key_a", "key_b", F.coalesce("comp", "node").alias("class"), F.when(F.col("comp").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = sign.select("doc_id", "text_a", "text_b", "n_shingles", "key_a", "key_b").join(shared, ["key_a", "key_b"], "left")
+    linked = (F.col("n_shingles") > 0) & F.col("class").isNotNull()
+    out = storage.written(out.select("doc_id", "text_a", "text_b", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("class")).alias("class")), "classes")
+    storage.drop(sign, reps, label)
+    return out
 
-    names = reps.join(label, reps["rep"] == label["node"], "left").select("key_a", "key_b", F.coalesce("comp", "rep").alias("component_id"), "copies")
-    shared = names.join(reps.select("key_a", "key_b", "rep"), ["key_a", "key_b"]).where("copies > 1 or component_id <> rep").select("key_a", "key_b", "component_id")
-    out = sign.select("doc_id", "n_shingles", "key_a", "key_b").join(shared, ["key_a", "key_b"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return classes(docs, k, percent, bands, rows).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
-#: At most so many ids are broadcast to pick texts out of the documents; more are joined.
+
+#: At most so many ids are broadcast to pick rows out of a table; more are joined.
 IDS_TO_SEND = 100_000
 
 
-def _only(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return texts.join(F.broadcast(ids), "doc_id", "left_semi") if storage.small_enough(ids, IDS_TO_SEND) else texts
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of sets that are among nodes, where these are few; else all."""
+    nodes = nodes.distinct()
+    return sets.join(F.broadcast(nodes), "node", "left_semi") if storage.small_enough(nodes, IDS_TO_SEND) else sets
 
 
 def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each class of near duplicates of docs (any columns, doc_id and text among them); rows without doc_id stay."""
-    found = storage.written(near_duplicates(docs, k, percent), "classes")
-    gone = found.where("not kept").select("doc_id").distinct()
-    gone = F.broadcast(gone) if storage.small_enough(gone, IDS_TO_SEND) else gone
-    out = docs.join(gone, "doc_id", "left_anti")
-    again = storage.written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    """One row of each class of near duplicates of docs (any columns, doc_id and text among them): that of the smallest doc_id.
+
+    Rows are told apart by doc_id and text; of rows equal in both, one stays.
+    Rows without words stay.
+    """
+    found = classes(docs, k, percent)
+    linked = found.where("class is not null")
+    best = linked.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_a", "text_b")).alias("best"))
+    judged = storage.written(linked.join(best, "class").select("doc_id", "text_a", "text_b", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_a") == F.col("best.text_a")) & (F.col("text_b") == F.col("best.text_b"))).alias("is_best")), "judged")
+    storage.drop(found)
+    of = lambda rows: rows.select(*(F.col(c).alias(f"r_{c}") for c in ("doc_id", "text_a", "text_b")))
+    gone = of(judged.where("not is_best").distinct())
+    again = of(storage.written(judged.where("is_best").groupBy("doc_id", "text_a", "text_b").count().where("count > 1"), "again"))
+    out = _beside(docs, gone, "left_anti")
     if again.isEmpty():
-        return out.select(docs.columns)
-    # rows that came more than once: one of each doc_id
-    again = F.broadcast(again) if storage.small_enough(again, IDS_TO_SEND) else again
-    once = out.join(again, "doc_id", "left_anti").select(docs.columns)
-    return once.unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+        return out
+    return _beside(out, again, "left_anti").unionByName(_beside(out, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def _beside(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs with or without those that rows (doc_id and hash of the text) name."""
+    rows = F.broadcast(rows) if storage.small_enough(rows, IDS_TO_SEND) else rows
+    a, b = _text_hash(docs["text"])
+    return docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["r_doc_id"]) & (a == rows["r_text_a"]) & (b == rows["r_text_b"]), how)

@@ -60,3 +60,42 @@ def test_table(spark, k):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in df.collect()]
     assert sorted(map(tuple, near_dup.near_duplicates(df, k=k).collect())) == brute(rows, k, 80)
+
+
+def test_rows_without_id_and_of_one_id(spark):
+    a, near = " ".join(f"w{i}" for i in range(60)), " ".join([*(f"w{i}" for i in range(59)), "other"])
+    b = " ".join(f"x{i}" for i in range(30))
+    rows = [(1, a, "k"), (5, a, "k"), (5, b, "k"), (None, near, "k"), (None, "some words of its own that nobody has", "k"), (None, "c c c d d d e e e", "k"), (None, "c c c d d d e e e", "k"), (7, None, "k"), (7, None, "k"), (8, "twice is once in the survivors", "k"), (8, "twice is once in the survivors", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_a string")
+    none = lambda r: tuple((x is None, x) for x in r)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect()), key=none)
+    assert got == sorted([(1, 1, True), (5, 1, False), (5, 5, True), (None, 1, False), (None, None, True), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True), (8, 8, True), (8, 8, True)], key=none)
+    out = near_dup.survivors(df)
+    assert out.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=none)
+    assert kept == sorted([(1, a), (5, b), (None, rows[4][1]), (None, rows[5][1]), (7, None), (7, None), (8, rows[9][1])], key=none)
+
+
+def test_hot_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT", 5)
+    monkeypatch.setattr(near_dup, "PART", 4)
+    import random
+
+    r = random.Random(3)
+    stem = [f"s{i}" for i in range(40)]
+    rows = []
+    for i in range(120):  # near and not so near copies of one text, by how many words are changed
+        w = list(stem)
+        for j in r.sample(range(40), r.randint(0, 4)):
+            w[j] = f"c{r.randint(0, 5)}"
+        rows.append((i, " ".join(w)))
+    assert run(spark, rows, k=2) == brute(rows, 2, 80)
+
+
+def test_tables_are_dropped(spark):
+    from loomwork.plans import storage
+
+    before = len(storage._written)
+    near_dup.near_duplicates(spark.createDataFrame([(i, f"a b c d e {i // 2}") for i in range(20)], "doc_id long, text string")).collect()
+    left = [p for _, p in storage._written[before:] if __import__("os").path.exists(p.removeprefix("file://"))]
+    assert len(left) == 1 and "/classes-" in left[0]
