@@ -13,6 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Parquet options of plain tables.
+PLAIN = {"parquet.enable.dictionary": "false", "parquet.block.size": str(32 << 20)}
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -35,10 +38,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
-    """df as Parquet in the shared folder: lineage ends there, whole files survive lost executors. plain: values hardly repeat, so no dictionaries are tried."""
+    """df as Parquet in the shared folder: lineage ends there, whole files survive lost executors. plain: values hardly repeat, so no dictionaries are tried, and row groups are small, as their buffers are."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df.write.option("parquet.enable.dictionary", "false") if plain else df.write).parquet(path)
+    (df.write.options(**PLAIN) if plain else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomwork_path = path
     return out
