@@ -135,8 +135,8 @@ def _text_hash(text) -> list:
     return [F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit(1), text).alias("text_b")]
 
 
-#: Shingles of more nodes than this are looked up by broadcast, if there are at most so many of them; pairs of one shingle are dealt in parts of this many nodes.
-HOT, HOT_TO_SEND, PART = 500, 100_000, 200
+#: Shingles of more nodes than this are looked up by broadcast, if there are at most so many of them.
+HOT, HOT_TO_SEND = 500, 100_000
 
 
 def _by_gram(rows: DataFrame, facts: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -165,14 +165,12 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("node")
     placed = _by_gram(grams, shared, hot).withColumn("place", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "gram")))
     placed = storage.written(placed.where(F.expr(f"place <= n - ceil(n * {percent} / 100.0) + 1")), "placed", plain=True)
-    split = placed.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("nodes")).where("least < most").select("gram", "nodes")
+    split = placed.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("gram")
     known = _by_gram(placed.drop("often"), split, hot)
-    parts = F.ceil(F.col("nodes") / PART).cast("int")
-    one = known.select("gram", "node", "n", "comp", "place", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    other = known.select("gram", *(F.col(c).alias(f"h_{c}") for c in ("node", "n", "comp", "place")), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    other = known.select("gram", *(F.col(c).alias(f"h_{c}") for c in ("node", "n", "comp", "place")))
     need = F.col("n") + F.col("h_n")
     left = F.least(F.expr("n - place"), F.expr("h_n - h_place")) + 1
-    met = one.join(other, ["gram", "part"]).where("comp <> h_comp and h_node < node").where((100 + percent) * left >= percent * need)
+    met = known.join(other, "gram").where("comp <> h_comp and h_node < node").where((100 + percent) * left >= percent * need)
     out = _pairs(met.select("node", "n", F.col("h_node").alias("hub"), F.col("h_n").alias("hub_n")), percent)
     storage.drop(grams, shared, placed)
     return out
@@ -250,6 +248,7 @@ def _open(inside: DataFrame, label: DataFrame) -> DataFrame:
     """node, n, comp of the members, hubs aside, of buckets that hold more than one component of such; written."""
     held = inside.where("size > 3 and node <> lo.node and node <> hi.node").select("band", "node", "n").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = held.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("band")
+    split = F.broadcast(split) if storage.small_enough(split, IDS_TO_SEND) else split
     return storage.written(held.join(split, "band").select("node", "n", "comp").distinct(), "open")
 
 

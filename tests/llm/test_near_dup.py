@@ -78,7 +78,6 @@ def test_rows_without_id_and_of_one_id(spark):
 
 def test_hot_shingles(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "HOT", 5)
-    monkeypatch.setattr(near_dup, "PART", 4)
     import random
 
     r = random.Random(3)
