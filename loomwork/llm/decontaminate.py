@@ -4,24 +4,33 @@ Test items, cut into units of at most UNIT words, form an inverted index whose
 impacts are divided by each unit's score against itself.  Every training text
 is cut into passages that overlap by half; each passage queries the index for
 all units above a threshold.  The common terms of each unit, up to a fixed
-share of its score, cannot lift it over the threshold alone; so as in WAND, a
-passage skips every block of units whose block maxima over its other terms
-stay below the rest, and only units of the remaining blocks are scored.  The
-work is done for many passages at once.
+share of its score, cannot lift it over the threshold alone.  So as in WAND, a
+passage is skipped whose terms' list maxima stay below the rest together; of
+the others, every block of units is skipped whose block maxima do; and only
+units of the remaining blocks are scored.  The work is done for many passages
+at once, so blocks are tested by sums instead of by moving a pivot.
 
 A hit is confirmed on the text around it: enough of the item's question must
 come in sequences of words, and enough words of its answer.  An item's answer
-is what follows a line like "Answer:", or else its last third.
+is what follows a line like "Answer:", or else its last third.  An item of
+fewer than SHORT_ITEM words must come whole, as shares of so few say little.
 
-Items are sent to all tasks in blocks of at most ITEMS_TO_SEND.
+Words are runs of letters, digits and marks by Unicode's classes, composed
+(NFC) and without regard to case.
+
+Items are sent to all tasks in blocks of at most ITEMS_TO_SEND items and about
+BYTES_TO_SEND bytes (a longer item goes alone).
 
 Defined results: a null or empty text matches nothing; an item without words
-matches nothing; repeated rows stay rows; extra columns are ignored.
+matches nothing; an item without item_id matches like any other, its item_id is
+null in the result; repeated rows stay rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,26 +49,50 @@ THRESHOLD, COMMON = 0.5, 0.25
 GRAM = 3
 #: Share of the question's word sequences and of the answer's words that confirm a hit; items of fewer words must come whole.
 QUESTION, ANSWER, SHORT_ITEM = 0.4, 0.5, 8
-ITEMS_TO_SEND = 100_000
+ITEMS_TO_SEND, BYTES_TO_SEND = 100_000, 32 << 20
 _ANSWER = re.compile(r"\n\s*(?:answer|a|réponse|antwort|respuesta)\s*[:.)]", re.IGNORECASE)
 
 
-def folded(data: np.ndarray) -> np.ndarray:
-    """UTF-8 bytes with the capitals U+00C0 to U+00DE as small letters; ASCII is left to the word scan."""
-    out = data.copy()
-    second = data[1:]
-    capital = (data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
-    out[1:] += capital.view(np.uint8) * np.uint8(0x20)
-    return out
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: the number of its folded form, and whether it is a word's."""
+    if not _classes:
+        every = [chr(i) for i in range(sys.maxunicode + 1)]
+        fold = np.arange(len(every), dtype=np.uint64)
+        for i, c in enumerate(every):
+            if c.isupper() or c.islower() or c.istitle():
+                f = c.casefold()
+                fold[i] = ord(f) if len(f) == 1 else ord(c.lower()[0])
+        inside = np.array([c.isalnum() or unicodedata.category(c)[0] == "M" for c in every])
+        _classes.extend((W.mix(fold + np.uint64(0x632BE59BD9B4E019)), inside))
+    return _classes[0], _classes[1]
+
+
+_classes: list[np.ndarray] = []
+
+
+def _split(data: np.ndarray, offsets: np.ndarray) -> W.Words:
+    """The words of texts in UTF-8."""
+    numbers, inside = _tables()
+    if len(data) and data.max() >= 128:
+        raw = data.tobytes()
+        text = raw.decode("utf-8", "replace")
+        if not unicodedata.is_normalized("NFC", text):
+            composed = [unicodedata.normalize("NFC", raw[a:b].decode("utf-8", "replace")) for a, b in zip(offsets[:-1], offsets[1:])]
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in composed])]).astype(np.int64)
+            text = "".join(composed)
+        else:
+            heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            offsets = heads[offsets]
+        data = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return W.Words.of(numbers[data], inside[data], offsets)
 
 
 def hashed_words(texts: list[str]) -> list[np.ndarray]:
-    """Hashes of the words (letters and digits, lower case) of each text."""
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
+    """Hashes of the words of each text."""
+    raw = [t.encode("utf-8", "replace") for t in texts]
     offsets = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) for r in raw], out=offsets[1:])
-    w = W.Words(folded(data), offsets, lower=True, apart=W.NOT_ALNUM)
+    w = _split(np.frombuffer(b"".join(raw), np.uint8), offsets)
     h = w.hashes()
     return [h[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
 
@@ -73,8 +106,8 @@ def parts(text: str) -> tuple[str, str]:
 class Index:
     """An inverted index of items' units with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids = np.array([i for i, _ in items], np.int64)
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        self.ids = [i for i, _ in items]
         split = [parts(t or "") for _, t in items]
         questions, answers = hashed_words([q for q, _ in split]), hashed_words([a for _, a in split])
         self.question: list[np.ndarray] = []
@@ -123,21 +156,23 @@ class Index:
         pair, first = np.unique(np.repeat(np.arange(v), np.diff(self.rare.first)) * self.blocks + block, return_index=True)
         top = np.maximum.reduceat(self.rare.impact, first) if len(first) else np.zeros(0)
         self.maxima = _Lists(pair // self.blocks, pair % self.blocks, top, v)
+        self.top = np.zeros(v)
+        np.maximum.at(self.top, t[~common], impact[~common])
         # least that rare terms must reach in a block
         need = THRESHOLD - self.rest
         self.need = np.array([need[i : i + BLOCK].min() for i in range(0, n, BLOCK)]) if n else np.ones(1)
 
-    def search(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
+    def search(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int | None, float, float, float]]:
         """(text, item id, score, question overlap, answer overlap) of all confirmed hits."""
         if not len(self.owner):
             return
         for i, j in W.chunks(offsets):
             base = offsets[i]
-            w = W.Words(folded(data[base : offsets[j]]), offsets[i : j + 1] - base, lower=True, apart=W.NOT_ALNUM)
+            w = _split(data[base : offsets[j]], offsets[i : j + 1] - base)
             for hit in self._search(w.hashes(), w.first):
                 yield (i + hit[0], *hit[1:])
 
-    def _search(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
+    def _search(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int | None, float, float, float]]:
         count = np.diff(first)
         cells = -(-count // STRIDE)
         start = np.concatenate([[0], np.cumsum(cells)])
@@ -155,6 +190,11 @@ class Index:
         v = len(self.vocabulary)
         key = np.unique(passage[useful] * v + terms[useful])
         p, t = key // v, key % v
+        # list maxima: which passages can hold one at all
+        live = np.bincount(p, self.top[t], minlength=start[-1])[p] >= self.need.min() - 1e-9
+        p, t = p[live], t[live]
+        if not len(p):
+            return
         # block maxima: which blocks can hold a unit above the threshold
         row, entry = self.maxima.expand(t)
         bound, which = _sums(p[row] * self.blocks + self.maxima.unit[entry], self.maxima.impact[entry])
@@ -193,7 +233,7 @@ class Index:
             r = float(np.isin(self.answer[k], seen).mean()) if len(self.answer[k]) else 1.0
             least = 1.0 if self.words[k] < SHORT_ITEM else QUESTION
             if q >= least and r >= (1.0 if self.words[k] < SHORT_ITEM else ANSWER):
-                yield x, int(self.ids[k]), max(s for s, _ in hits), q, r
+                yield x, self.ids[k], max(s for s, _ in hits), q, r
 
 
 class _Lists:
@@ -221,9 +261,10 @@ def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(benchmark: DataFrame):
     """Broadcast items (item_id, text), in blocks of about ITEMS_TO_SEND."""
     spark, items = benchmark.sparkSession, benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = -(-items.count() // ITEMS_TO_SEND)
+    rows, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(-(-rows // ITEMS_TO_SEND), -(-size // BYTES_TO_SEND))
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()  # bounded: ITEMS_TO_SEND expected
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect()  # bounded: ITEMS_TO_SEND and BYTES_TO_SEND expected; an item that comes again says nothing new
         yield spark.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
 
 
@@ -232,7 +273,7 @@ def _index(sent, key: str) -> Index:
     kept = worker.cache("decontaminate")
     if key not in kept:
         kept.clear()
-        kept[key] = Index([(i, t) for i, t in sent.value if i is not None])
+        kept[key] = Index(sent.value)
     return kept[key]
 
 

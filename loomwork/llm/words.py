@@ -16,8 +16,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: Everything of ASCII but letters and digits.
-NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _MIX = tuple(np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 
 _powers: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "inv": np.ones(1, np.uint64)}
@@ -76,14 +74,24 @@ class Words:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, apart: np.ndarray = _IS_SPACE):
-        self.data = _LOWER[data] if lower else data
-        self.offsets = offsets
-        n = len(data)
-        solid = np.ones(n + 2, bool)
-        solid[0] = solid[-1] = False
-        solid[1:-1] = ~apart[data]
+        self._split(~apart[data], offsets)
+        self.letters = (_LOWER[data] if lower else data, _TABLE)
+
+    @classmethod
+    def of(cls, letters: np.ndarray, solid: np.ndarray, offsets: np.ndarray) -> "Words":
+        """Words of texts given by a 64-bit number for each letter, and which letters are a word's."""
+        out = cls.__new__(cls)
+        out._split(solid, offsets)
+        out.letters = (slice(None), letters)
+        return out
+
+    def _split(self, inside: np.ndarray, offsets: np.ndarray) -> None:
+        self.offsets, n = offsets, len(inside)
+        solid = np.zeros(n + 2, bool)
+        solid[1:-1] = inside
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
+        self.size = n
         self.starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
         self.ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
@@ -92,9 +100,10 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
+        n = self.size
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[self.data] * _power("p", _P, n), out=total[1:])
+        at, numbers = self.letters
+        np.cumsum(numbers[at] * _power("p", _P, n), out=total[1:])
         own = (total[self.ends] - total[self.starts]) * _power("inv", _P_INV, n)[self.starts] if n else np.zeros(0, np.uint64)
         return mix(own + (self.ends - self.starts).astype(np.uint64) * _MIX[0])
 

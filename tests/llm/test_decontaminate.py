@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -9,6 +10,26 @@ def words(r, n, size=400):
     return [f"w{int(size * r.random() ** 2)}x" for _ in range(n)]
 
 
+def bm25(items, text):
+    """Ids of the items with a unit whose BM25 against some passage of text is at least THRESHOLD of its score against itself, from the words alone."""
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    units = [(i, w[a : a + D.UNIT]) for i, t in items for w in [split(t)] for a in range(0, len(w), D.UNIT)]
+    mean = sum(len(u) for _, u in units) / len(units)
+    df = {}
+    for _, u in units:
+        for t in set(u):
+            df[t] = df.get(t, 0) + 1
+    words, out = split(text), set()
+    for a in range(0, len(words), D.STRIDE):
+        passage = set(words[a : a + 2 * D.STRIDE])
+        for i, u in units:
+            norm = D.K1 * (1 - D.B + D.B * len(u) / mean)
+            impact = {t: math.log(1 + (len(units) - df[t] + 0.5) / (df[t] + 0.5)) * u.count(t) * (D.K1 + 1) / (u.count(t) + norm) for t in set(u)}
+            if sum(x for t, x in impact.items() if t in passage) >= (D.THRESHOLD - 1e-9) * sum(impact.values()):
+                out.add(i)
+    return out
+
+
 def brute(index, text):
     """Units at or above the threshold, of every passage of a text."""
     h = D.hashed_words([text])[0]
@@ -45,7 +66,7 @@ def test_pruning_loses_nothing(monkeypatch):
         text = " ".join(text)
         data = np.frombuffer(text.encode(), np.uint8)
         got = {x[1] for x in index.search(data, np.array([0, len(data)]))}
-        assert got == brute(index, text)
+        assert got == brute(index, text) == bm25(items, text)
 
 
 def test_planted(spark):
@@ -92,3 +113,27 @@ def test_short_questions():
     for text in (filler * 40, "movement of water through a membrane towards the side with more dissolved matter", "osmosis needs no word of ours, define it"):
         data = np.frombuffer(text.encode(), np.uint8)
         assert list(index.search(data, np.array([0, len(data)]))) == []
+
+
+def test_unicode(spark):
+    items = ["Какая река самая длинная в северной части страны и где она впадает в море", "Ποιος ποταμός είναι ο μεγαλύτερος στη βόρεια χώρα και πού εκβάλλει τελικά", "Ñandú élève übung señor garçon über dónde está la época añil corazón mío", "どの川が一番長いですか 北の国で そして どこで海に 注ぎますか 教えて ください"]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    import unicodedata
+
+    rows, want = [], []
+    for i, t in enumerate(items):
+        for x in (t, t.upper(), "“" + t.replace(" ", "” — “") + "”", "…" + t.replace(" ", " – ") + "、", unicodedata.normalize("NFD", t)):
+            rows.append((len(rows), x))
+            want.append((len(rows) - 1, i))
+    rows.append((len(rows), "совсем другой текст о чём-то ином и без вопросов"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()) == want
+
+
+def test_items_without_id(spark, monkeypatch):
+    monkeypatch.setattr(D, "BYTES_TO_SEND", 60)
+    item = "the winding silver brook near the old mill turns north"
+    bench = spark.createDataFrame([(None, item), (None, item), (3, "quite another item with words of its own kind and more")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item), (2, "nothing of this kind stands here at all"), (None, item)], "doc_id long, text string")
+    assert sorted(((r.doc_id or 0, r.item_id) for r in D.contaminated(docs, bench).collect())) == [(0, None), (1, None)]
+    assert [r.doc_id for r in D.clean(docs, bench).collect()] == [2]
