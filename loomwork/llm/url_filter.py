@@ -4,8 +4,8 @@ A rule names a host and a path; it fits the host and all its subdomains where
 the URL's path starts with the rule's.  Each URL is expanded into the suffixes
 of its host at label borders, with the prefixes of its path at the lengths
 that rules have; expressions meet rules in an equi-join on a short prefix of
-their SHA-256, then the full digests are compared.  The longest rule wins,
-between rules of one length the one that blocks.  A URL without a rule gets
+their SHA-256, and what meets is confirmed on the full digests.  The longest rule
+wins, between rules of one length the one that blocks.  A URL without a rule gets
 the default verdict.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
@@ -35,33 +35,33 @@ def split_url(url):
 
 
 def rule_table(spark: SparkSession, rules: Rules) -> DataFrame:
-    """verdict, rule, digest, short of rules (verdict, host, path)."""
-    df = spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string")
+    """verdict, rule, digest, short and rank (precedence, the highest wins) of rules (verdict, host, path)."""
+    order = sorted(set(rules), key=lambda r: (len(r[1] + r[2]), r[0] == "block", r[1] + r[2], r))
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(order)], "verdict string, rule_host string, rule_path string, rank int")
     digest = F.sha2(F.concat("rule_host", F.lit("\n"), "rule_path"), 256)
-    return df.select("verdict", F.concat("rule_host", "rule_path").alias("rule"), digest.alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
+    return df.select("verdict", F.concat("rule_host", "rule_path").alias("rule"), digest.alias("digest"), "rank").withColumn("short", F.substring("digest", 1, SHORT))
 
 
 def judge(pages: DataFrame, rules: Rules, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages (page_id, url)."""
     spark = pages.sparkSession
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     host, path = split_url(F.col("url"))
-    # equal rows are judged once and come back as often as they came
-    rows = rows.select("page_id", host.alias("host"), path.alias("path")).groupBy("page_id", "host", "path").agg(F.count(F.lit(1)).alias("copies"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     if not rules:
-        out = rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    else:
-        table = rule_table(spark, rules)
-        sizes = F.array(*(F.lit(n) for n in sorted({len(p) for _, _, p in rules})))
-        labels = F.split("host", r"\.")
-        suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-        prefixes = F.transform(F.filter(sizes, lambda n: n <= F.length("path")), lambda n: F.expr("path").substr(F.lit(1), n))
-        digests = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.sha2(F.concat(s, F.lit("\n"), p), 256))))
-        # an expression of no URL keeps URLs that no rule can fit
-        url = rows.withColumn("digest", F.explode_outer(digests)).withColumn("short", F.substring("digest", 1, SHORT))
-        table = F.broadcast(table) if len(rules) <= RULES_TO_SEND else table
-        met = url.alias("u").join(table.alias("r"), (F.col("u.short") == F.col("r.short")) & (F.col("u.digest") == F.col("r.digest")), "left")
-        # the order of these structs is rule precedence
-        best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("size"), (F.col("verdict") == "block").alias("block"), "rule", "verdict")))
-        out = met.groupBy("page_id", "host", "path", "copies").agg(best.alias("best")).select("page_id", "host", "path", "copies", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
+        return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    table = rule_table(spark, rules)
+    sizes = F.array(*(F.lit(n) for n in sorted({len(p) for _, _, p in rules})))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    prefixes = F.transform(F.filter(sizes, lambda n: n <= F.length("path")), lambda n: F.expr("path").substr(F.lit(1), n))
+    digests = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.sha2(F.concat(s, F.lit("\n"), p), 256))))
+    # a number for each row, as equal rows stay rows; an expression of no URL keeps those that no rule can fit
+    url = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.explode_outer(digests)).withColumn("short", F.substring("digest", 1, SHORT))
+    few = len(rules) <= RULES_TO_SEND
+    keys = table.select("short", F.col("digest").alias("rule_digest"), "rank")
+    met = url.join(F.broadcast(keys) if few else keys, "short", "left")
+    # rows of one short prefix meet; the whole digest confirms
+    best = met.groupBy("row", "page_id", "host", "path").agg(F.max(F.when(F.col("digest") == F.col("rule_digest"), F.col("rank"))).alias("rank"))
+    names = table.select("rank", "rule", "verdict")
+    out = best.join(F.broadcast(names) if few else names, "rank", "left")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
