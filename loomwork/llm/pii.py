@@ -147,8 +147,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with the spans of its text replaced by their kinds, like [EMAIL]; where spans overlap, the first one's kind stands for both."""
-    held = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__spans", spans(F.col("text")))
+    """docs (any columns, text among them) with the spans of its text replaced by their kinds, like [EMAIL].
+
+    Where spans overlap, the first one's kind stands for both.  A null text
+    becomes "".
+    """
+    found = "spans"
+    while found.lower() in (c.lower() for c in docs.columns):
+        found += "_"
+    held = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn(found, spans(F.col("text")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -157,4 +164,4 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], more).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
     end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + F.lit(1), F.char_length("text")))
-    return held.withColumn("text", F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, end)).otherwise(F.col("text"))).drop("__spans")
+    return held.withColumn("text", F.when(F.size(found) > 0, F.aggregate(found, start, step, end)).otherwise(F.col("text"))).drop(found)

@@ -73,3 +73,23 @@ def test_url_filter(spark):
     assert got == want
     assert url_filter.judge(pages.limit(0), queries.URL_RULES).collect() == []
     assert {r.verdict for r in url_filter.judge(pages, [], "block").collect()} == {"block"}
+
+
+def test_rules_meet_by_short_prefix(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SHORT", 1)  # many false meetings, which the digests undo
+    urls = ["http://a.example.org/es/", "http://x.com/de/1", "http://x.com/fr", None, "https://org/"]
+    pages = spark.createDataFrame([(i % 2, u) for i, u in enumerate(urls * 3)], "page_id long, url string")
+    frame = url_filter.judge(pages, queries.URL_RULES)
+    got = sorted(((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in frame.collect()))
+    want = sorted((i % 2, h, p, rule or "", v) for i, u in enumerate(urls * 3) for h, p, rule, v in [judge(u)])
+    assert got == want
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "short" in plan and "(digest" not in [c for c in plan.splitlines() if "Join LeftOuter" in c][0]
+    both = url_filter.judge(pages, [("allow", "com", "/de/"), ("block", "com", "/de/")]).where("rule is not null").collect()
+    assert {r.verdict for r in both} == {"block"} and len(both) == 3
+
+
+def test_redact_keeps_columns(spark):
+    docs = spark.createDataFrame([(1, "write to a@b.co", "x", "y", "z")], "doc_id long, text string, spans string, __spans string, Spans_ string")
+    (row,) = pii.redact(docs).collect()
+    assert tuple(row) == (1, "write to [EMAIL]", "x", "y", "z") and pii.redact(docs).columns == docs.columns
