@@ -6,18 +6,88 @@ from pyspark.sql import functions as F
 from loomwork.llm import language
 
 
-def test_kneser_ney_sums_to_one():
+def slow(texts, n):
+    """Probability of a character after a context, by interpolated Kneser-Ney over dictionaries."""
+    marked = ["\x02" + w + "\x03" for t in texts for w in t.split()]
+    counts = {n: {}}
+    for w in marked:
+        for e in range(1, len(w)):
+            gram = w[max(0, e - n + 1) : e + 1]
+            counts[n][gram] = counts[n].get(gram, 0) + 1
+    # lower orders count distinct grams of the next order that end in them; a gram cut at a word's first mark ends in itself
+    for k in range(n - 1, 0, -1):
+        counts[k] = {}
+        for gram in counts[k + 1]:
+            counts[k][gram[-k:]] = counts[k].get(gram[-k:], 0) + 1
+    facts = {}
+    for k in range(1, n + 1):
+        once, twice = (sum(c == x for c in counts[k].values()) for x in (1, 2))
+        d = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+        total, kinds = {}, {}
+        for gram, c in counts[k].items():
+            total[gram[:-1]] = total.get(gram[:-1], 0) + c
+            kinds[gram[:-1]] = kinds.get(gram[:-1], 0) + 1
+        facts[k] = d, total, kinds
+
+    def p(word, e):
+        out = max(language.FLOOR, 0.1 / (len(counts[1]) + 1))
+        for k in range(1, n + 1):
+            gram = word[max(0, e - k + 1) : e + 1]
+            d, total, kinds = facts[k]
+            if gram[:-1] in total:
+                out = (max(counts[k].get(gram, 0) - d, 0) + d * kinds[gram[:-1]] * out) / total[gram[:-1]]
+        return max(out, language.FLOOR)
+
+    return p
+
+
+def test_against_slow_kneser_ney():
     r = random.Random(1)
-    text = " ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 6))) for _ in range(400))
-    m = language.Model.fit([text])
+    texts = [[" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 6))) for _ in range(300)) for _ in range(2)] for letters in ("abcd", "bcdeé", "aaaab")]
+    own = language.Identifier(["x", "y", "z"], [language._unpack(language._pack(language.Model.fit(t))) for t in texts])
+    words = ["", *texts[0][0].split()[:60], "zz", "abézc", "aaaabaaaa", "ébcd" * 5]
+    got = own.entropies(words)
+    for i, t in enumerate(texts):
+        p = slow(t, language.ORDER)
+        for k, w in enumerate(words):
+            m = "\x02" + w + "\x03"
+            want = -sum(np.log2(p(m, e)) for e in range(1, len(m))) if w else 0.0
+            assert abs(got[k, i] - want) < 1e-3 * max(want, 1), (t[0][:10], w)
+    p = slow(texts[0], language.ORDER)
     for prefix in ("", "a", "ab", "dcb", "zz"):
-        total = 0.0
-        for c in [*"abcd", "\x03"]:
-            words = [prefix + c] if c != "\x03" else [prefix]
-            g, k = language.gram_keys(words, language.ORDER), language.context_keys(words, language.ORDER)
-            at = len(prefix)
-            total += float(m.probabilities([x[at : at + 1] for x in g[1:]], [x[at : at + 1] for x in k])[0])
-        assert 0.85 < total < 1.0001  # the rest is for characters never seen
+        assert 0.85 < sum(p("\x02" + prefix + c, len(prefix) + 1) for c in [*"abcd", "\x03"]) < 1.0001  # the rest is for characters never seen
+
+
+def test_noise_is_rejected(spark):
+    r = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    noise = [(10**6 + i, "".join(r.choice("etaoinshrdlucmfwypvbgk    ") for _ in range(r.choice([80, 300, 2000]))), None) for i in range(60)]
+    both = docs.unionByName(spark.createDataFrame(noise, "doc_id long, text string, lang string"))
+    got = {x.doc_id: x.rejected for x in language.identify(both).collect()}
+    assert all(got[d] == (d >= 10**6) for d in got)
+
+
+def test_many_languages_in_groups(spark, monkeypatch):
+    r = random.Random(5)
+    rows = []
+    for k in range(12):  # each has its own few letters
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(5)] + list("ab")
+        rows += [(100 * k + i, " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(30)), f"l{k:02}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = sorted((x.doc_id, x.lang_pred, round(x.score, 9), round(x.bits, 9), x.rejected) for x in language.identify(docs).collect())
+    assert [(d, lang) for d, lang, *_ in one] == sorted((d, lang) for d, _, lang in rows)
+    monkeypatch.setattr(language, "MODEL_BYTES", 40_000)
+    models = language.fit(docs)
+    assert len(models.groups) > 2
+    assert sorted((x.doc_id, x.lang_pred, round(x.score, 9), round(x.bits, 9), x.rejected) for x in language.predict(docs, models).collect()) == one
+    odd = docs.unionByName(spark.createDataFrame([(9000, "ζζζ ηηη θθθ " * 40, None), (9001, None, None), (9002, rows[0][1], "l03"), (9002, rows[0][1], "l03")], docs.schema))
+    assert sorted(x.doc_id for x in language.accepted(odd, models).collect()) == sorted([d for d, *_, no in one if not no] + [9002, 9002] * (not one[0][-1]))
+
+
+def test_nothing_to_learn(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "123", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert sorted((x.doc_id, x.lang_pred, x.score, x.rejected) for x in language.identify(docs).collect()) == [(1, "und", 0.0, False), (2, "und", 0.0, True), (3, "und", 0.0, True)]
+    assert [x.doc_id for x in language.accepted(docs, language.fit(docs)).collect()] == [1]
 
 
 def test_held_out_accuracy(spark):
