@@ -1,21 +1,35 @@
 """Quality rules: counts per text, and robust multivariate outliers among them.
 
-Each text gives a vector of transformed statistics.  Per language and source,
-a minimum-covariance-determinant estimate of centre and scatter is found by
-concentration steps over all rows: the rows nearest to the present centre
-(three quarters of the group) give the next one.  A text is rejected when its
-Mahalanobis distance is far beyond the group's own spread.  Groups with few
-rows use their language's estimate, or that of all rows.
+Each text gives a vector of transformed statistics.  Per language and source
+(a cell), a minimum-covariance-determinant estimate gives centre and scatter:
+the SHARE of the cell's rows whose covariance has the least determinant.  As
+usual for large tables, many random starts take their first concentration
+steps on at most START_ROWS rows of a cell; the best CANDIDATES of these take
+one over all rows, and the best of them goes on over all rows until its
+determinant settles (or after STEPS).  A step is one aggregate: rows fall in
+bins of equal ratio of distance, and the nearest whole bins that hold SHARE of
+the rows give the next estimate.
+
+Scatters carry the factor that makes them consistent for normal data, and a
+floor for each statistic.  A cell's estimate is drawn towards its language's,
+and that towards the whole table's, with the weight of PRIOR rows; these are
+sums of the cells' rows within the estimates.  So a cell's size changes verdicts
+gradually.  A text is rejected when its squared Mahalanobis distance is beyond
+the QUANTILE of the chi-squared distribution that normal data would follow.
 
 Defined results: a null or blank text has counts of 0 and fails the base rule;
-null languages and sources are groups of their own; repeated rows stay.
+null languages and sources are cells of their own; repeated rows stay.  Texts
+that fail the base rule by their length take no part in the estimates; where a
+cell has no others, distance is null.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm import words as W
@@ -25,11 +39,14 @@ from loomwork.plans import storage
 WINDOW = 8
 FEATURES = ("symbols", "upper", "digits", "marks", "dup_lines", "repeats", "word_len")
 P = len(FEATURES)
-#: Spread that each transformed statistic has at least, so that statistics which are nearly constant in a group don't make every other value an outlier.
+#: Spread that each transformed statistic has at least, so that statistics which are nearly constant in a cell don't make every other value an outlier.
 FLOOR = (0.12, 0.08, 0.20, 0.12, 0.35, 0.35, 0.12)
-#: Rows within the estimate; rows a group needs for an estimate of its own; concentration steps; squared distance, in units of the group's median, beyond which a text is rejected.
-SHARE, MIN_ROWS, STEPS = 0.75, 100, 4
-CUTOFF = 60.0
+#: Share of rows within the estimate; rows, random starts and candidates of a cell's beginning; steps at most, and the change of the logarithm of the determinant at which they end.
+SHARE, START_ROWS, STARTS, CANDIDATES, STEPS, SETTLED = 0.75, 400, 40, 3, 30, 1e-3
+#: Rows that the prior of a cell's estimate counts as; share of normal data that is not rejected.
+PRIOR, QUANTILE = 50.0, 0.999
+#: Bins of squared distances to a factor of two, and the outermost bins.
+BINS, NEAR, FAR = 16, -160, 640
 
 _CLASS = {name: np.zeros(256, bool) for name in ("symbol", "upper", "letter", "digit", "mark")}
 _CLASS["symbol"][[ord(c) for c in "#*$%&|<>"]] = True
@@ -146,72 +163,190 @@ def _distance(x: str, centre: str, inverse: str) -> Column:
     return sum((d[i] * d[j] * F.col(inverse)[i * P + j] * (1 if i == j else 2) for i in range(P) for j in range(i, P)), F.lit(0.0))
 
 
-def _invert(moments: DataFrame) -> DataFrame:
-    """key, n, centre, inverse from key, n, sums (P) and products (P x P upper, flat)."""
-    floor = np.square(FLOOR)
+def chi2_below(x: float, k: int) -> float:
+    """Probability that a chi-squared variable of k degrees is below x (series of the incomplete gamma function)."""
+    a, h = k / 2, x / 2
+    term = total = 1 / a
+    n = a
+    while term > total * 1e-15:
+        n += 1
+        term *= h / n
+        total += term
+    return total * math.exp(a * math.log(h) - h - math.lgamma(a))
+
+
+def chi2_quantile(q: float, k: int) -> float:
+    low, high = 1e-9, 200.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_below(mid, k) < q else (low, mid)
+    return low
+
+
+#: Makes the covariance of the nearest SHARE of normal data that of all.
+CONSISTENT = SHARE / chi2_below(chi2_quantile(SHARE, P), P + 2)
+LIMIT = chi2_quantile(QUANTILE, P)
+
+
+def scatter(n: float, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter (without floors) of n rows within an estimate, by their sums and products (upper triangle, flat)."""
+    mean = np.asarray(sums) / n
+    cov = np.zeros((P, P))
+    cov[np.triu_indices(P)] = np.asarray(products) / n
+    cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
+    return mean, CONSISTENT * cov
+
+
+def solved(cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inverse and logarithm of the determinant of a scatter with floors."""
+    full = cov + np.diag(np.square(FLOOR))
+    return np.linalg.inv(full), float(np.linalg.slogdet(full)[1])
+
+
+def concentrated(x: np.ndarray, centre: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """One concentration step over rows x: the next centre, inverse and log determinant."""
+    d = np.einsum("ni,ij,nj->n", x - centre, inverse, x - centre)
+    h = max(1, math.ceil(SHARE * len(x)))
+    near = x[np.argpartition(d, h - 1)[:h]]
+    mean, cov = scatter(h, near.sum(0), (near.T @ near)[np.triu_indices(P)])
+    return (mean, *solved(cov))
+
+
+def starts(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """The CANDIDATES best estimates (centre, inverse, log determinant) from random subsets of P + 1 rows, and one from medians."""
+    x = x[np.lexsort(x.T)]  # the order of rows doesn't matter
+    r = np.random.Generator(np.random.PCG64(len(x)))
+    low, mid, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    begun = [concentrated(x, mid, solved(np.diag(np.square((high - low) / 1.35)))[0])]
+    for _ in range(STARTS):
+        some = x[r.choice(len(x), min(P + 1, len(x)), replace=False)]
+        begun.append(concentrated(x, some.mean(0), solved(np.cov(some.T, bias=True))[0]))
+    begun = sorted((concentrated(x, *e[:2]) for e in begun), key=lambda e: e[2])[: 3 * CANDIDATES]
+    out = []
+    for e in begun:
+        for _ in range(STEPS):
+            after = concentrated(x, *e[:2])
+            if abs(after[2] - e[2]) < SETTLED:
+                break
+            e = after
+        out.append(e)
+    return sorted(out, key=lambda e: e[2])[:CANDIDATES]
+
+
+_ESTIMATE = "key string, candidate int, centre array<double>, inverse array<double>, det double"
+_MOMENTS = f"{_ESTIMATE}, m double, sums array<double>, products array<double>, done boolean"
+#: At most so many cells' estimates (under 2 kB each) are broadcast; more are joined.
+CELLS_TO_SEND = 5_000
+
+
+def _begin(vectors: DataFrame) -> DataFrame:
+    """Candidates of each cell from at most START_ROWS of its rows; vectors: doc_id, key, x."""
+    rows = vectors.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    draw = F.pmod(F.xxhash64("doc_id", "x", F.lit("start")), F.lit(1 << 40)) / float(1 << 40)
+    drawn = vectors.join(rows, "key").withColumn("draw", draw).where(F.col("draw") * F.col("rows") < 2.0 * START_ROWS)
+    # twice the rows needed, then the first of these
+    few = drawn.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("draw"))).where(F.col("place") <= START_ROWS).select("key", "x")
+
+    def run(table):
+        best = starts(np.array(table.column("x").to_pylist()))
+        key = table.column("key")[0].as_py()
+        return pa.table({"key": [key] * len(best), "candidate": pa.array(range(len(best)), pa.int32()), "centre": [c.tolist() for c, _, _ in best], "inverse": [i.ravel().tolist() for _, i, _ in best], "det": [d for _, _, d in best]})
+
+    # a cell whose rows are copies of few texts may have none drawn: its mean begins
+    out = few.groupBy("key").applyInArrow(run, _ESTIMATE)
+    mean = F.array(*(F.avg(F.col("x")[i]) for i in range(P)))
+    unit = F.array(*(F.lit(1 / FLOOR[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(P)))
+    other = vectors.join(out.select("key"), "key", "left_anti").groupBy("key").agg(mean.alias("centre")).select("key", F.lit(0).alias("candidate"), "centre", unit.alias("inverse"), F.lit(0.0).alias("det"))
+    return storage.written(out.unionByName(other), "mcd")
+
+
+def _send(estimates: DataFrame) -> DataFrame:
+    return F.broadcast(estimates) if storage.small_enough(estimates, CELLS_TO_SEND * CANDIDATES) else estimates
+
+
+def _step(vectors: DataFrame, now: DataFrame) -> DataFrame:
+    """The next estimate of each cell: a step for each of its candidates, the one of least determinant stays."""
+    met = vectors.join(_send(now.select("key", "candidate", "centre", "inverse", "det")), "key")
+    d = _distance("x", "centre", "inverse")
+    place = F.least(F.greatest(F.floor(F.log2(d + 1e-12) * BINS), F.lit(NEAR)), F.lit(FAR)).cast("int")
+    products = [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(P) for j in range(i, P)]
+    binned = met.withColumn("bin", place).groupBy("key", "candidate", "bin").agg(F.first("det").alias("det"), F.count(F.lit(1)).alias("n"), *(F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(P)), *(p.alias(f"p{k}") for k, p in enumerate(products)))
+
+    def run(table):
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in table.column_names)))
+        best = None
+        for candidate in sorted({r[1] for r in rows}):
+            own = [r for r in rows if r[1] == candidate]
+            n = np.array([r[4] for r in own], float)
+            use = int(np.searchsorted(np.cumsum(n), SHARE * n.sum() - 1e-9)) + 1
+            total = np.array([r[5:] for r in own[:use]], float).sum(0)
+            m = n[:use].sum()
+            mean, cov = scatter(m, total[:P], total[P:])
+            inverse, det = solved(cov)
+            if best is None or det < best[4]:
+                best = (own[0][0], 0, mean.tolist(), inverse.ravel().tolist(), det, m, total[:P].tolist(), total[P:].tolist(), abs(det - own[0][3]) < SETTLED)
+        names = [f.split()[0] for f in _MOMENTS.split(", ")]
+        types = (pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.bool_())
+        return pa.table([pa.array([v], t) for v, t in zip(best, types)], names=names)
+
+    return binned.groupBy("key").applyInArrow(run, _MOMENTS)
 
-    def run(batches):
-        for batch in batches:
-            centre, inverse = [], []
-            for n, s, q in zip(*(batch.column(c).to_pylist() for c in ("m", "sums", "products"))):
-                mean = np.array(s) / n
-                cov = np.zeros((P, P))
-                cov[np.triu_indices(P)] = q
-                cov = cov / n - np.triu(np.outer(mean, mean))
-                cov = cov + np.triu(cov, 1).T
-                centre.append(mean.tolist())
-                inverse.append(np.linalg.inv(cov + np.diag(floor)).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rows"), pa.array(centre, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))], names=["key", "rows", "centre", "inverse"])
 
-    return moments.mapInArrow(run, "key string, rows long, centre array<double>, inverse array<double>")
+def estimates(vectors: DataFrame) -> DataFrame:
+    """key, lang, centre, inverse of every cell; vectors: doc_id, key, lang, x (array of P)."""
+    begin = _begin(vectors)
+    now = storage.written(_step(vectors, begin), "mcd")
+    storage.drop(begin)
+    for _ in range(STEPS):
+        # settled cells stay as they are
+        going = now.where("not done")
+        if going.isEmpty():
+            break
+        after = storage.written(_step(vectors, going).unionByName(now.where("done")), "mcd")
+        storage.drop(now)
+        now = after
+    return now
 
 
-#: At most so many groups' estimates (under 1 kB each) are broadcast; more are joined.
-GROUPS_TO_SEND = 5_000
+def _drawn(cells: DataFrame, langs: DataFrame) -> DataFrame:
+    """key, centre, inverse of cells, drawn towards their languages' and the whole table's."""
+    def totals():
+        return (F.sum("m").alias("m"), F.array(*(F.sum(F.col("sums")[i]) for i in range(P))).alias("sums"), F.array(*(F.sum(F.col("products")[k]) for k in range(P * (P + 1) // 2))).alias("products"))
 
+    named = cells.join(langs, "key")
+    whole = named.agg(*totals()).first()  # one row
+    if whole is None or whole["m"] is None:
+        return cells.select("key", "centre", "inverse").limit(0)
+    top = scatter(whole["m"], whole["sums"], whole["products"])
+    by = named.groupBy("lang").agg(*(c.alias(f"l_{n}") for c, n in zip(totals(), ("m", "sums", "products"))))
+    both = named.join(by, named["lang"].eqNullSafe(by["lang"])).select("key", "m", "sums", "products", "l_m", "l_sums", "l_products")
 
-def _with(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(estimates) if storage.small_enough(estimates, GROUPS_TO_SEND) else estimates, "key")
+    def towards(n, sums, products, prior):
+        centre, cov = scatter(n, sums, products)
+        w = n / (n + PRIOR)
+        return w * centre + (1 - w) * prior[0], w * cov + (1 - w) * prior[1]
 
+    def run(batches):
+        for batch in batches:
+            centre, inverse = [], []
+            for m, s, p, lm, ls, lp in zip(*(batch.column(i).to_pylist() for i in range(1, 7))):
+                c, cov = towards(m, s, p, towards(lm, ls, lp, top))
+                centre.append(c.tolist())
+                inverse.append(solved(cov)[0].ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(centre, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))], names=["key", "centre", "inverse"])
 
-def estimates(vectors: DataFrame) -> DataFrame:
-    """key, rows, centre, inverse, scale of every group; vectors: key, x (array of P)."""
-    mid = vectors.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *(F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(P)))
-    spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.35, F.lit(2)) + FLOOR[i] ** 2 for i in range(P)]
-    now = mid.select("key", "rows", F.array(*(F.col(f"q{i}")[1] for i in range(P))).alias("centre"), F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P))).alias("inverse"))
-    now = storage.written(now, "mcd")
-    products = [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(P) for j in range(i, P)]
-    for _ in range(STEPS):
-        far = _with(vectors, now).select("key", "rows", "x", _distance("x", "centre", "inverse").alias("d"))
-        limit = far.groupBy("key").agg(F.percentile_approx("d", SHARE, 1000).alias("limit"))
-        near = far.join(F.broadcast(limit) if storage.small_enough(now, GROUPS_TO_SEND) else limit, "key").where("d <= limit")
-        moments = near.groupBy("key").agg(F.first("rows").alias("rows"), F.count(F.lit(1)).alias("m"), F.array(*(F.sum(F.col("x")[i]) for i in range(P))).alias("sums"), F.array(*products).alias("products"))
-        after = storage.written(_invert(moments), "mcd")
-        storage.drop(now)
-        now = after
-    scale = _with(vectors, now).groupBy("key").agg(F.percentile_approx(_distance("x", "centre", "inverse"), 0.5, 1000).alias("scale"))
-    return storage.written(now.join(scale, "key"), "mcd")
+    return both.mapInArrow(run, "key string, centre array<double>, inverse array<double>")
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base_failed, distance (squared, over the group's median) and kept of every row of docs (doc_id, text, lang, source)."""
-    c = storage.written(counts(docs).withColumn("x", F.array(*features())), "counts")
+    """doc_id, counts, base_failed, distance (squared Mahalanobis) and kept of every row of docs (doc_id, text, lang, source)."""
     name = lambda col: F.concat(F.when(F.col(col).isNull(), "n").otherwise("v"), F.coalesce(F.hex(F.col(col)), F.lit("")))
-    levels = [F.concat(F.lit("s:"), name("lang"), F.lit("/"), name("source")), F.concat(F.lit("l:"), name("lang")), F.lit("all")]
+    c = storage.written(counts(docs).withColumn("x", F.array(*features())).withColumn("key", F.concat(name("lang"), F.lit("/"), name("source"))), "counts")
     # short texts fail the base rule whatever their statistics; these are noise for the estimates
-    of = estimates(c.where("n_words >= 20").select(F.explode(F.array(*levels)).alias("key"), "x"))
-    own = lambda i: of.select(F.col("key").alias(f"k{i}"), *(F.col(v).alias(f"{v}{i}") for v in ("rows", "centre", "inverse", "scale")))
-    few = storage.small_enough(of, GROUPS_TO_SEND)
-    out = c
-    for i, level in enumerate(levels):
-        out = out.withColumn(f"k{i}", level).join(F.broadcast(own(i)) if few else own(i), f"k{i}", "left")
-    use = F.when(F.col("rows0") >= MIN_ROWS, 0).when(F.col("rows1") >= MIN_ROWS, 1).otherwise(2)
-    for v in ("centre", "inverse", "scale"):
-        out = out.withColumn(v, F.when(use == 0, F.col(f"{v}0")).when(use == 1, F.col(f"{v}1")).otherwise(F.col(f"{v}2")))
-    out = out.withColumn("distance", _distance("x", "centre", "inverse") / F.greatest("scale", F.lit(SCALE_FLOOR)))
+    vectors = c.where("n_words >= 20").select("doc_id", "key", "x")
+    cells = estimates(vectors)
+    final = storage.written(_drawn(cells, c.where("n_words >= 20").select("key", "lang").distinct()), "cells")
+    storage.drop(cells)
+    out = c.join(F.broadcast(final) if storage.small_enough(final, CELLS_TO_SEND) else final, "key", "left").withColumn("distance", _distance("x", "centre", "inverse"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "distance", (~failed & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))).alias("kept"))
-
-
-#: The median squared distance counts as this at least.
-SCALE_FLOOR = 0.5
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "distance", (~failed & ~F.coalesce(F.col("distance") > LIMIT, F.lit(False))).alias("kept"))
