@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: a layer's seed is its number times this.
+LAYER_SEED = 10007
+
+
 def is_prime(n: int) -> bool:
     if n < 4:
         return n > 1
@@ -27,8 +31,8 @@ def distinct_primes(above: int, count: int) -> list[int]:
 
 def multipliers(count: int, seed: int, vocabulary: int) -> list[int]:
     """H2: seeded odd multipliers, small enough that no product with a token id leaves 63 bits."""
-    top = (2**63 - 1) // vocabulary // 2
-    return [int(v) * 2 + 1 for v in np.random.default_rng(seed).integers(0, top // 2, count)]
+    top = max(1, (2**63 - 1) // vocabulary // 2)
+    return [int(v) * 2 + 1 for v in np.random.default_rng(seed).integers(0, top, count)]
 
 
 def exclusive_sums(sizes: list[int]) -> list[int]:
@@ -47,11 +51,20 @@ class NgramHash:
     offsets: tuple[tuple[int, ...], ...]
 
     @classmethod
-    def make(cls, n: int, heads: int, size: int, vocabulary: int, seed: int = 0) -> "NgramHash":
-        flat = distinct_primes(size, (n - 1) * heads)
-        starts = exclusive_sums(flat)
+    def layers(cls, layers: list[int], n: int, heads: int, size: int, vocabulary: int) -> dict[int, "NgramHash"]:
+        """One scheme a layer: multipliers by the layer's seed, table sizes that no layer shares, offsets within the layer."""
+        per = (n - 1) * heads
+        sizes = distinct_primes(size - 1, per * len(layers))
         cut = lambda x: tuple(tuple(x[i * heads : (i + 1) * heads]) for i in range(n - 1))
-        return cls(n, heads, tuple(multipliers(n, seed, vocabulary)), cut(flat), cut(starts))
+        out = {}
+        for k, layer in enumerate(layers):
+            own = sizes[k * per : (k + 1) * per]
+            out[layer] = cls(n, heads, tuple(multipliers(n, LAYER_SEED * layer, vocabulary)), cut(own), cut(exclusive_sums(own)))
+        return out
+
+    @classmethod
+    def make(cls, n: int, heads: int, size: int, vocabulary: int, layer: int = 0) -> "NgramHash":
+        return cls.layers([layer], n, heads, size, vocabulary)[layer]
 
     def columns(self, history: list[Column]) -> list[Column]:
         """H1: ids for history = the token and the n - 1 before it."""

@@ -58,6 +58,12 @@ def cpu_list(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, ","), lambda x: part(F.trim(x))))
 
 
+def tenths(x: Column) -> Column:
+    """A number to one decimal as text; halves go away from zero."""
+    t = F.floor(F.abs(x) * 10 + 0.5).cast("long")
+    return F.concat(F.when((x < 0) & (t > 0), "-").otherwise(""), F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
 def base_name(path: Column) -> Column:
     """A path's last part without its suffix."""
     return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)

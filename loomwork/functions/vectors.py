@@ -63,17 +63,23 @@ def signed_root_gate(d: Column) -> Column:
 
 
 def sinkhorn(column: Column, rounds: int = 20) -> Column:
-    """exp of a flat 4 x 4 array, its rows and columns scaled in turn; a fixed number of rounds."""
+    """exp of a flat 4 x 4 array, its rows and columns scaled in turn; a fixed number of rounds.
+
+    A null array, one of another size and one that holds a null or NaN give null.
+    """
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        m = np.exp(np.stack(x.to_list()).astype(np.float64).reshape(-1, 4, 4))
+        good = np.array([v is not None and len(v) == 16 and not any(e is None or e != e for e in v) for v in x], bool)
+        out = pd.Series([None] * len(x), dtype=object)
+        if not good.any():
+            return out
+        m = np.exp(np.stack(x[good].to_list()).astype(np.float64).reshape(-1, 4, 4))
         for _ in range(rounds):
             m = m / m.sum(2, keepdims=True)
             m = m / m.sum(1, keepdims=True)
-        return pd.Series(list(m.reshape(-1, 16)))
+        out[good] = pd.Series(list(m.reshape(-1, 16)), index=out.index[good])
+        return out
 
     return run(column)
 

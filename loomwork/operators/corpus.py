@@ -12,12 +12,12 @@ from loomwork.registry import query
 from loomwork.session import table
 
 
-@query("""WITH p AS (SELECT conv_id, turn, string_split(trim(text), ' ') AS w FROM conversations WHERE role = 'user' AND trim(text) <> ''), m AS (SELECT least(min(len(w)), 12) AS n FROM p)
+@query("""WITH p AS (SELECT conv_id, turn, string_split(trim(text), ' ') AS w FROM conversations WHERE role = 'user' AND trim(text) <> ''), m AS (SELECT min(len(w)) AS n FROM p)
 SELECT conv_id, turn, array_to_string(w[1:n], ' ') AS prompt, n::BIGINT AS n FROM p, m""")
 def prompts_truncate_min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts that are not blank, cut to the length of the shortest (12 at most)."""
+    """Prompts that are not blank, cut to the length of the shortest."""
     p = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("t", F.trim("text")).where("t <> ''").select("conv_id", "turn", F.split("t", " ").alias("w"))
-    n = p.agg(F.least(F.min(F.size("w")), F.lit(12)).alias("n"))
+    n = p.agg(F.min(F.size("w")).alias("n"))
     return p.crossJoin(F.broadcast(n)).select("conv_id", "turn", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("prompt"), F.col("n").cast("long").alias("n"))
 
 
@@ -151,11 +151,11 @@ def spec_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("k"), "spec", F.aggregate(F.map_values(text.spec(F.col("spec"))), F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.size(text.cpu_list(F.col("cpus"))).cast("long").alias("cpus"), text.base_name(F.col("path")).alias("base"), hashing.build_tag("s_name").alias("tag"))
 
 
-@query("SELECT event_id, lpad(printf('%.1f', value), 9, ' ') || ' ' || rpad(event_type, 12, ' ') || left(props, 6) AS line FROM events WHERE (round(value * 100)::BIGINT % 10) <> 5")
+@query("SELECT event_id, lpad(CASE WHEN value < 0 AND t > 0 THEN '-' ELSE '' END || (t // 10) || '.' || (t % 10), 9, ' ') || ' ' || rpad(event_type, 12, ' ') || left(props, 6) AS line FROM (SELECT *, floor(abs(value) * 10 + 0.5)::BIGINT AS t FROM events)")
 def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed-width lines; halves of the last digit are left out, as engines round these differently."""
-    e = table(spark, sf_dir, "events").where("cast(round(value * 100) as bigint) % 10 <> 5")
-    return e.select("event_id", F.concat(F.lpad(F.format_string("%.1f", "value"), 9, " "), F.lit(" "), F.rpad("event_type", 12, " "), F.left("props", F.lit(6))).alias("line"))
+    """Fixed-width lines with values to a tenth, halves away from zero."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.concat(F.lpad(text.tenths(F.col("value")), 9, " "), F.lit(" "), F.rpad("event_type", 12, " "), F.left("props", F.lit(6))).alias("line"))
 
 
 @query()

@@ -31,13 +31,12 @@ SELECT seq, pos, tok AS t0, CASE WHEN b1 IS NULL OR b1 = {BREAK} THEN 0 ELSE b1
 _IDS = HASH.sql(["t0", "t1", "t2"])
 
 
-def ngram_ids(df: DataFrame, scheme: NgramHash = HASH) -> DataFrame:
-    """Seq, pos and one id per n-gram length and head (h0, h1, ...); df: seq, tok, ts, event_id.
+def history(df: DataFrame, n: int) -> DataFrame:
+    """Seq, pos, the token (t0) and the n tokens before it (t1, ...); df: seq, tok, ts, event_id.
 
     Histories come from a window over each sequence, or, where one sequence
     is too long for a task, from windows over equal buckets of rows.
     """
-    n = scheme.n - 1
     if ranks.hottest(df, "seq") > ranks.HOT_KEY_ROWS:
         rows = ranks.lags(df, "seq", ["ts", "event_id"], "tok", n).withColumn("pos", F.col("_pos"))
         past = [F.col(f"_lag{k}") for k in range(1, n + 1)]
@@ -45,16 +44,38 @@ def ngram_ids(df: DataFrame, scheme: NgramHash = HASH) -> DataFrame:
         w = Window.partitionBy("seq").orderBy("ts", "event_id")
         rows = df.withColumns({"pos": F.row_number().over(w).cast("long") - 1, **{f"_lag{k}": F.lag("tok", k).over(w) for k in range(1, n + 1)}})
         past = [F.col(f"_lag{k}") for k in range(1, n + 1)]
-    held = rows.select("seq", "pos", *(c.alias(f"t{i}") for i, c in enumerate(masked([F.col("tok"), *past]))))
+    return rows.select("seq", "pos", *(c.alias(f"t{i}") for i, c in enumerate(masked([F.col("tok"), *past]))))
+
+
+def ngram_ids(df: DataFrame, scheme: NgramHash = HASH) -> DataFrame:
+    """H1: seq, pos and one id per n-gram length and head (h0, h1, ...); df: seq, tok, ts, event_id."""
+    held = history(df, scheme.n - 1)
     return held.select("seq", "pos", *(c.alias(f"h{i}") for i, c in enumerate(scheme.columns([F.col(f"t{i}") for i in range(scheme.n)]))))
 
 
+def layered_ids(df: DataFrame, schemes: dict[int, NgramHash]) -> DataFrame:
+    """H1 H2: layer, seq, pos and the ids of each layer's scheme; histories are made once."""
+    n = max(s.n for s in schemes.values())
+    held, past = history(df, n - 1), [F.col(f"t{i}") for i in range(n)]
+    each = [F.struct(F.lit(layer).cast("long").alias("layer"), *(c.alias(f"h{i}") for i, c in enumerate(s.columns(past)))) for layer, s in schemes.items()]
+    return held.select("seq", "pos", F.inline(F.array(*each)))
+
+
 @query(f"SELECT seq, pos, {', '.join(f'{e} AS h{i}' for i, e in enumerate(_IDS))} FROM {_HISTORY}")
 def ngram_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1 H1 H2 H3 H4 P15."""
     return ngram_ids(coded(spark, sf_dir))
 
 
+LAYERS = NgramHash.layers([1, 4], n=3, heads=2, size=1000, vocabulary=1 << 17)
+
+
+@query(" UNION ALL ".join(f"SELECT {layer}::BIGINT AS layer, seq, pos, {', '.join(f'{e} AS h{i}' for i, e in enumerate(s.sql(['t0', 't1', 't2'])))} FROM {_HISTORY}" for layer, s in LAYERS.items()))
+def ngram_hash_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 H2 H3 H4: each layer has its own multipliers and tables."""
+    return layered_ids(coded(spark, sf_dir), LAYERS)
+
+
 @query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS pos FROM documents),
 t AS (SELECT doc_id, pos, ascii(word) * 32 + least(length(word), 31) AS t0, lag(ascii(word) * 32 + least(length(word), 31), 1, 0) OVER o AS t1, lag(ascii(word) * 32 + least(length(word), 31), 2, 0) OVER o AS t2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 h AS (SELECT doc_id, {', '.join(f'{e} AS h{i}' for i, e in enumerate(_IDS))} FROM t)
@@ -85,13 +106,13 @@ def ngram_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(part, "p_partkey").groupBy("seq").agg(F.sum("times").alias("hits"), F.round(F.sum(F.col("times") * F.col("p_retailprice")), 6).alias("total"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g'), ' ')) AS word, generate_subscripts(string_split(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g'), ' '), 1) AS pos FROM documents WHERE lang = 'en'),
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g'), ' ')) AS word, generate_subscripts(string_split(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g'), ' '), 1) AS pos FROM documents),
 k AS (SELECT regexp_replace(word, '[^a-z]', '', 'g') AS key, min((doc_id, pos)) AS seen, count(*) AS uses FROM w WHERE regexp_replace(word, '[^a-z]', '', 'g') <> '' GROUP BY 1)
 SELECT key, uses, row_number() OVER (ORDER BY seen) - 1 AS id FROM k""")
 def token_first_appearance_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense ids of normalised words by first appearance; numbered by ranges, not in one task."""
     text = F.regexp_replace(F.lower("text"), "[ \\t\\r\\n]+", " ")
-    words = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split(text, " ")).alias("pos", "word"))
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(text, " ")).alias("pos", "word"))
     keys = words.select("doc_id", "pos", F.regexp_replace("word", "[^a-z]", "").alias("key")).where("key <> ''")
     first = keys.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count(F.lit(1)).alias("uses")).select("key", "uses", "at.*")
     return ranks.global_index(first, ["doc_id", "pos"], "id").select("key", "uses", "id")

@@ -81,9 +81,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int, keep: DataFrame |
     rows = vectors.select("id", double("vector").alias("v"), *(["blk"] if keep is not None else []))
     for k in range(n):
         some = queries.where(F.pmod(F.xxhash64("q"), F.lit(n)) == k).select("q", double("vector").alias("x"))
-        met = rows.crossJoin(F.broadcast(some))
-        if keep is not None:
-            met = met.join(keep.join(some, "q", "left_semi"), ["q", "blk"], "left_semi")
+        # with pairs to keep, only these are formed
+        met = rows.crossJoin(F.broadcast(some)) if keep is None else rows.join(keep.join(some, "q"), "blk")
         score = F.round(F.aggregate(F.zip_with("v", "x", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6)
         best = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
         part = met.select("q", "id", score.alias("score")).withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= top)
@@ -91,6 +90,45 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int, keep: DataFrame |
     return out if out is not None else vectors.sparkSession.createDataFrame([], "q long, id long, score double, rk int")
 
 
+def head_scores(keys: DataFrame, queries: DataFrame, weights: list[float], top: int) -> DataFrame:
+    """Q, id, score, rk of each query's best visible keys; the score is the weighted sum over heads of relu(head . key).
+
+    keys: id, vector.  queries: q, bound (keys with smaller ids are visible),
+    heads (an array of vectors, one for each weight).  A stated query set
+    against all keys, QUERY_BLOCK queries a pass; each task keeps its own best
+    of each query before anything is shuffled.
+    """
+    n = -(-queries.count() // QUERY_BLOCK)
+    out = None
+    rows = keys.select("id", F.transform("vector", lambda x: x.cast("double")).alias("v"))
+    dot = lambda h: F.aggregate(F.zip_with("v", h, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    for k in range(n):
+        some = queries.where(F.pmod(F.xxhash64("q"), F.lit(n)) == k).select("q", "bound", F.transform("heads", lambda h: F.transform(h, lambda x: x.cast("double"))).alias("heads"))
+        score = sum((w * F.greatest(dot(F.col("heads")[i]), F.lit(0.0)) for i, w in enumerate(weights)), F.lit(0.0))
+        met = rows.join(F.broadcast(some), F.col("id") < F.col("bound")).select("q", "id", F.round(score, 6).alias("score"))
+        best = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
+        part = met.withColumn("rk", F.row_number().over(best).cast("long")).where(F.col("rk") <= top)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else keys.sparkSession.createDataFrame([], "q long, id long, score double, rk long")
+
+
+#: heads' weights.
+HEAD_WEIGHTS = [1.0, -0.25, 0.5]
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), k AS (SELECT vec_id // {RATIO} AS id, list(x ORDER BY vec_id) AS xs FROM v GROUP BY 1 HAVING count(*) = {RATIO}),
+g AS (SELECT id, [xs[1][i] + xs[2][i] + xs[3][i] + xs[4][i] for i in range(1, 65)] AS y FROM k),
+s AS (SELECT v.vec_id AS q, g.id, round({HEAD_WEIGHTS[0]} * greatest(list_inner_product(v.x, g.y), 0) + {HEAD_WEIGHTS[1]} * greatest(list_inner_product(list_reverse(v.x), g.y), 0) + {HEAD_WEIGHTS[2]} * greatest(list_inner_product([-a for a in v.x], g.y), 0), 6) AS score
+FROM v JOIN g ON g.id < (v.vec_id + 1) // {RATIO} WHERE v.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rk FROM s) SELECT q, id, score, rk FROM r WHERE rk <= 8""")
+def vector_causal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of 64 entries; keys are sums of complete groups, and every hundredth row asks all groups before it."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    held = v.groupBy(F.expr(f"vec_id div {RATIO}").alias("id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("r")).where(F.size("r") == RATIO)  # RATIO rows a group
+    keys = held.select("id", F.aggregate(F.slice("r", 2, RATIO - 1), F.col("r")[0]["x"], lambda a, e: F.zip_with(a, e["x"], lambda p, q: p + q)).alias("vector"))
+    ask = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.expr(f"(vec_id + 1) div {RATIO}").alias("bound"), F.array("x", F.reverse("x"), F.transform("x", lambda a: -a)).alias("heads"))
+    return head_scores(keys, ask, HEAD_WEIGHTS, 8)
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, sf_dir, "embeddings")
     return v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.expr("vec_id div 16").alias("blk")), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))

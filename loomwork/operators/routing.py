@@ -16,7 +16,7 @@ MAX_EXPERTS = 4096
 
 
 def transform(score: Column, kind: str) -> Column:
-    """the gate's score functions."""
+    """the gate's score functions of single scores; "softmax" goes over a token's scores, in gate()."""
     if kind == "sigmoid":
         return 1 / (1 + F.exp(-score))
     if kind == "sqrtsoftplus":
@@ -36,7 +36,7 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def gate(rows: DataFrame, experts: DataFrame, top: int, kind: str = "sqrtsoftplus", scale: float = 1.0, normalise: bool = True) -> DataFrame:
+def gate(rows: DataFrame, experts: DataFrame, top: int, kind: str = "sqrtsoftplus", scale: float = 1.0, normalise: bool = True, temperature: float = 1.0) -> DataFrame:
     """(tok, slot, expert, weight). rows: tok, vector.
 
     An expert is chosen by score + bias (ties: lowest id) and weighted by its
@@ -44,8 +44,15 @@ def gate(rows: DataFrame, experts: DataFrame, top: int, kind: str = "sqrtsoftplu
     routing takes no shuffle; the experts are one row that every task gets.
     """
     held = rows.select("tok", F.transform("vector", lambda x: x.cast("double")).alias("x")).crossJoin(F.broadcast(expert_matrix(experts)))
-    one = lambda e: F.struct(e["id"].alias("id"), transform(dot(F.col("x"), e["vector"]), kind).alias("s"), e["bias"].alias("b"))
+    raw = lambda e: dot(F.col("x"), e["vector"]) / temperature
+    one = lambda e: F.struct(e["id"].alias("id"), (raw(e) if kind == "softmax" else transform(raw(e), kind)).alias("s"), e["bias"].alias("b"))
     scored = held.select("tok", F.transform("experts", one).alias("scores"))
+    if kind == "softmax":
+        # the largest score is taken off before exp, so nothing overflows
+        high = scored.withColumn("high", F.array_max(F.transform("scores", lambda v: v["s"])))
+        powers = high.select("tok", F.transform("scores", lambda v: F.struct(v["id"].alias("id"), F.exp(v["s"] - F.col("high")).alias("s"), v["b"].alias("b"))).alias("scores"))
+        whole = powers.withColumn("whole", F.aggregate("scores", F.lit(0.0), lambda a, v: a + v["s"]))
+        scored = whole.select("tok", F.transform("scores", lambda v: F.struct(v["id"].alias("id"), (v["s"] / F.col("whole")).alias("s"), v["b"].alias("b"))).alias("scores"))
     ordered = F.array_sort(F.transform("scores", lambda v: F.struct((-F.round(v["s"] + v["b"], 6)).alias("k"), v["id"].alias("id"), v["s"].alias("s"))))
     best = scored.select("tok", F.slice(ordered, 1, top).alias("best"))
     total = F.aggregate("best", F.lit(0.0), lambda a, v: a + v["s"]) + 1e-20
@@ -81,6 +88,14 @@ def gate_topk_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate(*_split(spark, sf_dir, F.col("label") * 0.01), TOP, scale=SCALE)
 
 
+@query(f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), d AS (SELECT t.vec_id AS tok, e.vec_id AS expert, list_inner_product(t.x, e.x) / 0.5 AS d, e.label * 0.002 AS b FROM v t JOIN v e ON t.vec_id >= {EXPERTS} AND e.vec_id < {EXPERTS}),
+p AS (SELECT *, exp(d - max(d) OVER (PARTITION BY tok)) AS p FROM d), s AS (SELECT tok, expert, b, p / sum(p) OVER (PARTITION BY tok) AS s FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY round(s + b, 6) DESC, expert) - 1 AS slot FROM s) SELECT tok, slot, expert, round(s * {SCALE}, 6) AS weight FROM r WHERE slot < {TOP}""")
+def gate_topk_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Softmax over a token's experts at a temperature, biased choice, weights as they are."""
+    return gate(*_split(spark, sf_dir, F.col("label") * 0.002), TOP, "softmax", SCALE, normalise=False, temperature=0.5)
+
+
 def dispatch(pairs: DataFrame, experts: DataFrame, gmax: int) -> DataFrame:
     """Each pair's place in expert order and its group of at most gmax pairs.
 

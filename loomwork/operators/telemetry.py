@@ -141,13 +141,13 @@ def outermost(kernels: DataFrame, ops: DataFrame, on: str) -> DataFrame:
     return kernels.join(first, on, "left").withColumn("op", F.coalesce("op", F.lit("?")))
 
 
-@query("""WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events), o AS (SELECT k, arg_min(user_id, (ts, event_id)) AS op FROM e WHERE event_type = 'signup' AND user_id % 3 = 0 GROUP BY k),
+@query("""WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events), o AS (SELECT k, arg_min(user_id, (ts, event_id)) AS op FROM e WHERE event_type = 'signup' GROUP BY k),
 c AS (SELECT e.event_id, e.k, e.ts, coalesce(CAST(o.op AS VARCHAR), '?') AS op FROM e LEFT JOIN o ON e.k = o.k WHERE e.event_type = 'click')
 SELECT event_id, k, op, date_diff('microsecond', min(ts) OVER (PARTITION BY op), ts) AS since FROM c""")
 def trace_op_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernel events with their outermost op, times rebased to the op's first event."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    ops = e.where("event_type = 'signup' and user_id % 3 = 0").select("k", "ts", "event_id", F.col("user_id").cast("string").alias("op"))
+    ops = e.where("event_type = 'signup'").select("k", "ts", "event_id", F.col("user_id").cast("string").alias("op"))
     c = outermost(e.where("event_type = 'click'").select("event_id", "k", "ts"), ops, "k")
     start = c.groupBy("op").agg(F.min("ts").alias("start"))
     return c.join(start, "op").select("event_id", "k", "op", F.expr("timestampdiff(MICROSECOND, start, ts)").alias("since"))

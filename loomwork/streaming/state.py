@@ -93,7 +93,7 @@ class HotCache:
             self.slot[str(expert)] = slot
         self.pending = []
         ids = sorted(set(row["ids"]))
-        self.usage = {e: u * self.decay for e, u in self.usage.items() if u > 1e-6}
+        self.usage = {e: u * self.decay for e, u in self.usage.items()}
         for e in ids:
             self.usage[str(e)] = self.usage.get(str(e), 0.0) + 1
         hits = sum(str(e) in self.slot for e in ids)
@@ -113,6 +113,32 @@ class HotCache:
         return [{"step": self.steps - 1, "hits": hits, "swaps": swaps, "rate": self.hits / max(self.seen, 1)}]
 
 
+class LayeredHotCache:
+    """ST6: one HotCache a layer, whose swaps come out of one budget for each token; layers are served in order.
+
+    A row's layers is an array with the ids of each layer.
+    """
+
+    def __init__(self, slots: int = 8, decay: float = 0.97, margin: float = 2.0, budget: int = 2):
+        self.slots, self.decay, self.margin, self.budget = slots, decay, margin, budget
+        self.layers: list[dict[str, Any]] = []
+
+    def step(self, row: dict[str, Any]) -> list[dict[str, Any]]:
+        left, hits, swaps = self.budget, 0, 0
+        for k, ids in enumerate(row["layers"]):
+            if k == len(self.layers):
+                self.layers.append(HotCache(self.slots, self.decay, self.margin).__dict__)
+            one = HotCache()
+            one.__dict__.update(self.layers[k])
+            one.budget = left
+            (out,) = one.step({"ids": [int(i) for i in ids]})
+            self.layers[k] = one.__dict__
+            left -= out["swaps"]
+            hits, swaps = hits + out["hits"], swaps + out["swaps"]
+        seen = sum(x["seen"] for x in self.layers)
+        return [{"step": self.layers[0]["steps"] - 1 if self.layers else 0, "hits": hits, "swaps": swaps, "rate": sum(x["hits"] for x in self.layers) / max(seen, 1)}]
+
+
 class History:
     """ST4: the last n - 1 tokens of a sequence; a stop token hides what came before it."""
 
@@ -223,3 +249,11 @@ def stream_hot_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array(*(F.pmod(F.col("user_id") * m, F.lit(40)) for m in (1, 7, 11)))
     rows = event_stream(spark, sf_dir).select(F.col("event_type").alias("key"), "ts", "event_id", ids.alias("ids"))
     return drained(process(rows, "key", HotCache, "key string, step bigint, hits bigint, swaps bigint, rate double", ["ts", "event_id"]), "cached")
+
+
+@query()
+def stream_hot_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST6 T9 T10: three layers' slots with one budget of swaps a token, for eight streams; sequential, so tested against the same rules in Python."""
+    layers = F.array(*(F.array(*(F.pmod(F.col("user_id") * m + layer, F.lit(40)) for m in (1, 7, 11))) for layer in range(3)))
+    rows = event_stream(spark, sf_dir).select((F.col("user_id") % 8).alias("key"), "ts", "event_id", layers.alias("layers"))
+    return drained(process(rows, "key", LayeredHotCache, "key bigint, step bigint, hits bigint, swaps bigint, rate double", ["ts", "event_id"]), "layered")

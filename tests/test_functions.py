@@ -39,7 +39,7 @@ def test_grid_points_and_ties():
 def test_formats_keep_their_error(x):
     x = np.array(x, np.float32)
     for kind, most in (("fp8", 1 / 16), ("int8", 1 / 254 + 1e-6), ("fp4", 0.26)):
-        y = quant.FORMATS[kind](x)
+        y = quant.fake_row(x, kind)
         for i in range(0, len(x), 32):
             b, amax = x[i : i + 32], np.abs(x[i : i + 32]).max()
             if amax > 1e-3:
@@ -124,3 +124,50 @@ def test_ngrams_of_hot_sequences(spark, monkeypatch):
     plain = sorted(map(tuple, ngram.ngram_ids(df).collect()))
     monkeypatch.setattr(ranks, "HOT_KEY_ROWS", 1)
     assert sorted(map(tuple, ngram.ngram_ids(df).collect())) == plain
+
+
+def test_arrays_of_any_shape(spark):
+    rows = [(1, [1.0, -2.5, None, 300.0] + [0.1] * 40), (2, None), (3, []), (4, [0.0] * 33), (5, [7.0]), (6, [2.0**-8] * 16)]
+    df = spark.createDataFrame(rows, "id int, x array<double>")
+    for kind in quant.KINDS:
+        got = {r.id: r.y for r in quant.fake_quant(df, "x", kind, "y").collect()}
+        assert got[2] is None and got[3] == [] and got[4] == [0.0] * 33 and got[1][2] is None
+        for i, x in rows:
+            if x and None not in x:
+                assert got[i] == quant.fake_row(np.array(x, np.float32), kind).tolist()
+    coded = quant.encode_fp8(df, "x").withColumn("back", quant.dequantize(F.col("codes"), F.col("scales"), 32)).collect()
+    fake = {r.id: r.y for r in quant.fake_quant(df, "x", "fp8", "y").collect()}
+    for r in coded:
+        assert r.back == fake[r.id] and (r.scales is None if r.id == 2 else len(r.scales) == -(-len(r.x) // 32))
+    with pytest.raises(ValueError):
+        quant.fake_quant(df, "x", "fp9", "y")
+
+
+def test_nibbles(spark):
+    rows = [(i, [(3 * i + k) % 16 for k in range(i)]) for i in range(6)] + [(9, None)]
+    df = spark.createDataFrame(rows, "n int, c array<int>").withColumn("p", quant.pack_nibbles(F.col("c")))
+    for r in df.withColumn("u", quant.unpack_nibbles(F.col("p"), F.col("n"))).collect():
+        assert (r.p, r.u) == (None, None) if r.c is None else (len(r.p), r.u) == (-(-r.n // 2), r.c)
+
+
+def test_sinkhorn(spark):
+    from loomwork.functions import vectors
+
+    r = random.Random(3)
+    rows = [(1, [r.random() for _ in range(16)]), (2, None), (3, []), (4, [1.0] * 15 + [None]), (5, [r.random() for _ in range(16)])]
+    got = {x.id: x.m for x in spark.createDataFrame(rows, "id int, x array<double>").select("id", vectors.sinkhorn(F.col("x")).alias("m")).collect()}
+    assert got[2] is got[3] is got[4] is None
+    for i in (1, 5):
+        m = np.array(got[i]).reshape(4, 4)
+        assert np.allclose(m.sum(0), 1) and np.allclose(m.sum(1), 1)
+    assert spark.createDataFrame(rows[1:2], "id int, x array<double>").select(vectors.sinkhorn(F.col("x")).alias("m")).first().m is None
+
+
+def test_layered_hashes():
+    own = hashing.NgramHash.layers([2, 5], 4, 3, 100, 1 << 17)
+    sizes = [p for s in own.values() for row in s.primes for p in row]
+    assert sizes == hashing.distinct_primes(99, 18) and own[2].offsets[0][0] == own[5].offsets[0][0] == 0
+    for layer, s in own.items():
+        bound = (2**63 - 1) // (1 << 17) // 2
+        want = np.random.default_rng(10007 * layer).integers(0, bound, 4) * 2 + 1
+        assert list(s.multipliers) == want.tolist() and max(s.multipliers) * ((1 << 17) - 1) < 2**63

@@ -52,3 +52,17 @@ def test_copies_share_nothing():
     assert state.dump(a) == state.dump(b)
     b.step({"ids": [1]})
     assert state.dump(a) != state.dump(b)
+
+
+def test_layers_share_a_budget():
+    c = state.LayeredHotCache(slots=2, margin=2.0, budget=1)
+    for _ in range(2):
+        assert c.step({"layers": [[5, 6], [7, 8]]})[0]["swaps"] == 0
+    out = [c.step({"layers": [[5, 6], [7, 8]]})[0] for _ in range(4)]
+    assert [x["swaps"] for x in out] == [1, 1, 1, 1]  # the first layer's two ids go first, then the second's
+    assert c.step({"layers": [[5, 6], [7, 8]]})[0]["hits"] == 4
+    text = state.dump(c)
+    assert state.load(state.LayeredHotCache, text).step({"layers": [[5], [9]]}) == c.step({"layers": [[5], [9]]})
+    one, alone = state.LayeredHotCache(), state.HotCache()
+    rows = [[i % 13, (i * 7) % 20, i % 3] for i in range(200)]
+    assert [one.step({"layers": [r]}) for r in rows] == [alone.step({"ids": r}) for r in rows]
