@@ -6,7 +6,7 @@ import importlib
 
 from loomwork import registry
 
-MODULES = ("operators.telemetry", "operators.ngram", "operators.routing", "operators.retrieval", "operators.attention", "operators.sequence", "operators.numeric", "operators.corpus", "operators.placement", "streaming.state", "operators.gather")
+MODULES = ("operators.telemetry", "operators.ngram", "operators.routing", "operators.retrieval", "operators.attention", "operators.sequence", "operators.numeric", "operators.corpus", "operators.placement", "streaming.state", "operators.gather", "operators.files")
 
 
 def _load() -> None:

@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 REPLACEMENT = "�"
 
@@ -69,17 +69,49 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
 
 
-def parse_reply(text: Column) -> tuple[Column, Column]:
-    """(reasoning, content) of a reply in which a <think> part may come first; without one, all is content."""
+def parse_reply(text: Column) -> Column:
+    """Content, reasoning and tool_calls (array of name and arguments, as JSON) of a reply.
+
+    A <think> part may come first, <tool_call> parts with a JSON object behind
+    the content; a reply whose parts aren't closed or whose calls are no JSON
+    with a name is all content.
+    """
+    opened = lambda tag: F.size(F.split(text, f"<{tag}>")) - F.size(F.split(text, f"</{tag}>"))
+    calls = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), F.lit(1))
+    good = (opened("think") == 0) & (opened("tool_call") == 0) & F.forall(calls, lambda c: F.get_json_object(c, "$.name").isNotNull())
     reasoning = F.nullif(F.regexp_extract(text, r"(?s)^\s*<think>(.*?)</think>", 1), F.lit(""))
-    return reasoning, F.when(reasoning.isNull(), text).otherwise(F.trim(F.regexp_replace(text, r"(?s)^\s*<think>.*?</think>", "")))
+    rest = F.regexp_replace(F.regexp_replace(text, r"(?s)^\s*<think>.*?</think>", ""), r"(?s)<tool_call>.*?</tool_call>", "")
+    content = F.when(F.size(calls) + F.when(reasoning.isNull(), 0).otherwise(1) > 0, F.trim(rest)).otherwise(text)
+    each = F.transform(calls, lambda c: F.struct(F.get_json_object(c, "$.name").alias("name"), F.get_json_object(c, "$.arguments").alias("arguments")))
+    return F.struct(F.when(good, content).otherwise(text).alias("content"), F.when(good, reasoning).alias("reasoning"), F.when(good, each).otherwise(F.array().cast("array<struct<name:string,arguments:string>>")).alias("tool_calls"))
 
 
 def emitted(pieces: Column) -> Column:
-    """Texts to emit after each piece: a trailing replacement character (part of a character) is held back until it is complete."""
-    whole = lambda i: F.array_join(F.slice(pieces, F.lit(1), i + 1), "")
-    sent = F.transform(pieces, lambda p, i: F.regexp_replace(whole(i), f"{REPLACEMENT}+$", ""))
-    return F.transform(sent, lambda t, i: F.when(i == 0, t).otherwise(F.substring(t, F.length(sent[F.greatest(i - 1, F.lit(0))]) + 1, F.length(t))))
+    """Texts to emit after each piece (bytes) of a reply: what ends within a character is held back until it is complete; one pass over the pieces."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(x: pd.Series) -> pd.Series:
+        def one(row):
+            out, held = [], b""
+            for piece in row:
+                held += piece
+                try:
+                    out.append(held.decode())
+                    held = b""
+                except UnicodeDecodeError:
+                    out.append("")
+            return out
+
+        return x.map(one, na_action="ignore")
+
+    return run(pieces)
+
+
+def endpoint(path: Column, model: str) -> Column:
+    """Status and body of the static endpoints."""
+    listed = F.to_json(F.struct(F.lit("list").alias("object"), F.array(F.struct(F.lit(model).alias("id"), F.lit("model").alias("object"), F.lit("local").alias("owned_by"))).alias("data")))
+    answer = lambda status, body: F.struct(F.lit(status).alias("status"), body.alias("body"))
+    return F.when(path == "/v1/models", answer(200, listed)).when(path == "/health", answer(200, F.lit('{"status":"ok"}'))).otherwise(answer(404, F.lit('{"error":"not found"}')))
 
 
 #: Fixed value: the request's fields.

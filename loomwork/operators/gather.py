@@ -93,18 +93,23 @@ def best_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("bench").agg(F.max("per").alias("best"), F.count(F.lit(1)).alias("runs"))
 
 
+def by_node(experts: DataFrame, nodes: int) -> DataFrame:
+    """Experts dealt by ranges to nodes."""
+    return experts.repartitionByRange(nodes, "expert").withColumn("node", F.spark_partition_id())
+
+
 def load_by_node(experts: DataFrame, nodes: int) -> DataFrame:
-    """Experts dealt by ranges to nodes and kept in memory there."""
-    return experts.repartitionByRange(nodes, "expert").withColumn("node", F.spark_partition_id()).persist()
+    """by_node(), kept in memory there until the caller's unpersist()."""
+    return by_node(experts, nodes).persist()
 
 
-@query("SELECT count(*) AS experts, 4::BIGINT AS nodes, true AS ascending FROM part")
+@query("SELECT count(*) AS experts, least(count(DISTINCT p_partkey), 4) AS nodes, round(sum(p_retailprice), 4) AS price, min(p_partkey) AS lo, max(p_partkey) AS hi, count(*) - count(DISTINCT p_partkey) AS overlaps FROM part")
 def node_partitioned_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every expert is loaded once, and nodes hold ascending ranges."""
-    held = load_by_node(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("expert"), "p_retailprice"), 4)
-    n = held.groupBy("node").agg(F.min("expert").alias("lo"), F.max("expert").alias("hi"), F.count(F.lit(1)).alias("n"))
-    before = F.lag("hi").over(Window.orderBy("node"))
-    return n.withColumn("ok", F.coalesce(before < F.col("lo"), F.lit(True))).agg(F.sum("n").alias("experts"), F.count(F.lit(1)).alias("nodes"), F.every("ok").alias("ascending"))
+    """Every expert is loaded once, and nodes hold ascending ranges that don't overlap."""
+    held = by_node(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("expert"), "p_retailprice"), 4)
+    n = held.groupBy("node").agg(F.min("expert").alias("lo"), F.max("expert").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("p_retailprice").alias("price"))
+    before = F.lag("hi").over(Window.orderBy("node"))  # a row for each node
+    return n.withColumn("over", F.coalesce(before, F.col("lo") - 1) >= F.col("lo")).agg(F.sum("n").alias("experts"), F.count(F.lit(1)).alias("nodes"), F.round(F.sum("price"), 4).alias("price"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum(F.col("over").cast("long")).alias("overlaps"))
 
 
 @query()

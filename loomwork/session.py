@@ -46,9 +46,19 @@ def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """coded() with pos, from 0 by ts and event_id; a sequence is one window's partition."""
-    pos = F.row_number().over(Window.partitionBy("seq").orderBy("ts", "event_id")).cast("long") - 1
-    return coded(spark, sf_dir).withColumn("pos", pos)
+    """coded() with pos, from 0 by ts and event_id.
+
+    A sequence is one window's partition, or, where one is too long for a task,
+    places come from ranges over all rows.
+    """
+    from loomwork.plans import ranks
+
+    rows = coded(spark, sf_dir)
+    if ranks.hottest(rows, "seq") <= ranks.HOT_KEY_ROWS:
+        return rows.withColumn("pos", F.row_number().over(Window.partitionBy("seq").orderBy("ts", "event_id")).cast("long") - 1)
+    placed = ranks.global_index(rows, ["seq", "ts", "event_id"], "_place")
+    first = placed.groupBy(F.col("seq").alias("_seq")).agg(F.min("_place").alias("_first"))
+    return placed.join(first, F.col("seq").eqNullSafe(F.col("_seq"))).select(*rows.columns, (F.col("_place") - F.col("_first")).alias("pos"))
 
 
 #: tokens() for DuckDB.

@@ -2,66 +2,107 @@
 
 Format: an 8-byte little-endian header length, a JSON header of name ->
 {dtype, shape, data_offsets}, then the tensors' bytes.  Read as rows
-(name, dtype, shape, file, row, data): one per leading index of a tensor, or
-without ``rows`` one per tensor.  Only headers are read where ``data`` isn't
-asked for; equality and prefix filters on names reach the reader; the rows
-option reads a range of leading indices and nothing else.
-
-Paths are Hadoop paths when read through catalog(); the data source itself
-opens local or mounted files, as Python on executors can.
+(name, dtype, shape, file, row, data): one per tensor, or with the rows option
+one per leading index in a range, and nothing else is read then.  Only headers
+are read where ``data`` isn't asked for; equality and prefix filters on names
+reach the reader.  Headers are read once, on the driver; tasks get tensors or
+ranges of rows of up to SPLIT_BYTES, so neither a large file nor a large tensor
+is one task's.  A tensor that is too large for a row must be read by rows.
+
+Written files get one file a task, moved into place when all tasks are done,
+and an index file with the weight map.
+
+Paths are URIs of any file system that pyarrow opens (local, HDFS, S3 and
+others), on the driver and on executors alike.
 """
 
 from __future__ import annotations
 
-import glob
 import json
-import os
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
 #: Bytes of each dtype's items.
 ITEM = {"F64": 8, "F32": 4, "F16": 2, "BF16": 2, "I64": 8, "I32": 4, "I16": 2, "I8": 1, "U8": 1, "BOOL": 1, "F8_E4M3": 1, "F8_E8M0": 1}
 NUMPY = {"float64": "F64", "float32": "F32", "float16": "F16", "int64": "I64", "int32": "I32", "int16": "I16", "int8": "I8", "uint8": "U8", "bool": "BOOL"}
 SCHEMA = "name string, dtype string, shape array<bigint>, file string, row bigint, data binary"
+#: Bytes that a task reads, but for one row or tensor that is longer; bytes that a row can hold.
+SPLIT_BYTES, ROW_BYTES = 128 << 20, (1 << 31) - (1 << 16)
+INDEX = "model.safetensors.index.json"
+
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI or absolute path, and the path in it."""
+    return fs.FileSystem.from_uri(uri)
 
-def header(path: str) -> tuple[dict, int]:
+
+def header(uri: str) -> tuple[dict, int]:
     """S3: a file's header and the offset of its tensors."""
-    with open(path, "rb") as f:
+    system, path = opened(uri)
+    with system.open_input_file(path) as f:
         (n,) = struct.unpack("<Q", f.read(8))
         return json.loads(f.read(n)), 8 + n
 
 
-def write_file(path: str, tensors: dict[str, np.ndarray]) -> None:
-    """One file of some tensors."""
+def _write(system: fs.FileSystem, path: str, tensors: Iterator[tuple[str, str, list[int], bytes]]) -> list[str]:
+    """One file of tensors (name, dtype, shape, data); bodies wait in a task's own temporary file, as the header stands first."""
     head, at = {}, 0
-    for name, x in tensors.items():
-        head[name] = {"dtype": NUMPY[x.dtype.name], "shape": list(x.shape), "data_offsets": [at, at + x.nbytes]}
-        at += x.nbytes
-    raw = json.dumps(head).encode()
-    raw += b" " * (-len(raw) % 8)
-    with open(path, "wb") as f:
-        f.write(struct.pack("<Q", len(raw)) + raw)
-        for x in tensors.values():
-            f.write(np.ascontiguousarray(x).tobytes())
+    with tempfile.TemporaryFile() as body:
+        for name, dtype, shape, data in tensors:
+            head[name] = {"dtype": dtype, "shape": list(shape), "data_offsets": [at, at + len(data)]}
+            at += len(data)
+            body.write(data)
+        raw = json.dumps(head).encode()
+        raw += b" " * (-len(raw) % 8)
+        body.seek(0)
+        with system.open_output_stream(path) as f:
+            f.write(struct.pack("<Q", len(raw)) + raw)
+            while piece := body.read(1 << 20):
+                f.write(piece)
+    return list(head)
+
+
+def write_file(uri: str, tensors: dict[str, np.ndarray]) -> None:
+    """One file of some tensors."""
+    _write(*opened(uri), ((name, NUMPY[x.dtype.name], list(x.shape), np.ascontiguousarray(x).tobytes()) for name, x in tensors.items()))
+
+
+class Piece:
+    """A tensor, or a range of its leading indices: where its bytes are, and how many each row has."""
+
+    def __init__(self, name: str, tensor: dict, base: int, rows: tuple[int, int] | None):
+        self.name, self.dtype, self.shape, self.rows = name, tensor["dtype"], tensor["shape"], rows
+        start, end = tensor["data_offsets"]
+        lead = self.shape[0] if self.shape else 1
+        self.start, self.size = base + start, (end - start) // max(lead, 1) if rows else end - start
+
+    @property
+    def bytes(self) -> int:
+        return self.size * (self.rows[1] - self.rows[0] if self.rows else 1)
 
 
 class Part(InputPartition):
-    """Some tensors of one file, or a range of one tensor's rows."""
+    """What a task reads of one file."""
 
-    def __init__(self, path: str, names: list[str], rows: tuple[int, int] | None):
-        self.path, self.names, self.rows = path, names, rows
+    def __init__(self, uri: str, pieces: list[Piece]):
+        self.uri, self.pieces = uri, pieces
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        path = options["path"].removeprefix("file://")
-        self.files = sorted(glob.glob(os.path.join(path, "*.safetensors"))) if os.path.isdir(path) else [path]
+        self.uri = options["path"].rstrip("/")
+        system, path = opened(self.uri)
+        folder = system.get_file_info(path).type == fs.FileType.Directory
+        names = sorted(x.base_name for x in system.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(".safetensors")) if folder else []
+        self.files = [f"{self.uri}/{n}" for n in names] if folder else [self.uri]
         self.rows = options.get("rows")
         self.body = options.get("data", "true").lower() == "true"
         self.names: set[str] | None = None
@@ -79,45 +120,93 @@ class Reader(DataSourceReader):
             else:
                 yield f
 
+    def _pieces(self, uri: str) -> Iterator[Piece]:
+        head, base = header(uri)
+        for name, t in head.items():
+            if name == "__metadata__" or not name.startswith(self.prefix) or (self.names is not None and name not in self.names):
+                continue
+            if not self.rows:
+                yield Piece(name, t, base, None)
+                continue
+            a, b = (int(x) if x else None for x in self.rows.split(":"))
+            lead = t["shape"][0] if t["shape"] else 1
+            start, end = max(0, a or 0), min(lead, lead if b is None else b)
+            size = (t["data_offsets"][1] - t["data_offsets"][0]) // max(lead, 1)
+            step = max(1, SPLIT_BYTES // max(size, 1))
+            for k in range(start, end, step):
+                yield Piece(name, t, base, (k, min(end, k + step)))
+
     def partitions(self) -> list[Part]:
-        out = []
-        for path in self.files:
-            head, _ = header(path)
-            names = [n for n in head if n != "__metadata__" and n.startswith(self.prefix) and (self.names is None or n in self.names)]
-            if self.rows:
-                a, b = (int(x) if x else None for x in self.rows.split(":"))
-                out += [Part(path, [n], (a or 0, b if b is not None else 1 << 62)) for n in names]
-            elif names:
-                out.append(Part(path, names, None))
-        return out or [Part("", [], None)]
+        out: list[Part] = []
+        for uri in self.files:
+            held = SPLIT_BYTES
+            for piece in self._pieces(uri):
+                if self.body and piece.size > ROW_BYTES:
+                    raise ValueError(f"{piece.name} has {piece.size} bytes a row; read it by rows")
+                if held + piece.bytes > SPLIT_BYTES:
+                    out.append(Part(uri, []))
+                    held = 0
+                out[-1].pieces.append(piece)
+                held += piece.bytes
+        return out or [Part("", [])]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        if not partition.names:
+        if not partition.pieces:
             return
-        head, base = header(partition.path)
-        with open(partition.path, "rb") as f:
-            for name in partition.names:
-                t = head[name]
-                start, end = t["data_offsets"]
-                if partition.rows is None:
-                    data = None
-                    if self.body:
-                        f.seek(base + start)
-                        data = f.read(end - start)
-                    yield name, t["dtype"], t["shape"], os.path.basename(partition.path), None, data
-                    continue
-                lead = t["shape"][0] if t["shape"] else 1
-                size = (end - start) // max(lead, 1)
-                for row in range(max(0, partition.rows[0]), min(lead, partition.rows[1])):
-                    data = None
-                    if self.body:
-                        f.seek(base + start + row * size)
-                        data = f.read(size)
-                    yield name, t["dtype"], t["shape"], os.path.basename(partition.path), row, data
+        system, path = opened(partition.uri)
+        name = path.rsplit("/", 1)[-1]
+        with system.open_input_file(path) as f:
+            for p in partition.pieces:
+                for row in range(*p.rows) if p.rows else (None,):
+                    data = f.read_at(p.size, p.start + p.size * (row or 0)) if self.body else None
+                    yield p.name, p.dtype, p.shape, name, row, data
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, file: str, names: list[str]):
+        self.file, self.names = file, names
+
+
+class Writer(DataSourceWriter):
+    """Rows (name, dtype, shape, data) as files; what failed attempts wrote never gets into place."""
+
+    def __init__(self, options: dict[str, str], fields: list[str], overwrite: bool):
+        self.uri, self.fields, self.overwrite = options["path"].rstrip("/"), fields, overwrite
+
+    def write(self, iterator: Iterator) -> Written:
+        file = f"part-{uuid.uuid4().hex}.safetensors"
+        system, path = opened(self.uri)
+        system.create_dir(f"{path}/_temporary", recursive=True)
+        at = [self.fields.index(c) for c in ("name", "dtype", "shape", "data")]
+        return Written(file, _write(system, f"{path}/_temporary/{file}", (tuple(row[i] for i in at) for row in iterator)))
+
+    def commit(self, messages: list) -> None:
+        system, path = opened(self.uri)
+        system.create_dir(path, recursive=True)
+        weights: dict[str, str] = {}
+        if self.overwrite:
+            for old in system.get_file_info(fs.FileSelector(path)):
+                if old.base_name.endswith(".safetensors"):
+                    system.delete_file(old.path)
+        elif system.get_file_info(f"{path}/{INDEX}").type == fs.FileType.File:
+            with system.open_input_stream(f"{path}/{INDEX}") as f:
+                weights = json.loads(f.read())["weight_map"]
+        for m in messages:
+            if m is not None and m.names:
+                system.move(f"{path}/_temporary/{m.file}", f"{path}/{m.file}")
+                weights |= dict.fromkeys(m.names, m.file)
+        with system.open_output_stream(f"{path}/{INDEX}") as f:
+            f.write(json.dumps({"metadata": {}, "weight_map": weights}).encode())
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        system, path = opened(self.uri)
+        if system.get_file_info(f"{path}/_temporary").type == fs.FileType.Directory:
+            system.delete_dir(f"{path}/_temporary")
 
 
 class Safetensors(DataSource):
-    """``spark.read.format("safetensors").option("rows", "2:5").load(path)``."""
+    """``spark.read.format("safetensors").option("rows", "2:5").load(path)``, ``df.write.format("safetensors").mode("append").save(path)``."""
 
     @classmethod
     def name(cls) -> str:
@@ -129,6 +218,9 @@ class Safetensors(DataSource):
     def reader(self, schema) -> Reader:
         return Reader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> Writer:
+        return Writer(self.options, schema.names, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     """Make the format known, with filters that reach it."""
@@ -143,6 +235,12 @@ def tensors(spark: SparkSession, path: str, rows: str | None = None, data: bool
     return (reader.option("rows", rows) if rows else reader).load(path)
 
 
+def write(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """df (name, dtype, shape, data) as files at path, one a partition, with their index."""
+    register(df.sparkSession)
+    df.select("name", "dtype", "shape", "data").write.format("safetensors").mode("overwrite" if overwrite else "append").save(path)
+
+
 def catalog(spark: SparkSession, index: str) -> DataFrame:
     """Name, file out of an index file's weight_map."""
     raw = spark.read.text(index, wholetext=True)

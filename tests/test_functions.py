@@ -63,9 +63,29 @@ def test_hash_parts():
 
 def test_text(spark):
     assert text.normalise(" Ｆｏｏ\t\nBÀR ") == "foo bar" and text.normalise(" ") == " " and text.normalise("\t") == " "
-    one = spark.createDataFrame([("a:1,b:2", "3, 4,", "0-2,8", "x/y.tar", "<think>why</think> because", ["h", "�", "é!"])], "s string, l string, c string, p string, r string, e array<string>")
-    r = one.select(text.spec(F.col("s")), text.int_list(F.col("l")), text.cpu_list(F.col("c")), text.base_name(F.col("p")), *text.parse_reply(F.col("r")), text.emitted(F.col("e"))).first()
-    assert tuple(r)[:6] == ({"a": 1, "b": 2}, [3, 4], [0, 1, 2, 8], "y", "why", "because") and r[6][0] == "h" and r[6][1] == ""
+    one = spark.createDataFrame([("a:1,b:2", "3, 4,", "0-2,8", "x/y.tar", -0.25)], "s string, l string, c string, p string, x double")
+    r = one.select(text.spec(F.col("s")), text.int_list(F.col("l")), text.cpu_list(F.col("c")), text.base_name(F.col("p")), text.tenths(F.col("x")), text.tenths(F.lit(-0.01)), text.tenths(F.lit(12.0))).first()
+    assert tuple(r) == ({"a": 1, "b": 2}, [3, 4], [0, 1, 2, 8], "y", "-0.3", "0.0", "12.0")
+
+
+def test_replies(spark):
+    call = '<tool_call>{"name": "f", "arguments": {"a":1}}</tool_call>'
+    cases = [("<think>why</think> because", ("because", "why", [])), ("only text", ("only text", None, [])), (f"do {call}", ("do", None, [("f", '{"a":1}')])), ("<think>open", ("<think>open", None, [])), ("x <tool_call>no json</tool_call>", ("x <tool_call>no json</tool_call>", None, [])), ("", ("", None, [])), (None, (None, None, []))]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", text.parse_reply(F.col("t")).alias("r"))
+    for row in df.collect():
+        want = cases[row.i][1]
+        assert (row.r.content, row.r.reasoning, [tuple(c) for c in row.r.tool_calls]) == want, row
+
+
+def test_emitted(spark):
+    raw = "é日x𝄞 end".encode()
+    rows = [(n, [raw[i : i + n] for i in range(0, len(raw), n)]) for n in (1, 2, 3, 20)] + [(30, []), (31, None), (32, [b"ok", b"\xff"])]
+    for row in spark.createDataFrame(rows, "n int, p array<binary>").select("n", "p", text.emitted(F.col("p")).alias("out")).collect():
+        if row.n < 30:
+            assert "".join(row.out) == raw.decode() and len(row.out) == len(row.p)
+            assert all((b"".join(row.p[: k + 1]).decode(errors="ignore").encode() == b"".join(row.p[: k + 1])) == (t != "") for k, t in enumerate(row.out))
+        else:
+            assert row.out == {30: [], 31: None, 32: ["ok", ""]}[row.n]
 
 
 def test_global_index_and_nearest_rank(spark):
@@ -171,3 +191,11 @@ def test_layered_hashes():
         bound = (2**63 - 1) // (1 << 17) // 2
         want = np.random.default_rng(10007 * layer).integers(0, bound, 4) * 2 + 1
         assert list(s.multipliers) == want.tolist() and max(s.multipliers) * ((1 << 17) - 1) < 2**63
+
+
+def test_tokens_of_hot_sequences(spark, monkeypatch):
+    from loomwork import session
+
+    plain = sorted(map(tuple, session.tokens(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(ranks, "HOT_KEY_ROWS", 1)
+    assert sorted(map(tuple, session.tokens(spark, "/root/testdata/sf0.001").collect())) == plain

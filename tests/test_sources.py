@@ -31,7 +31,7 @@ def test_rows_and_filters(spark, model):
     assert sorted((r.row, r["values"]) for r in got) == [(i, want["layers.0.w.weight"][i].tolist()) for i in (1, 2)]
     reader = safetensors.Reader({"path": path})
     left = list(reader.pushFilters([safetensors.StringStartsWith(("name",), "layers.1"), safetensors.EqualTo(("dtype",), "F32")]))
-    assert len(left) == 1 and [p.names for p in reader.partitions()] == [["layers.1.w.weight"]]
+    assert len(left) == 1 and [[x.name for x in p.pieces] for p in reader.partitions()] == [["layers.1.w.weight"]]
     assert safetensors.tensors(spark, path).where("name = 'none'").collect() == []
     assert {(r.name, r.file) for r in safetensors.catalog(spark, f"{path}/index.json").collect()} == {(n, "b.safetensors" if "1" in n else "a.safetensors") for n in want}
 
@@ -65,3 +65,24 @@ def test_sinks(spark, tmp_path):
     body = files.event_stream(spark.createDataFrame([("r", 1, "b"), ("r", 0, 'a"')], "request string, i int, text string")).first().body
     lines = [x for x in body.split("\n\n") if x]
     assert [json.loads(x[6:])["text"] for x in lines[:2]] == ['a"', "b"] and lines[2] == "data: [DONE]"
+
+
+def test_written_tensors(spark, tmp_path, monkeypatch):
+    big = np.arange(40, dtype=np.float32).reshape(10, 4)
+    rows = [(f"t{i}", "F32", [10, 4], (big + i).tobytes()) for i in range(5)] + [("scalar", "F64", [], np.float64(3).tobytes()), ("empty", "F32", [0, 4], b"")]
+    df = spark.createDataFrame(rows, "name string, dtype string, shape array<bigint>, data binary").repartition(3)
+    path = f"file://{tmp_path}/model"
+    safetensors.write(df, path)
+    got = {r.name: r for r in safetensors.tensors(spark, path).collect()}
+    assert {(n, bytes(r.data), tuple(r.shape), r.dtype) for n, r in got.items()} == {(n, d, tuple(s), t) for n, t, s, d in rows}
+    assert {(r.name, r.file) for r in safetensors.catalog(spark, f"{path}/{safetensors.INDEX}").collect()} == {(n, r.file) for n, r in got.items()}
+    safetensors.write(df.where("name = 't1'").withColumn("name", safetensors.F.lit("more")), path)
+    assert safetensors.catalog(spark, f"{path}/{safetensors.INDEX}").count() == 8 and safetensors.tensors(spark, path, data=False).count() == 8
+    safetensors.write(df.where("name = 't1'"), path, overwrite=True)
+    assert [r.name for r in safetensors.tensors(spark, path).collect()] == ["t1"] and safetensors.catalog(spark, f"{path}/{safetensors.INDEX}").count() == 1
+    monkeypatch.setattr(safetensors, "SPLIT_BYTES", 40)
+    parts = safetensors.Reader({"path": path, "rows": "1:9"}).partitions()
+    assert [x.rows for p in parts for x in p.pieces] == [(1, 3), (3, 5), (5, 7), (7, 9)] and all(len(p.pieces) == 1 for p in parts)
+    monkeypatch.setattr(safetensors, "ROW_BYTES", 40)
+    with pytest.raises(ValueError):
+        safetensors.Reader({"path": path}).partitions()
