@@ -5,7 +5,8 @@ per pre-token in each Python worker; the cache is emptied at a fixed number of
 entries, which changes speed, never results.  Ids and the byte offset of each
 id are kept, so any range of ids decodes to its part of the text.
 
-Defined results: a null text is empty and has no ids.
+Defined results: a null text is empty and has no ids; repeated rows and rows
+without doc_id stay rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 
 from loomwork.llm import pretoken, worker
 
-CACHE_ENTRIES = 250_000
+#: Entries of a worker's cache, and characters of a pre-token that it holds.
+CACHE_ENTRIES, CACHED_CHARS = 250_000, 64
 
 
 class Vocabulary:
@@ -102,7 +104,8 @@ class _Encoded(dict):
 
     def __missing__(self, piece: str) -> bytes:
         out = np.array(self.vocabulary.merge(piece.encode()), "<u4").tobytes()
-        self[piece] = out
+        if len(piece) <= CACHED_CHARS:
+            self[piece] = out
         return out
 
 

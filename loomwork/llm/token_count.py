@@ -5,7 +5,8 @@ pair of lowest rank again and again.  The count is the number of symbols minus
 the number of merges.  Counts are cached per pre-token in each Python worker.
 
 Defined results: a null text is empty and has no tokens; the vocabulary's
-added special strings count as one token each where they stand in a text.
+added special strings count as one token each where they stand in a text;
+repeated rows and rows without doc_id stay rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 
 from loomwork.llm import pretoken, worker
 
-CACHE_ENTRIES = 600_000
+#: Entries of a worker's cache, and characters of a pre-token that it holds.
+CACHE_ENTRIES, CACHED_CHARS = 600_000, 64
 
 
 def byte_symbols() -> dict[int, str]:
@@ -121,7 +123,9 @@ class _Counts(dict):
         self.counter = counter
 
     def __missing__(self, piece: str) -> int:
-        out = self[piece] = self.counter.count(piece.encode())
+        out = self.counter.count(piece.encode())
+        if len(piece) <= CACHED_CHARS:
+            self[piece] = out
         return out
 
 
