@@ -326,8 +326,11 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                 k = len(n)
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * k, pa.int32()), pa.array([seq.as_py()] * k, pa.int32()), doc_ids.values, pa.array(at[:-1]), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "within", "n_tokens", "ids_crc32"])
 
-    # shards are rows of a few MB: the sum runs over shards, never over documents
-    starts = read(spark, path, ["part", "seq", "n_ids"]).select("part", "seq", (F.sum("n_ids").over(Window.orderBy("part", "seq")) - F.col("n_ids")).alias("before"))
+    # sums over the shards of each part, and over parts (one row for each task that wrote)
+    shards = read(spark, path, ["part", "seq", "n_ids"])
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
+    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
+    starts = shards.withColumn("within", within).join(parts, "part").select("part", "seq", (F.col("ahead") + F.col("within")).alias("before"))
     rows = read(spark, path).mapInArrow(run, "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long")
     starts = F.broadcast(starts) if storage.small_enough(starts, SHARDS_TO_SEND) else starts
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
