@@ -41,7 +41,7 @@ FEATURES = ("symbols", "upper", "digits", "marks", "dup_lines", "repeats", "word
 P = len(FEATURES)
 #: Spread that each transformed statistic has at least, so that statistics which are nearly constant in a cell don't make every other value an outlier.
 FLOOR = (0.12, 0.08, 0.20, 0.12, 0.35, 0.35, 0.12)
-#: Share of rows within the estimate; rows, random starts and candidates of a cell's beginning; steps at most, and the change of the logarithm of the determinant at which they end.
+#: Share of rows within the estimate; rows, random starts and candidates of a cell's beginning; steps at most, and the fall of the logarithm of the determinant below which they end.
 SHARE, START_ROWS, STARTS, CANDIDATES, STEPS, SETTLED = 0.75, 400, 40, 3, 30, 1e-3
 #: Rows that the prior of a cell's estimate counts as; share of normal data that is not rejected.
 PRIOR, QUANTILE = 50.0, 0.999
@@ -241,9 +241,9 @@ CELLS_TO_SEND = 5_000
 
 def _begin(vectors: DataFrame) -> DataFrame:
     """Candidates of each cell from at most START_ROWS of its rows; vectors: doc_id, key, x."""
-    rows = vectors.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    rows = storage.written(vectors.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "rows")
     draw = F.pmod(F.xxhash64("doc_id", "x", F.lit("start")), F.lit(1 << 40)) / float(1 << 40)
-    drawn = vectors.join(rows, "key").withColumn("draw", draw).where(F.col("draw") * F.col("rows") < 2.0 * START_ROWS)
+    drawn = vectors.join(_send(rows), "key").withColumn("draw", draw).where(F.col("draw") * F.col("rows") < 2.0 * START_ROWS)
     # twice the rows needed, then the first of these
     few = drawn.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("draw"))).where(F.col("place") <= START_ROWS).select("key", "x")
 
@@ -252,20 +252,25 @@ def _begin(vectors: DataFrame) -> DataFrame:
         key = table.column("key")[0].as_py()
         return pa.table({"key": [key] * len(best), "candidate": pa.array(range(len(best)), pa.int32()), "centre": [c.tolist() for c, _, _ in best], "inverse": [i.ravel().tolist() for _, i, _ in best], "det": [d for _, _, d in best]})
 
-    # a cell whose rows are copies of few texts may have none drawn: its mean begins
-    out = few.groupBy("key").applyInArrow(run, _ESTIMATE)
-    mean = F.array(*(F.avg(F.col("x")[i]) for i in range(P)))
-    unit = F.array(*(F.lit(1 / FLOOR[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(P)))
-    other = vectors.join(out.select("key"), "key", "left_anti").groupBy("key").agg(mean.alias("centre")).select("key", F.lit(0).alias("candidate"), "centre", unit.alias("inverse"), F.lit(0.0).alias("det"))
-    return storage.written(out.unionByName(other), "mcd")
+    out = storage.written(few.groupBy("key").applyInArrow(run, _ESTIMATE), "mcd")
+    missing = rows.join(out.select("key"), "key", "left_anti").select("key")
+    if not missing.isEmpty():
+        # cells whose rows are copies of few texts may have none drawn: their means begin
+        missing = storage.written(missing, "missing")
+        mean = F.array(*(F.avg(F.col("x")[i]) for i in range(P)))
+        unit = F.array(*(F.lit(1 / FLOOR[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(P)))
+        other = vectors.join(_send(missing), "key").groupBy("key").agg(mean.alias("centre")).select("key", F.lit(0).alias("candidate"), "centre", unit.alias("inverse"), F.lit(0.0).alias("det"))
+        out = storage.written(out.unionByName(other), "mcd")
+    storage.drop(rows)
+    return out
 
 
 def _send(estimates: DataFrame) -> DataFrame:
     return F.broadcast(estimates) if storage.small_enough(estimates, CELLS_TO_SEND * CANDIDATES) else estimates
 
 
-def _step(vectors: DataFrame, now: DataFrame) -> DataFrame:
-    """The next estimate of each cell: a step for each of its candidates, the one of least determinant stays."""
+def _step(vectors: DataFrame, now: DataFrame, first: bool = False) -> DataFrame:
+    """The next estimate of each cell: a step for each of its candidates, the one of least determinant stays. first: determinants of before are of other rows."""
     met = vectors.join(_send(now.select("key", "candidate", "centre", "inverse", "det")), "key")
     d = _distance("x", "centre", "inverse")
     place = F.least(F.greatest(F.floor(F.log2(d + 1e-12) * BINS), F.lit(NEAR)), F.lit(FAR)).cast("int")
@@ -284,7 +289,7 @@ def _step(vectors: DataFrame, now: DataFrame) -> DataFrame:
             mean, cov = scatter(m, total[:P], total[P:])
             inverse, det = solved(cov)
             if best is None or det < best[4]:
-                best = (own[0][0], 0, mean.tolist(), inverse.ravel().tolist(), det, m, total[:P].tolist(), total[P:].tolist(), abs(det - own[0][3]) < SETTLED)
+                best = (own[0][0], 0, mean.tolist(), inverse.ravel().tolist(), det, m, total[:P].tolist(), total[P:].tolist(), not first and det > own[0][3] - SETTLED)
         names = [f.split()[0] for f in _MOMENTS.split(", ")]
         types = (pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.bool_())
         return pa.table([pa.array([v], t) for v, t in zip(best, types)], names=names)
@@ -295,7 +300,7 @@ def _step(vectors: DataFrame, now: DataFrame) -> DataFrame:
 def estimates(vectors: DataFrame) -> DataFrame:
     """key, lang, centre, inverse of every cell; vectors: doc_id, key, lang, x (array of P)."""
     begin = _begin(vectors)
-    now = storage.written(_step(vectors, begin), "mcd")
+    now = storage.written(_step(vectors, begin, first=True), "mcd")
     storage.drop(begin)
     for _ in range(STEPS):
         # settled cells stay as they are
