@@ -57,6 +57,8 @@ FLOOR = 2.0**-20
 #: Divides the difference in bits per character in the score.
 TEMPERATURE = 0.25
 CACHE_ENTRIES = 300_000
+#: At most so many languages' counts are broadcast; more are joined.
+LANGUAGES_TO_SEND = 10_000
 #: Bytes of the models that a pass over the texts reads by.
 MODEL_BYTES = 32 << 20
 WORD, LETTERS = re.compile(r"\b[^\W\d_]+\b"), re.compile(r"[^\W\d_]+")
@@ -245,7 +247,8 @@ def _unpack(raw: bytes) -> Model:
 def _sample(docs: DataFrame) -> DataFrame:
     """lang, text, part (fit or calibrate) of the sampled labelled rows; a language of one text has it fitted on."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    rows = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    rows = storage.written(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    rows = F.broadcast(rows) if storage.small_enough(rows, LANGUAGES_TO_SEND) else rows
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
     # twice the rows needed, then the first of these; repeated rows fall together
     drawn = labelled.join(rows, "lang").withColumn("draw", draw).where(F.col("draw") * F.col("rows") < 2.0 * (SAMPLE_ROWS + CALIBRATION_ROWS)).select("lang", "text", "draw").distinct()
@@ -305,15 +308,15 @@ def fit(docs: DataFrame) -> Languages:
 
     models = storage.written(sample.where("part = 'fit'").groupBy("lang").applyInArrow(train, "lang string, model binary"), "models")
     out = Languages(_groups(models), uuid.uuid4().hex)
-    # doc_id says whether a text's letters are shuffled
-    held = sample.where("part = 'calibrate'").select("lang", "text")
-    seen = storage.written(_bits(held.mapInArrow(_with_noise, "doc_id long, text string, keep string"), out).where("chars > 0 and (doc_id = 1 or keep = lang_pred)"), "calibration")
+    # doc_id says whether a text's letters are shuffled; written, as two Python steps in a task take two workers
+    held = storage.written(sample.where("part = 'calibrate'").select("lang", "text").mapInArrow(_with_noise, "doc_id long, text string, keep string"), "held")
+    seen = storage.written(_bits(held, out).where("chars > 0 and (doc_id = 1 or keep = lang_pred)"), "calibration")
     q = (F.count(F.when(F.col("doc_id") == 0, 1)).alias("rows"), F.expr("percentile(bits, array(0.5, 0.95)) filter (where doc_id = 0)").alias("known"), F.expr("percentile(bits, 0.05) filter (where doc_id = 1)").alias("noise"))
     own = {r["keep"]: _limit(r) for r in seen.groupBy("keep").agg(*q).where(F.col("rows") >= LEAST).collect()}
     whole = _limit(seen.agg(*q).first())
     other = max(own.values(), default=whole)
     out.limits = {n: own.get(n, other) for names, _ in out.groups for n in names if other is not None}
-    storage.drop(seen)
+    storage.drop(seen, held)
     storage.drop(sample, models)
     return out
 
