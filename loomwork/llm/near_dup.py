@@ -3,13 +3,15 @@
 Each document's set holds 64-bit hashes of its distinct k-word shingles.  One
 permutation splits the hash range into bins; empty bins borrow from a bin that
 a fixed random probe sequence finds (optimal densification).  Bins in bands
-make buckets.  In a bucket two hubs are paired with the other members (stars),
+make buckets.  In a bucket one hub is paired with the other members (a star),
 never all members with each other; pairs are confirmed on full sets, which are
-written once.  Members of a bucket that are no hubs and then not of one
-component are compared across components where they share a rare shingle at a
-place that allows the similarity (prefix and positional filters), which is
-complete; so stars lose no link that a bucket holds.  Documents of equal sets
-are one node throughout.
+written once.  Where the other members are then not of one component, up to
+STARS further hubs are each paired with those of other components than their
+own, so copies of one text soon are one component.  Members that are no hubs
+and still not of one component are compared across components where
+they share a rare shingle at a place that allows the similarity (prefix and
+positional filters), which is complete; so stars lose no link that a bucket
+holds.  Documents of equal sets are one node throughout.
 
 Chance to miss a pair at similarity 0.8 with the default 32 bands of 4 bins:
 5e-8, less above.
@@ -36,6 +38,8 @@ from loomwork.plans import storage
 
 PROBES = 64
 MEMBERS_A_TASK_GROUP = 64
+#: Further stars of a bucket before its members are compared by rare shingles; a matter of cost, never of results.
+STARS = 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -188,8 +192,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     The partners of a hub a are dealt over groups of about 64, each of which
     gets the hub's set once; a task holds one hub's set at a time.
     """
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / MEMBERS_A_TASK_GROUP)).alias("part"))
+    many = storage.written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > MEMBERS_A_TASK_GROUP), "many")
+    parts = F.ceil(F.coalesce("degree", F.lit(1)) / MEMBERS_A_TASK_GROUP)
+    dealt = pairs.join(F.broadcast(many) if storage.small_enough(many, IDS_TO_SEND) else many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
     wanted = dealt.select(F.col("b").alias("node"), F.col("a").alias("hub"), "part", F.lit(1).alias("role")).unionByName(dealt.select(F.col("a").alias("node"), F.col("a").alias("hub"), "part", F.lit(0).alias("role")).distinct())
     wanted = storage.written(wanted, "wanted")
     lines = wanted.join(_only(sets, wanted.select("node")), "node").select("hub", "part", "role", "node", "grams")
@@ -216,7 +221,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     out = storage.written(lines.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(run, "a long, b long"), "links")
-    storage.drop(wanted)
+    storage.drop(wanted, many)
     return out
 
 
@@ -244,12 +249,17 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def _open(inside: DataFrame, label: DataFrame) -> DataFrame:
-    """node, n, comp of the members, hubs aside, of buckets that hold more than one component of such; written."""
-    held = inside.where("size > 3 and node <> lo.node and node <> hi.node").select("band", "node", "n").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = held.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("band")
+def _around(star: DataFrame) -> DataFrame:
+    """node, n, hub, hub_n of members and the hubs they are paired with."""
+    return star.select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+
+
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """band, node, n, comp and hub (node, n, comp of the bucket's last) of the members of buckets with more than one component of them; written. members: band, node, n."""
+    held = members.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = held.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max(F.struct("node", "n", "comp")).alias("hub")).where("least < most").select("band", "hub")
     split = F.broadcast(split) if storage.small_enough(split, IDS_TO_SEND) else split
-    return storage.written(held.join(split, "band").select("node", "n", "comp").distinct(), "open")
+    return storage.written(held.join(split, "band"), "open")
 
 
 def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -272,24 +282,38 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, row
     # rows of one set are one node, named by one of these rows
     reps = storage.written(sign.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("band_keys").alias("band_keys")), "reps")
     member = reps.select("node", "n", F.explode("band_keys").alias("band"))
-    crowd = member.groupBy("band").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowd = member.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     inside = storage.written(member.join(crowd, "band"), "inside")
 
-    # stars around the first and the last member of each bucket
-    met = inside.select("node", "n", F.explode(F.array("lo", "hi")).alias("hub")).select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")).where("hub <> node")
-    first = _pairs(met, percent)
+    # stars around the first member of each bucket
+    first = _pairs(_around(inside.where("node <> hub.node")), percent)
     links = _confirm(first, sets, percent)
     label = components(links)
     storage.drop(links)
 
+    # further stars, each around the last of the other members, where these are of several components
+    known, members = first.select("lo", "hi"), inside.where("size > 2 and node <> hub.node").select("band", "node", "n")
+    done = [inside, first]
+    open_ = _open(members, label)
+    for _ in range(STARS):
+        if open_.isEmpty():
+            break
+        pairs = _pairs(_around(open_.where("comp <> hub.comp")), percent)
+        links = _confirm(pairs.join(known, ["lo", "hi"], "left_anti"), sets, percent)
+        before, label = label, _relabel(label, links)
+        storage.drop(before, links)
+        known, members = known.unionByName(pairs.select("lo", "hi")), open_.where("node <> hub.node").select("band", "node", "n")
+        done += [pairs, open_]
+        open_ = _open(members, label)
+
     # what is still open: pairs of two components that share a rare shingle, complete for these nodes
-    rest = _open(inside, label)
-    if not rest.isEmpty():
+    if not open_.isEmpty():
+        rest = storage.written(open_.select("node", "n", "comp").distinct(), "rest")
         third = _rare_pairs(rest, sets, percent)
-        links = _confirm(third.join(first.select("lo", "hi"), ["lo", "hi"], "left_anti"), sets, percent)
+        links = _confirm(third.join(known, ["lo", "hi"], "left_anti"), sets, percent)
         before, label = label, _relabel(label, links)
-        storage.drop(before, third, links)
-    storage.drop(inside, first, rest)
+        storage.drop(before, third, links, rest)
+    storage.drop(open_, *done)
 
     least = label.join(reps.select("node", "least_id"), "node").groupBy("comp").agg(F.min("least_id").alias("component_id"))
     named = label.join(least, "comp").select("node", "comp", "component_id")
@@ -325,9 +349,9 @@ def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     found = classes(docs, k, percent)
     linked = found.where("class is not null")
-    best = linked.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_a", "text_b")).alias("best"))
-    judged = storage.written(linked.join(best, "class").select("doc_id", "text_a", "text_b", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_a") == F.col("best.text_a")) & (F.col("text_b") == F.col("best.text_b"))).alias("is_best")), "judged")
-    storage.drop(found)
+    best = storage.written(linked.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_a", "text_b")).alias("best")), "best")
+    judged = storage.written(linked.join(F.broadcast(best) if storage.small_enough(best, IDS_TO_SEND) else best, "class").select("doc_id", "text_a", "text_b", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_a") == F.col("best.text_a")) & (F.col("text_b") == F.col("best.text_b"))).alias("is_best")), "judged")
+    storage.drop(found, best)
     of = lambda rows: rows.select(*(F.col(c).alias(f"r_{c}") for c in ("doc_id", "text_a", "text_b")))
     gone = of(judged.where("not is_best").distinct())
     again = of(storage.written(judged.where("is_best").groupBy("doc_id", "text_a", "text_b").count().where("count > 1"), "again"))
