@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from loomwork.llm import pretoken, worker
 
 #: Entries of a worker's cache, and characters of a pre-token that it holds.
-CACHE_ENTRIES, CACHED_CHARS = 250_000, 64
+CACHE_ENTRIES, CACHED_CHARS = 100_000, 64
 
 
 class Vocabulary:

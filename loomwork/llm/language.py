@@ -56,7 +56,7 @@ SHORT_BITS = 32.0
 FLOOR = 2.0**-20
 #: Divides the difference in bits per character in the score.
 TEMPERATURE = 0.25
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 #: At most so many languages' counts are broadcast; more are joined.
 LANGUAGES_TO_SEND = 10_000
 #: Bytes of the models that a pass over the texts reads by.

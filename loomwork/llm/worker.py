@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of texts that go to a Python worker at a time; a longer text goes alone.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 _SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _kept: dict[str, dict] = {}
