@@ -231,18 +231,20 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars: each step moves edges to smaller nodes
     by grouped minima and joins, so no adjacency list is ever gathered.
     """
+    mark = lambda t: tuple(t.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("v", "u")), F.lit(0))).first())
     now = storage.written(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "star")
-    while True:
+    old = mark(now)
+    while old[0]:
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(now.select(F.col("u").alias("x"), F.col("v").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").unionByName(down.select("v", F.col("m").alias("u"))).distinct()
         after = storage.written(small, "star")
-        old, new = (t.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("v", "u")), F.lit(0))).first() for t in (now, after))
+        before, old = old, mark(after)
         storage.drop(now)
         now = after
-        if tuple(old) == tuple(new):
+        if before == old:
             break
     out = storage.written(now.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct()), "components")
     storage.drop(now)
@@ -263,7 +265,9 @@ def _open(members: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
-    """label after its components are joined by links (a, b)."""
+    """label after its components are joined by links (a, b); label itself where there are none."""
+    if links.isEmpty():
+        return label
     of = lambda c: label.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
     found = components(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
     step = found.select(F.col("node").alias("comp"), F.col("comp").alias("after"))
@@ -301,7 +305,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, row
         pairs = _pairs(_around(open_.where("comp <> hub.comp")), percent)
         links = _confirm(pairs.join(known, ["lo", "hi"], "left_anti"), sets, percent)
         before, label = label, _relabel(label, links)
-        storage.drop(before, links)
+        storage.drop(links, *([before] if label is not before else []))
         known, members = known.unionByName(pairs.select("lo", "hi")), open_.where("node <> hub.node").select("band", "node", "n")
         done += [pairs, open_]
         open_ = _open(members, label)
@@ -312,7 +316,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, row
         third = _rare_pairs(rest, sets, percent)
         links = _confirm(third.join(known, ["lo", "hi"], "left_anti"), sets, percent)
         before, label = label, _relabel(label, links)
-        storage.drop(before, third, links, rest)
+        storage.drop(third, links, rest, *([before] if label is not before else []))
     storage.drop(open_, *done)
 
     least = label.join(reps.select("node", "least_id"), "node").groupBy("comp").agg(F.min("least_id").alias("component_id"))
