@@ -89,27 +89,29 @@ class HotCache:
         self.steps = self.hits = self.seen = 0
 
     def step(self, row: dict[str, Any]) -> list[dict[str, Any]]:
-        for expert, slot in self.pending:
-            self.slot[str(expert)] = slot
+        slot, decay = self.slot, self.decay
+        for expert, at in self.pending:
+            slot[str(expert)] = at
         self.pending = []
-        ids = sorted(set(row["ids"]))
-        self.usage = {e: u * self.decay for e, u in self.usage.items()}
-        for e in ids:
-            self.usage[str(e)] = self.usage.get(str(e), 0.0) + 1
-        hits = sum(str(e) in self.slot for e in ids)
+        ids = sorted({int(i) for i in row["ids"] if i is not None})
+        names = [str(e) for e in ids]
+        self.usage = usage = {e: u * decay for e, u in self.usage.items()}
+        for e in names:
+            usage[e] = usage.get(e, 0.0) + 1
+        cold = [e for e in names if e not in slot]
+        hits = len(ids) - len(cold)
         self.steps, self.hits, self.seen = self.steps + 1, self.hits + hits, self.seen + len(ids)
-        cold = sorted((e for e in ids if str(e) not in self.slot), key=lambda e: (-self.usage[str(e)], e))
-        free = {e for e in self.slot if int(e) not in ids}
         swaps = 0
-        for e in cold:
-            if swaps >= self.budget or not free:
-                break
-            victim = min(free, key=lambda v: (self.usage.get(v, 0.0), int(v)))
-            if self.usage[str(e)] < self.usage.get(victim, 0.0) + self.margin:
-                break
-            free.discard(victim)
-            self.pending.append([e, self.slot.pop(victim)])
-            swaps += 1
+        if cold and self.budget > 0:
+            cold.sort(key=lambda e: (-usage[e], int(e)))
+            free = slot.keys() - names
+            for e in cold:
+                if swaps >= self.budget or not free or usage[e] < min([usage.get(v, 0.0) for v in free]) + self.margin:
+                    break
+                victim = min(free, key=lambda v: (usage.get(v, 0.0), int(v)))
+                free.discard(victim)
+                self.pending.append([int(e), slot.pop(victim)])
+                swaps += 1
         return [{"step": self.steps - 1, "hits": hits, "swaps": swaps, "rate": self.hits / max(self.seen, 1)}]
 
 
