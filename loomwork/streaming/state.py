@@ -3,12 +3,17 @@
 One event is one step.  A stateful operator is a plain class with step() and
 a JSON form; process() runs one per key with transformWithStateInPandas, so
 the same class serves tests and batch twins.  State survives restarts in the
-checkpoint; rows of one micro-batch are put in order by their order columns.
+checkpoint; rows of one micro-batch are put in order by their order columns,
+a bounded number of them in memory.  Arrays go to Python as JSON: pyarrow
+crashes on some batches of nested lists that the JVM sends.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -16,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType
 
 from loomwork.plans import storage
 from loomwork.registry import query
@@ -130,11 +136,10 @@ class LayeredHotCache:
         for k, ids in enumerate(row["layers"]):
             if k == len(self.layers):
                 self.layers.append(HotCache(self.slots, self.decay, self.margin).__dict__)
-            one = HotCache()
-            one.__dict__.update(self.layers[k])
+            one = HotCache.__new__(HotCache)
+            one.__dict__ = self.layers[k]
             one.budget = left
-            (out,) = one.step({"ids": [int(i) for i in ids]})
-            self.layers[k] = one.__dict__
+            (out,) = one.step({"ids": ids})
             left -= out["swaps"]
             hits, swaps = hits + out["hits"], swaps + out["swaps"]
         seen = sum(x["seen"] for x in self.layers)
@@ -174,17 +179,81 @@ def load(kind: Callable[[], Any], text: str) -> Any:
     return machine
 
 
+#: Rows of a key that are sorted in memory at a time; more are merged from files, at most so many at once.
+RUN_ROWS, RUNS = 250_000, 64
+#: Rows of a frame given out, and of a piece of a file.
+OUT_ROWS, PIECE_ROWS = 10_000, 1000
+
+
+def ordered(frames: Iterator[pd.DataFrame], order: list[str]) -> Iterator[dict[str, Any]]:
+    """The rows of frames in order, nulls last, equal ones as they came.
+
+    Up to RUN_ROWS are sorted in memory.  Of more, each RUN_ROWS are a sorted
+    run in a temporary file of this task; runs are merged, RUNS at a time.
+    """
+    held, n, runs, names = [], 0, [], []
+
+    def rank(row):
+        return [(True, 0) if row[i] is None or row[i] != row[i] else (False, row[i]) for i in at]
+
+    def spilled(rows):
+        file = tempfile.TemporaryFile()  # no name: gone when it is closed, whatever happens
+        piece = []
+        for row in rows:
+            piece.append(row)
+            if len(piece) == PIECE_ROWS:
+                pickle.dump(piece, file, 5)
+                piece = []
+        pickle.dump(piece, file, 5)
+        file.seek(0)
+        return file
+
+    def read(file):
+        with file:
+            while True:
+                try:
+                    yield from pickle.load(file)
+                except EOFError:
+                    return
+
+    def run():
+        return pd.concat(held).sort_values(order, kind="stable").itertuples(index=False, name=None)
+
+    for frame in frames:
+        if not names:
+            names = list(frame.columns)
+            at = [names.index(c) for c in order]
+        held.append(frame)
+        n += len(frame)
+        if n >= RUN_ROWS:
+            runs.append((0, spilled(run())))
+            held, n = [], 0
+            # runs of one level become one of the next, so each row is written a logarithmic number of times
+            while len(runs) >= RUNS and runs[-RUNS][0] == runs[-1][0]:
+                level, last = runs[-1][0], [f for _, f in runs[-RUNS:]]
+                runs[-RUNS:] = [(level + 1, spilled(heapq.merge(*map(read, last), key=rank)))]
+    parts = [read(f) for _, f in runs] + ([run()] if held else [])
+    for row in parts[0] if len(parts) == 1 else heapq.merge(*parts, key=rank):
+        yield dict(zip(names, row))
+
+
 class _Processor(StatefulProcessor):
-    def __init__(self, kind: Callable[[], Any], columns: list[str], order: list[str]):
-        self.kind, self.columns, self.order = kind, columns, order
+    def __init__(self, kind: Callable[[], Any], columns: list[str], order: list[str], arrays: list[str]):
+        self.kind, self.columns, self.order, self.arrays = kind, columns, order, arrays
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("machine", "text string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order)  # one key's rows of one micro-batch
         machine = load(self.kind, self.state.get()[0]) if self.state.exists() else self.kind()
-        out = [{"key": key[0], **x} for row in batch.to_dict("records") for x in machine.step(row)]
+        out = []
+        for row in ordered(rows, self.order):  # one key's rows of one micro-batch
+            for c in self.arrays:
+                row[c] = json.loads(row[c]) if isinstance(row[c], str) else []
+            out += ({"key": key[0], **x} for x in machine.step(row))
+            if len(out) >= OUT_ROWS:
+                yield pd.DataFrame(out, columns=self.columns)
+                out = []
         self.state.update((dump(machine),))
         yield pd.DataFrame(out, columns=self.columns)
 
@@ -193,10 +262,12 @@ class _Processor(StatefulProcessor):
 
 
 def process(rows: DataFrame, key: str, kind: Callable[[], Any], schema: str, order: list[str]) -> DataFrame:
-    """What each key's machine gives out; rows: a stream. schema starts with the key, named ``key``."""
+    """What each key's machine gives out; rows: a stream. schema starts with the key, named ``key``. Arrays reach the machine as lists (of whole numbers or strings), null ones as empty lists."""
     columns = [part.split()[0] for part in schema.split(", ")]
+    arrays = [f.name for f in rows.schema if isinstance(f.dataType, ArrayType)]
+    rows = rows.withColumns({c: F.to_json(c) for c in arrays})
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy(key).transformWithStateInPandas(_Processor(kind, columns, order), schema, "Append", "None")
+    return rows.groupBy(key).transformWithStateInPandas(_Processor(kind, columns, order, arrays), schema, "Append", "None")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +319,7 @@ def stream_ngram_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_hot_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST6: hit rate of each layer's slots, step by step; sequential, so tested against the same rules in Python."""
-    ids = F.array(*(F.pmod(F.col("user_id") * m, F.lit(40)) for m in (1, 7, 11)))
+    ids = F.array(*(F.pmod(F.pmod(F.col("user_id"), F.lit(40)) * m, F.lit(40)) for m in (1, 7, 11)))
     rows = event_stream(spark, sf_dir).select(F.col("event_type").alias("key"), "ts", "event_id", ids.alias("ids"))
     return drained(process(rows, "key", HotCache, "key string, step bigint, hits bigint, swaps bigint, rate double", ["ts", "event_id"]), "cached")
 
@@ -256,6 +327,6 @@ def stream_hot_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_hot_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST6 T9 T10: three layers' slots with one budget of swaps a token, for eight streams; sequential, so tested against the same rules in Python."""
-    layers = F.array(*(F.array(*(F.pmod(F.col("user_id") * m + layer, F.lit(40)) for m in (1, 7, 11))) for layer in range(3)))
+    layers = F.array(*(F.array(*(F.pmod(F.pmod(F.col("user_id"), F.lit(40)) * m + layer, F.lit(40)) for m in (1, 7, 11))) for layer in range(3)))
     rows = event_stream(spark, sf_dir).select((F.col("user_id") % 8).alias("key"), "ts", "event_id", layers.alias("layers"))
     return drained(process(rows, "key", LayeredHotCache, "key bigint, step bigint, hits bigint, swaps bigint, rate double", ["ts", "event_id"]), "layered")

@@ -68,6 +68,20 @@ def test_layers_share_a_budget():
     assert [one.step({"layers": [r]}) for r in rows] == [alone.step({"ids": r}) for r in rows]
 
 
+def test_rows_beyond_memory_are_merged(monkeypatch):
+    import random
+
+    monkeypatch.setattr(state, "RUN_ROWS", 10)
+    monkeypatch.setattr(state, "RUNS", 3)
+    monkeypatch.setattr(state, "PIECE_ROWS", 4)
+    r = random.Random(1)
+    rows = pd.DataFrame([{"ts": r.choice([pd.Timestamp("2024-01-01"), pd.Timestamp("2024-01-02"), pd.NaT]), "event_id": r.choice([None, *range(50)]), "v": i} for i in range(503)])
+    for step in (5, 7, 600):
+        got = list(state.ordered((rows[i : i + step] for i in range(0, len(rows), step)), ["ts", "event_id"]))
+        assert [x["v"] for x in got] == rows.sort_values(["ts", "event_id"], kind="stable").v.tolist()
+    assert list(state.ordered(iter([]), ["ts"])) == []
+
+
 def test_state_with_swaps_under_way_is_kept():
     import numpy as np
 
@@ -76,3 +90,26 @@ def test_state_with_swaps_under_way_is_kept():
         c.step({"ids": np.array([5, 5])})  # what Arrow makes of an array
     assert c.pending and state.load(state.HotCache, state.dump(c)).pending == [[5, 0]]
     assert c.step({"ids": [None, 5]})[0]["hits"] == 1
+
+
+def test_arrays_reach_python_without_arrow_lists(spark, monkeypatch, tmp_path):
+    from pyspark.sql.types import ArrayType
+
+    seen = []
+    monkeypatch.setattr(state, "drained", lambda stream, name: seen.append(stream))
+    state.stream_hot_cache(spark, "/root/testdata/sf0.001")
+    state.stream_hot_layers(spark, "/root/testdata/sf0.001")
+    for stream in seen:  # pyarrow crashes on some batches of nested lists
+        plan = stream._jdf.queryExecution().analyzed().toString()
+        assert plan.count("to_json") >= 1 and not any(isinstance(f.dataType, ArrayType) for f in stream.schema)
+
+
+def test_layers_over_many_rows_of_few_keys(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("event_id", "ts", "user_id * 8 as user_id", "event_type", "value", "props")
+    events.selectExpr("*", "explode(sequence(0, 24)) i").selectExpr("event_id + i * 100000 as event_id", "ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = state.stream_hot_layers(spark, str(tmp_path)).toPandas().sort_values("step")
+    rows = spark.read.parquet(f"{tmp_path}/events.parquet").toPandas().sort_values(["ts", "event_id"])
+    c = state.LayeredHotCache()
+    want = [c.step({"layers": [[(int(u) * m + layer) % 40 for m in (1, 7, 11)] for layer in range(3)]})[0] for u in rows.user_id]
+    assert len(got) == 25 * 1000 and set(got.key) == {0}
+    assert got.hits.tolist() == [w["hits"] for w in want] and got.swaps.tolist() == [w["swaps"] for w in want]
