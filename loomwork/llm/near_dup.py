@@ -4,8 +4,10 @@ Each document's set holds 64-bit hashes of its distinct k-word shingles.  One
 permutation splits the hash range into bins; empty bins borrow from a bin that
 a fixed random probe sequence finds (optimal densification).  Bins in bands
 make buckets.  In a bucket one hub is paired with the other members (a star),
-never all members with each other; pairs are confirmed on full sets, which are
-written once.  Where the other members are then not of one component, up to
+never all members with each other; the hub is the member whose buckets are the
+fullest, so the text that a group of copies varies is the hub of nearly all of
+their buckets and meets each copy once.  Pairs are confirmed on full sets, which
+are written once.  Where the other members are then not of one component, up to
 STARS further hubs are each paired with those of other components than their
 own, so copies of one text soon are one component.  Members that are no hubs
 and still not of one component are compared across components where
@@ -39,7 +41,7 @@ from loomwork.plans import storage
 PROBES = 64
 MEMBERS_A_TASK_GROUP = 64
 #: Further stars of a bucket before its members are compared by rare shingles; a matter of cost, never of results.
-STARS = 4
+STARS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -194,7 +196,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     many = storage.written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > MEMBERS_A_TASK_GROUP), "many")
     parts = F.ceil(F.coalesce("degree", F.lit(1)) / MEMBERS_A_TASK_GROUP)
-    dealt = pairs.join(F.broadcast(many) if storage.small_enough(many, IDS_TO_SEND) else many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
+    dealt = storage.written(pairs.join(F.broadcast(many) if storage.small_enough(many, IDS_TO_SEND) else many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part")), "dealt")
     wanted = dealt.select(F.col("b").alias("node"), F.col("a").alias("hub"), "part", F.lit(1).alias("role")).unionByName(dealt.select(F.col("a").alias("node"), F.col("a").alias("hub"), "part", F.lit(0).alias("role")).distinct())
     wanted = storage.written(wanted, "wanted")
     lines = wanted.join(_only(sets, wanted.select("node")), "node").select("hub", "part", "role", "node", "grams")
@@ -221,7 +223,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     out = storage.written(lines.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(run, "a long, b long"), "links")
-    storage.drop(wanted, many)
+    storage.drop(wanted, dealt, many)
     return out
 
 
@@ -257,9 +259,9 @@ def _around(star: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, label: DataFrame) -> DataFrame:
-    """band, node, n, comp and hub (node, n, comp of the bucket's last) of the members of buckets with more than one component of them; written. members: band, node, n."""
+    """band, node, n, full, comp and hub (full, node, n, comp of the bucket's member of the fullest buckets) of the members of buckets with more than one component of them; written. members: band, node, n, full."""
     held = members.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = held.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max(F.struct("node", "n", "comp")).alias("hub")).where("least < most").select("band", "hub")
+    split = held.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max(F.struct("full", "node", "n", "comp")).alias("hub")).where("least < most").select("band", "hub")
     split = F.broadcast(split) if storage.small_enough(split, IDS_TO_SEND) else split
     return storage.written(held.join(split, "band"), "open")
 
@@ -286,17 +288,21 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, row
     # rows of one set are one node, named by one of these rows
     reps = storage.written(sign.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("band_keys").alias("band_keys")), "reps")
     member = reps.select("node", "n", F.explode("band_keys").alias("band"))
-    crowd = member.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    inside = storage.written(member.join(crowd, "band"), "inside")
-
-    # stars around the first member of each bucket
+    crowd = member.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized = storage.written(member.join(crowd, "band"), "sized")
+    full = sized.join(sized.groupBy("node").agg(F.sum("size").alias("full")), "node")
+    full = storage.written(full.select("band", "node", "n", "size", "full"), "full")
+    inside = storage.written(full.join(full.groupBy("band").agg(F.max(F.struct("full", "node", "n")).alias("hub")), "band"), "inside")
+    storage.drop(sized, full)
+
+    # stars around the member of each bucket whose buckets are the fullest
     first = _pairs(_around(inside.where("node <> hub.node")), percent)
     links = _confirm(first, sets, percent)
     label = components(links)
     storage.drop(links)
 
-    # further stars, each around the last of the other members, where these are of several components
-    known, members = first.select("lo", "hi"), inside.where("size > 2 and node <> hub.node").select("band", "node", "n")
+    # further stars, each around such a one of the other members, where these are of several components
+    known, members = first.select("lo", "hi"), inside.where("size > 2 and node <> hub.node").select("band", "node", "n", "full")
     done = [inside, first]
     open_ = _open(members, label)
     for _ in range(STARS):
@@ -306,7 +312,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, row
         links = _confirm(pairs.join(known, ["lo", "hi"], "left_anti"), sets, percent)
         before, label = label, _relabel(label, links)
         storage.drop(links, *([before] if label is not before else []))
-        known, members = known.unionByName(pairs.select("lo", "hi")), open_.where("node <> hub.node").select("band", "node", "n")
+        known, members = known.unionByName(pairs.select("lo", "hi")), open_.where("node <> hub.node").select("band", "node", "n", "full")
         done += [pairs, open_]
         open_ = _open(members, label)
 

@@ -98,3 +98,24 @@ def test_tables_are_dropped(spark):
     near_dup.near_duplicates(spark.createDataFrame([(i, f"a b c d e {i // 2}") for i in range(20)], "doc_id long, text string")).collect()
     left = [p for _, p in storage._written[before:] if __import__("os").path.exists(p.removeprefix("file://"))]
     assert len(left) == 1 and "/classes-" in left[0]
+
+
+def test_copies_of_a_text_meet_it_once(spark, monkeypatch):
+    import random
+
+    r = random.Random(7)
+    rows = []
+    for i in range(300):  # each is linked with the 250th, hardly any two others are
+        w = [f"s{j}" for j in range(60)]
+        for j in r.sample(range(60), 0 if i == 250 else 2):
+            w[j] = f"c{i}.{j}"
+        rows.append((i, " ".join(w)))
+    made, confirm = [], near_dup._confirm
+
+    def counted(pairs, sets, percent):
+        made.append(pairs.count())
+        return confirm(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dup, "_confirm", counted)
+    assert run(spark, rows, k=2) == brute(rows, 2, 80)
+    assert sum(made) < 5 * len(rows), made  # hubs by node number: 2481
