@@ -199,7 +199,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = storage.written(pairs.join(F.broadcast(many) if storage.small_enough(many, IDS_TO_SEND) else many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part")), "dealt")
     wanted = dealt.select(F.col("b").alias("node"), F.col("a").alias("hub"), "part", F.lit(1).alias("role")).unionByName(dealt.select(F.col("a").alias("node"), F.col("a").alias("hub"), "part", F.lit(0).alias("role")).distinct())
     wanted = storage.written(wanted, "wanted")
-    lines = wanted.join(_only(sets, wanted.select("node")), "node").select("hub", "part", "role", "node", "grams")
+    # sets are shuffled once, to their hubs, where what is wanted can be sent
+    met = sets.join(F.broadcast(wanted), "node") if storage.small_enough(wanted, ROWS_TO_SEND) else wanted.join(_only(sets, wanted.select("node")), "node")
+    lines = met.select("hub", "part", "role", "node", "grams")
     worker.small_batches(pairs.sparkSession)
 
     def run(batches):
@@ -343,6 +345,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 #: At most so many ids are broadcast to pick rows out of a table; more are joined.
 IDS_TO_SEND = 100_000
+#: At most so many rows of wanted sets (four numbers each) are broadcast.
+ROWS_TO_SEND = 250_000
 
 
 def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
