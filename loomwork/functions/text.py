@@ -92,6 +92,8 @@ def emitted(pieces: Column) -> Column:
     @F.pandas_udf(ArrayType(StringType()))
     def run(x: pd.Series) -> pd.Series:
         def one(row):
+            if b"".join(row).isascii():
+                return [piece.decode() for piece in row]
             out, held = [], b""
             for piece in row:
                 held += piece

@@ -199,3 +199,11 @@ def test_tokens_of_hot_sequences(spark, monkeypatch):
     plain = sorted(map(tuple, session.tokens(spark, "/root/testdata/sf0.001").collect()))
     monkeypatch.setattr(ranks, "HOT_KEY_ROWS", 1)
     assert sorted(map(tuple, session.tokens(spark, "/root/testdata/sf0.001").collect())) == plain
+
+
+def test_streamed_text_encodes_a_text_once(spark):
+    from loomwork.operators import files
+
+    out = files.streamed_text(spark, "/root/testdata/sf0.001")
+    # a second one is within the loop over pieces, each of which would encode the whole text
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("encode(") == 1
